@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import leaks, neardup, repeated, terms, tokens
+from quarrymill.llm import boilerplate, leaks, neardup, repeated, residue, terms, tokens
 from quarrymill.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.found(table(spark, d, "indexable_documents"), table(spark, d, "extracted_documents"))
+
+
+def p1_articles(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.articles(boilerplate.page_rows(table(spark, d, "indexable_documents"), "indexable_documents", "id", "body_text")).select("id", "article")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.found(table(spark, d, "postings"))
 
@@ -33,6 +41,22 @@ def p3_clean_excerpts(spark: SparkSession, d: str) -> DataFrame:
     return repeated.without_lines(docs, repeated.repeated_lines(docs, text_col="excerpt"), text_col="excerpt").select("id", "clean_text")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.found(table(spark, d, "indexable_documents"), table(spark, d, "extracted_documents"))
+
+
+def p4_kept_bodies(spark: SparkSession, d: str) -> DataFrame:
+    bodies = table(spark, d, "indexable_documents")
+    model = residue.fit(bodies, table(spark, d, "extracted_documents"))
+    return residue.without_residue(bodies, residue.residue_bodies(bodies, model), "id").select("id", "site", "body_text").distinct()
+
+
+def p4_kept_titles(spark: SparkSession, d: str) -> DataFrame:
+    extracted = table(spark, d, "extracted_documents")
+    model = residue.fit(table(spark, d, "indexable_documents"), extracted)
+    return residue.without_residue(extracted, residue.residue_titles(extracted, model), "extract_id").select("extract_id", "site", "title").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.found(table(spark, d, "indexable_documents"), table(spark, d, "search_documents"))
 
@@ -67,4 +91,4 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_terms, p3_found, p3_clean_bodies, p3_clean_excerpts, p5_found, p5_groups, p7_ids, p7_words, p7_decoded, p8_found, p8_leaks, p8_items)}
+    return {f.__name__: f for f in (p1_found, p1_articles, p2_found, p2_terms, p3_found, p3_clean_bodies, p3_clean_excerpts, p4_found, p4_kept_bodies, p4_kept_titles, p5_found, p5_groups, p7_ids, p7_words, p7_decoded, p8_found, p8_leaks, p8_items)}
