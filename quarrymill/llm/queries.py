@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import boilerplate, leaks, neardup, repeated, residue, terms, tokens
+from quarrymill.llm import boilerplate, leaks, neardup, repeated, residue, severity, terms, tokens
 from quarrymill.session import table
 
 
@@ -90,5 +90,18 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return severity.found(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return severity.severities(documents, severity.fit(documents, table(spark, d, "review_labels"))).select("doc_id", "source", "severity", "harmful")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return severity.rates(table(spark, d, "documents"), table(spark, d, "review_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_articles, p2_found, p2_terms, p3_found, p3_clean_bodies, p3_clean_excerpts, p4_found, p4_kept_bodies, p4_kept_titles, p5_found, p5_groups, p7_ids, p7_words, p7_decoded, p8_found, p8_leaks, p8_items)}
+    return {f.__name__: f for f in (p1_found, p1_articles, p2_found, p2_terms, p3_found, p3_clean_bodies, p3_clean_excerpts, p4_found, p4_kept_bodies, p4_kept_titles, p5_found, p5_groups, p7_ids, p7_words, p7_decoded, p8_found, p8_leaks, p8_items, p9_found, p9_scores, p9_rates)}
