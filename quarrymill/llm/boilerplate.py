@@ -184,6 +184,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     headings, text)."""
     votes = pages.mapInArrow(_votes, "site string, path string, pages bigint, content bigint, first bigint, last bigint")
     by_host = votes.groupBy("site", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "content")), F.min("first").alias("first"), F.max("last").alias("last"))
+    by_host = stored(by_host, "host-votes")  # read twice below
     reads = F.col("path").rlike(r"[.!?…]$") & (F.length("path") >= SENTENCE_CHARS) & ~F.col("path").contains("§")
     web = by_host.groupBy("path").agg(F.count("*").alias("hosts"), *(F.sum(c).alias(c) for c in ("pages", "content")), F.min("first").alias("first"), F.max("last").alias("last"))
     wins = (F.col("content") < CONTENT_PART * F.col("pages")) & (F.col("first") < F.col("last"))
