@@ -81,14 +81,14 @@ def _aggregate(task_rows: int):
 
         def spill(rows: str, depth: int, name: str) -> None:
             """Write rows to disk by the next bits of the term's hash."""
-            con.execute(f"COPY (SELECT *, ((hash(term) >> {RADIX_BITS * depth}) & {(1 << RADIX_BITS) - 1})::INT AS radix FROM {rows}) TO '{folder}/{name}' (FORMAT parquet, PARTITION_BY (radix), OVERWRITE_OR_IGNORE, FILENAME_PATTERN 'x{{uuid}}')")
+            con.execute(f"COPY (SELECT *, ((hash(term) >> {RADIX_BITS * depth}) & {(1 << RADIX_BITS) - 1})::INT AS radix FROM {rows}) TO '{folder}/{name}' (FORMAT parquet, PARTITION_BY (radix), OVERWRITE_OR_IGNORE, FILENAME_PATTERN 'x{{uuid}}')").fetchall()
 
         def settle(name: str, depth: int):
             import os
 
             for part in sorted(os.listdir(f"{folder}/{name}")):
                 rows = f"read_parquet('{folder}/{name}/{part}/*.parquet', hive_partitioning=false)"
-                n = con.execute(f"SELECT coalesce(sum(len(docs)), 0) FROM {rows}").fetchone()[0]
+                n = con.sql(f"SELECT coalesce(sum(len(docs)), 0) FROM {rows}").fetchall()[0][0]
                 if n > task_rows and depth < MAX_DEPTH:
                     spill(rows, depth, sub := f"{name}_{part[6:]}")
                     yield from settle(sub, depth + 1)
