@@ -15,7 +15,7 @@ def test_base_url(spark, base):
 @pytest.mark.parametrize(
     ("path", "mode", "url"),
     [
-        ("matchforge/index.html", "pretty", "/docs/matchforge/"),
+        ("tools/index.html", "pretty", "/docs/tools/"),
         ("index.html", "pretty", "/docs/"),
         ("about.html", "pretty", "/docs/about"),
         ("index.html", "html", "/docs/index.html"),
