@@ -5,7 +5,7 @@ and no piece runs on from visible characters into white space.  So a text can
 be cut into *words* (white space and the visible characters after it), each
 distinct word encoded once, and the ids put back by position.
 
-The table of distinct words is built by a map-side combine and one exchange of
+The table of distinct words is stored; it is built by a map-side combine and one exchange of
 distinct words only.  Its head, the most frequent words up to a fixed bound,
 is sent to the executors; a word beyond the bound is encoded where it stands,
 by the same encoder, so results don't depend on the bound.
@@ -22,6 +22,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.session import stored
+
 #: White space as Unicode's White_Space property has it.
 _WS = r"\t-\r \x85\xa0  -     　"
 WORD = rf"[{_WS}]*[^{_WS}]+|[{_WS}]+"
@@ -146,7 +148,16 @@ def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     import numpy as np
 
     spark, path = documents.sparkSession, vocabulary_path(folder)
-    frequent = word_table(documents, text_col, folder).where(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n"), "word").limit(head_words).select("word", "ids").toArrow()
+    words = stored(word_table(documents, text_col, folder), "words").where(F.length("word") <= HEAD_CHARS)
+    # the least frequency that leaves at most ``head_words``, from at most 8 * 64 counts
+    step = F.floor(F.log2("n") * 8)
+    least, room = None, head_words
+    for r in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    frequent = words.where(F.lit(False) if least is None else step >= least).select("word", "ids").toArrow()
     lists = frequent["ids"].combine_chunks()
     lengths = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), dtype="int64") if len(frequent) else np.zeros(0, "int64")
     head = spark.sparkContext.broadcast((frequent["word"].to_pylist(), lengths, np.asarray(lists.flatten().to_numpy(zero_copy_only=False), dtype="int32")))
