@@ -254,8 +254,8 @@ def _hashed(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([b["site"], pa.array([path_hash(s, p) for s, p in zip(sites, b["path"].to_pylist(), strict=True)], pa.int64())], names=["site", "won"])
 
 
-def _extract(sent):
-    """(kind, id, lines) of pages; the winning paths are sent, those of the host may also come with the page."""
+def _extract(sent, texts: bool):
+    """(kind, id, lines) of pages, or (kind, id, article); the winning paths are sent, those of the host may also come with the page."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -284,7 +284,11 @@ def _extract(sent):
                 for k, (lines, title, headings, mark) in enumerate(pages):
                     site, own = b["site"][k], set(b["won"][k] or ())
                     found.append([i + 1 for i in furniture(lines, title, headings, mark, lambda p, site=site, own=own: ("*", p) in won or (site, p) in won or bool(own) and path_hash(site, p) in own, paths[k])])
-                yield pa.RecordBatch.from_arrays([part["kind"], part["id"], pa.array(found, pa.list_(pa.int32()))], names=["kind", "id", "lines"])
+                if texts:
+                    kept = ["\n".join([x for n, x in enumerate(t.split("\n"), 1) if n not in gone]) for t, gone in zip(b["text"], map(set, found), strict=True)]
+                    yield pa.RecordBatch.from_arrays([part["kind"], part["id"], pa.array(kept, pa.string())], names=["kind", "id", "article"])
+                else:
+                    yield pa.RecordBatch.from_arrays([part["kind"], part["id"], pa.array(found, pa.list_(pa.int32()))], names=["kind", "id", "lines"])
 
     return run
 
@@ -299,7 +303,7 @@ def page_rows(docs: DataFrame, kind: str, id_col: str, text_col: str) -> DataFra
     ).where("id is not null and text is not null")
 
 
-def furniture_lines(pages: DataFrame, voters: DataFrame | None = None, sent_paths: int = SENT_PATHS) -> DataFrame:
+def furniture_lines(pages: DataFrame, voters: DataFrame | None = None, sent_paths: int = SENT_PATHS, texts: bool = False) -> DataFrame:
     """(kind, id, lines): the lines outside the article, as numbers from 1, of
     every page of ``pages`` (kind, id, site, title, headings, text).  The paths
     are voted on by ``voters``, by default the pages themselves.
@@ -325,14 +329,13 @@ def furniture_lines(pages: DataFrame, voters: DataFrame | None = None, sent_path
     else:
         rows = pages.join(paths.where("site <> '*'").groupBy("site").agg(F.collect_set("won").alias("won")), "site", "left")
     rows = rows.select("kind", "id", "site", "title", "headings", "text", "won")
-    return rows.mapInArrow(_extract(sent), "kind string, id bigint, lines array<int>")
+    return rows.mapInArrow(_extract(sent, texts), "kind string, id bigint, " + ("article string" if texts else "lines array<int>"))
 
 
 def articles(pages: DataFrame, **options) -> DataFrame:
-    """(kind, id, article): each page's text with the lines of its article only."""
-    cut = furniture_lines(pages, **options).distinct()
-    kept = F.filter(F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).alias("n"), x.alias("x"))), lambda s: ~F.array_contains(F.col("lines"), s["n"]))
-    return pages.select("kind", "id", "text").distinct().join(cut, ["kind", "id"]).select("kind", "id", F.array_join(F.transform(kept, lambda s: s["x"]), "\n").alias("article"))
+    """(kind, id, article): each page's text with the lines of its article
+    only, blank ones kept; cases as in ``furniture_lines``."""
+    return furniture_lines(pages, texts=True, **options)
 
 
 def excerpt_lines(extracted: DataFrame, body_lines: DataFrame) -> DataFrame:

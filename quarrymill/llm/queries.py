@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_articles(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.articles(boilerplate.page_rows(table(spark, d, "indexable_documents"), "indexable_documents", "id", "body_text")).select("id", "article")
+    return boilerplate.articles(boilerplate.page_rows(table(spark, d, "indexable_documents"), "indexable_documents", "id", "body_text")).select("id", "article").distinct()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -32,13 +32,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_clean_bodies(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "indexable_documents").select("id", "site", "body_text").dropDuplicates(["id"])
-    return repeated.without_lines(docs, repeated.repeated_lines(docs)).select("id", "clean_text")
+    docs = table(spark, d, "indexable_documents").select("id", "site", "body_text")
+    return repeated.without_lines(docs.dropDuplicates(["id"]), repeated.repeated_lines(docs)).select("id", "clean_text")
 
 
 def p3_clean_excerpts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "search_documents").select("id", "site", "excerpt").dropDuplicates(["id"])
-    return repeated.without_lines(docs, repeated.repeated_lines(docs, text_col="excerpt"), text_col="excerpt").select("id", "clean_text")
+    docs = table(spark, d, "search_documents").select("id", "site", "excerpt")
+    return repeated.without_lines(docs.dropDuplicates(["id"]), repeated.repeated_lines(docs, text_col="excerpt"), text_col="excerpt").select("id", "clean_text")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
