@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables that ``stored`` wrote, by application.
+_STORED: dict[str, list[str]] = {}
 #: Used only where the session names no shared folder, as in tests on one machine.
 _OWN_FOLDER: str | None = None
 
@@ -21,6 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if _OWN_FOLDER is None:
         _OWN_FOLDER = tempfile.mkdtemp(prefix="quarrymill-")
+        atexit.register(shutil.rmtree, _OWN_FOLDER, ignore_errors=True)
     return _OWN_FOLDER
 
 
@@ -31,19 +37,28 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     consumers read the result instead of computing it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that this application stored; frames built on them
+    can't be read afterwards.  Returns how many there were."""
+    paths = _STORED.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir() -> str:
     """Spill space of the running task: the disks that Spark itself spills to."""
-    import os
-
-    return (os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir()).split(",")[0]
+    return (os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS") or tempfile.gettempdir()).split(",")[0]
 
 
 _SHIPPED: set[str] = set()
