@@ -318,7 +318,7 @@ def furniture_lines(pages: DataFrame, voters: DataFrame | None = None, sent_path
     import numpy as np
 
     spark = pages.sparkSession
-    pages = pages.where("id is not null and text is not null")
+    pages = pages.where("id is not null and text is not null").select("kind", "id", "site", "title", "headings", "text")
     paths = stored(host_paths(pages if voters is None else voters).mapInArrow(_hashed, "site string, won bigint"), "host-paths")
     local = paths.count() <= sent_paths
     # paths of the web win on several hosts each, so they are far fewer than those of hosts

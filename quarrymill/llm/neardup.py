@@ -220,7 +220,7 @@ class NearDuplicates:
         if wanted.count() <= sent_ids:
             import numpy as np
 
-            ids = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in wanted.collect()], dtype="int64")))
+            ids = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["id"].to_numpy()))
             sets = rows.mapInArrow(_sets(ids), "id bigint, runs array<bigint>")
         else:
             sets = rows.join(wanted, "id", "left_semi").mapInArrow(_sets(None), "id bigint, runs array<bigint>")
