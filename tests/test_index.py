@@ -155,8 +155,8 @@ def test_parquet_index_reads_one_shard(spark, tmp_path):
     e = Engine(*index_files.open_parquet_index(spark, str(tmp_path)))
     assert [r["url"] for r in e.query("zebra").collect()] == ["/z"]
     plan = e._lookup(["zebra"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(shard" in plan.replace("#", " #").replace("shard #", "shard") or "PartitionFilters" in plan and "shard" in plan.split("PartitionFilters")[1][:60]
-    assert "PushedFilters: [IsNotNull(term), EqualTo(term,zebra)]" in plan or "term" in plan.split("PushedFilters")[1][:60]
+    assert "shard" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "term" in plan.split("PushedFilters: [")[1].split("]")[0]
 
 
 def site(folder):
