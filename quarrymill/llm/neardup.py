@@ -2,12 +2,13 @@
 
 Every text becomes a MinHash signature over its runs of three words.  A tree
 of the forest is one order of the signature's values; pages are sorted by the
-signature in that order, and neighbours that share a long common prefix are
-candidates.  The depth adapts to the region: two values where few pages meet,
-more where many do, both between tasks (prefixes that hold too many pages are
-keyed deeper) and within one (groups split by further values until small).
-Candidates whose signatures agree enough are verified exactly on their sets of
-word runs.  Texts with equal sets are one class, searched once.
+signature in that order, and pages that share the first two values are
+candidates.  The depth is two however many pages share a prefix, since deeper
+prefixes lose links: within a task a group is compared block by block, and the
+pages of a crowded prefix are dealt into parts of which every two meet in a
+task of their own.  Candidates whose signatures agree enough are verified
+exactly on their sets of word runs.  Texts with equal sets are one class,
+searched once.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ TREES, FRESH = 16, 4
 VALUES = TREES * FRESH
 #: A pair of similarity 0.6 agrees in fewer values of a signature with probability under 0.0003.
 ESTIMATE = 0.39
-#: Pages that may share a key of depth 2; beyond, the key takes two more values.
+#: Pages of a prefix that meet in one task; beyond, they are dealt into parts of about so many.
 KEY_ROWS = 50_000
-#: Pages compared with each other in a group; larger groups go one value deeper.
+#: Pages in a block; larger groups are compared block by block.
 GROUP_ROWS = 1_500
 #: Ids that may be sent to the executors (8 MB); beyond, the verification joins by id.
 SENT_IDS = 1_000_000
@@ -86,7 +87,7 @@ def _signatures(batches: Iterator) -> Iterator:
 
 
 def _trees(batches: Iterator) -> Iterator:
-    """One row per class and tree: keys of depth 2 and 4, and the signature's low bytes in the tree's order."""
+    """One row per class and tree: the key of depth 2, and the signature's low bytes in the tree's order."""
     import numpy as np
     import pyarrow as pa
 
@@ -97,15 +98,15 @@ def _trees(batches: Iterator) -> Iterator:
             sig = np.frombuffer(b"".join(b["sig"].to_pylist()), "<u2").reshape(n, VALUES)
             for t in range(TREES):
                 order = np.roll(np.arange(VALUES), -FRESH * t)
-                s = sig[:, order].astype("int64")
+                s = sig[:, order[:2]].astype("int64")
                 k2 = (np.int64(t) << 48) | (s[:, 0] << 16) | s[:, 1]
-                k4 = (s[:, 2] << 16) | s[:, 3]
                 raw = np.ascontiguousarray(sig[:, order] & 0xFF).astype("uint8").tobytes()
-                yield pa.RecordBatch.from_arrays([b["id"], pa.array(k2), pa.array(k4), pa.array([raw[i * VALUES : (i + 1) * VALUES] for i in range(n)], pa.binary())], names=["id", "k2", "k4", "low"])
+                yield pa.RecordBatch.from_arrays([b["id"], pa.array(k2), pa.array([raw[i * VALUES : (i + 1) * VALUES] for i in range(n)], pa.binary())], names=["id", "k2", "low"])
 
 
 def _neighbours(group_rows: int):
-    """Candidate pairs of the rows of each key, which come one after the other."""
+    """Candidate pairs of the rows of each (key, p, q), which come one after
+    the other: rows of part p with rows of part q, or all where p is q."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -113,31 +114,52 @@ def _neighbours(group_rows: int):
 
         least = int(np.ceil(ESTIMATE * VALUES))
 
-        def compare(ids, low, out):
-            for i in range(0, len(ids) - 1, 256):
-                same = (low[i : i + 256, None, :] == low[None, i + 1 :, :]).sum(axis=2, dtype="uint8")
-                x, y = np.nonzero(same >= least)
-                keep = y + 1 > x  # row i + x with row i + 1 + y, each pair once
-                out.append((ids[i + x[keep]], ids[i + 1 + y[keep]]))
-
-        def descend(ids, low, depth, out):
-            """Groups of more than group_rows split by the next value."""
-            if len(ids) < 2:
-                return
-            if len(ids) <= group_rows or depth == VALUES:
-                if len(ids) <= group_rows:
-                    compare(ids, low, out)
-                else:  # signatures equal throughout: all are candidates of each other
-                    for i in range(0, len(ids), group_rows):
-                        for j in range(i, len(ids), group_rows):
-                            a, b = np.meshgrid(ids[i : i + group_rows], ids[j : j + group_rows])
-                            keep = a < b if i == j else a != b
-                            out.append((a[keep], b[keep]))
-                return
-            order = np.argsort(low[:, depth], kind="stable")
-            cuts = np.flatnonzero(np.diff(low[order, depth].astype("int16"))) + 1
-            for part in np.split(order, cuts):
-                descend(ids[part], low[part], depth + 1, out)
+        def block(low, other):
+            """How many values of the rows agree, value by value."""
+            same = np.zeros((low.shape[1], other.shape[1]), dtype="uint8")
+            for v in range(VALUES):
+                same += low[v, :, None] == other[v, None, :]
+            return same
+
+        def compare(ids, low, second):
+            low = np.ascontiguousarray(low.T)
+            if second.any():  # two parts
+                x, y, crossed = np.flatnonzero(~second), np.flatnonzero(second), True
+            else:
+                x = y = np.arange(len(ids))
+                crossed = False
+            for i in range(0, len(x), 256):
+                rows = x[i : i + 256]
+                for j in range(0 if crossed else i, len(y), group_rows):
+                    others = y[j : j + group_rows]
+                    r, c = np.nonzero(block(low[:, rows], low[:, others]) >= least)
+                    if not crossed:
+                        keep = others[c] > rows[r]  # each pair once
+                        r, c = r[keep], c[keep]
+                    if len(r):
+                        yield ids[rows[r]], ids[others[c]]
+
+        def groups():
+            """(ids, low, second) of each (key, p, q)."""
+            rest = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                n = b.num_rows
+                key = np.stack([b[c].to_numpy() for c in ("key", "p", "q")], axis=1)
+                got = [key, b["id"].to_numpy(), np.frombuffer(b"".join(b["low"].to_pylist()), "uint8").reshape(n, VALUES), b["second"].to_numpy(zero_copy_only=False)]
+                starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+                if rest is not None and (rest[0][0][0] != key[0]).any():
+                    yield [np.concatenate(x) for x in zip(*rest, strict=True)][1:]
+                    rest = None
+                for s, e in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
+                    part = [x[s:e] for x in got]
+                    rest = [*(rest or []), part]
+                    if e < n:
+                        yield [np.concatenate(x) for x in zip(*rest, strict=True)][1:]
+                        rest = None
+            if rest is not None:
+                yield [np.concatenate(x) for x in zip(*rest, strict=True)][1:]
 
         def pairs(out):
             a, b = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -145,25 +167,16 @@ def _neighbours(group_rows: int):
             t = pa.table({"a": lo, "b": hi}).group_by(["a", "b"]).aggregate([])
             return t.select(["a", "b"]).combine_chunks().to_batches(max_chunksize=100_000)
 
-        rest, out, waiting = None, [], 0
-        for b in batches:
-            if not b.num_rows:
+        out, waiting = [], 0
+        for ids, low, second in groups():
+            if len(ids) < 2 or (second.any() and second.all()):
                 continue
-            key, ids = b["key"].to_numpy(), b["id"].to_numpy()
-            low = np.frombuffer(b"".join(b["low"].to_pylist()), "uint8").reshape(len(ids), VALUES)
-            if rest is not None:
-                key, ids, low = np.r_[rest[0], key], np.r_[rest[1], ids], np.concatenate([rest[2], low])
-            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                if e - s > 1:
-                    descend(ids[s:e], low[s:e], 2, out)
-            rest = (key[starts[-1] :], ids[starts[-1] :], low[starts[-1] :])
-            waiting = sum(len(x[0]) for x in out[-1000:])
-            if waiting > 200_000 or len(out) > 1000:
-                yield from pairs(out)
-                out = []
-        if rest is not None and len(rest[0]) > 1:
-            descend(rest[1], rest[2], 2, out)
+            for found in compare(ids, low, second):
+                out.append(found)
+                waiting += len(found[0])
+                if waiting > 200_000 or len(out) > 10_000:
+                    yield from pairs(out)
+                    out, waiting = [], 0
         if out:
             yield from pairs(out)
 
@@ -205,15 +218,20 @@ class NearDuplicates:
         self.classes = signed.select("id", "digest", "n").join(same, ["digest", "n"]).select("id", "class_id").distinct()
         # one row per class: the text delivered again, and every copy, is left out here
         classes = signed.groupBy("digest", "n").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id")).select("id", "sig")
-        trees = classes.mapInArrow(_trees, "id bigint, k2 bigint, k4 bigint, low binary")
-        crowded = classes.mapInArrow(_trees, "id bigint, k2 bigint, k4 bigint, low binary").groupBy("k2").count().where(F.col("count") > key_rows).select("k2", F.lit(True).alias("crowded"))
+        trees = classes.mapInArrow(_trees, "id bigint, k2 bigint, low binary")
+        crowded = trees.groupBy("k2").count().where(F.col("count") > key_rows).select("k2", F.ceil(F.col("count") / key_rows).cast("int").alias("parts"))
         crowded = stored(crowded, "crowded")  # few rows: at most trees * classes / key_rows
+        alone = [F.col("k2").alias("key"), F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(False).alias("second")]
         if crowded.isEmpty():
-            keyed = trees.select("id", F.col("k2").alias("key"), "low")
+            keyed = trees.select("id", "low", *alone)
         else:
             side = F.broadcast(crowded) if crowded.count() <= 200_000 else crowded
-            keyed = trees.join(side, "k2", "left").select("id", F.when(F.col("crowded"), F.xxhash64("k2", "k4")).otherwise(F.col("k2")).alias("key"), "low")
-        near = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_neighbours(group_rows), "a bigint, b bigint")
+            dealt = trees.join(side, "k2", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
+            split = dealt.where("parts is not null").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+            split = split.select("id", "low", F.col("k2").alias("key"), F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("second"))
+            keyed = dealt.where("parts is null").select("id", "low", *alone).unionByName(split)
+        keyed = keyed.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+        near = keyed.mapInArrow(_neighbours(group_rows), "a bigint, b bigint")
         near = stored(near.distinct(), "candidates")
         wanted = stored(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
         # one delivery of each text is enough

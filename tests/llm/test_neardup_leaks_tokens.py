@@ -42,6 +42,38 @@ def test_pairs_against_brute_force(spark, options):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_a_crowded_group_keeps_its_pairs():
+    """5,000 pages under one prefix at production parameters; pairs that agree in 40 of 64 values must all be found."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng, n = np.random.default_rng(5), 5_000
+    low = rng.integers(0, 256, (n, neardup.VALUES), dtype="uint8")
+    for i in range(0, n, 2):
+        kept = 2 + rng.permutation(neardup.VALUES - 2)[:40]
+        low[i + 1, kept] = low[i, kept]
+    low[:, :2] = 7
+    place = rng.permutation(n)
+    columns = {"key": np.zeros(n, "int64"), "p": np.zeros(n, "int32"), "q": np.zeros(n, "int32"), "id": place, "second": np.zeros(n, bool)}
+    batch = pa.table({k: pa.array(v) for k, v in columns.items()} | {"low": pa.array([low[i].tobytes() for i in place], pa.binary())})
+    found = neardup._neighbours(neardup.GROUP_ROWS)(iter(batch.combine_chunks().to_batches(max_chunksize=700)))
+    got = {p for b in found for p in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)}
+    assert got == {(i, i + 1) for i in range(0, n, 2)}
+
+
+def test_recall_in_a_crowded_prefix(spark):
+    """600 pages on one template meet under the same prefixes, dealt into many parts; only twins reach 0.6."""
+    rng = random.Random(5)
+    template = " ".join(f"t{i}" for i in range(42))
+    data = []
+    for k in range(300):
+        shared = " ".join(f"s{rng.randrange(10**9)}" for _ in range(7))
+        data += [(2 * k + v, f"{template} {shared} " + " ".join(f"o{rng.randrange(10**9)}" for _ in range(11)), "x", 1) for v in range(2)]
+    want = similar(data)
+    got = {tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(data, PAGE), key_rows=60, group_rows=10).pairs().collect()}
+    assert len(want) == 300 and got <= want and len(got) >= 0.995 * len(want)
+
+
 def test_groups_have_a_row_per_id(spark):
     data = [(1, "a b c d e f g h", "x", 1), (2, "a b c d e f g h", "x", 1), (3, "a b c d e f g i", "x", 1), (4, "z y x w", "x", 1)]
     got = {r["id"]: (r["class_id"], r["links"]) for r in neardup.near_duplicates(spark.createDataFrame(data, PAGE)).groups().collect()}
