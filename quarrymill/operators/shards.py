@@ -65,3 +65,19 @@ def resolve_shard_paths(tokens: DataFrame, catalog: DataFrame, prefix_len: int =
     known = catalog.select(F.col("shard").alias("__shard"), F.col("path").alias("__path"))
     joined = tokens.join(known, shard_key(F.col("token"), prefix_len, fallback) == F.col("__shard"), "left")
     return joined.withColumn("path", F.coalesce("__path", F.lit(other))).drop("__shard", "__path")
+
+
+def resolve_build_paths(tokens: DataFrame, builds: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(build_id, token, path): ``tokens`` (site, token) resolved in the catalog
+    (build_id, shard, path) of each build of their site, else as that build's
+    fallback shard, else null.  ``builds``: (build_id, site, shard_prefix_len,
+    fallback_shard).  Tokens of sites without a build are left out."""
+    prefix = F.substring(F.lower("token"), F.lit(1), F.col("shard_prefix_len"))
+    key = F.when((F.length(prefix) == F.col("shard_prefix_len")) & prefix.rlike(r"^[a-z0-9]+\z"), prefix).otherwise(F.col("fallback_shard"))
+    paths = catalog.where("shard is not null").groupBy("build_id", "shard").agg(F.max("path").alias("path"))
+    other = paths.select("build_id", F.col("shard").alias("fallback_shard"), F.col("path").alias("__other"))
+    known = builds.select("build_id", "site", "shard_prefix_len", "fallback_shard").distinct().join(other, ["build_id", "fallback_shard"], "left")
+    # a site may hold most tokens, so that they don't meet their build by a shuffle
+    side = F.broadcast(known) if builds.count() <= 200_000 else known
+    asked = tokens.where("token is not null").join(side, "site").select("build_id", "token", key.alias("shard"), "__other").distinct()
+    return asked.join(paths, ["build_id", "shard"], "left").select("build_id", "token", F.coalesce("path", "__other").alias("path"))

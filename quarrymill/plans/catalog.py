@@ -168,6 +168,12 @@ def resolve_shard_paths(spark, d):
     return shards.resolve_shard_paths(terms, catalog).select("token", "path")
 
 
+def resolve_build_paths(spark, d):
+    terms = table(spark, d, "postings").select("site", F.col("term").alias("token"))
+    catalog = table(spark, d, "shard_map").withColumn("path", shards.shard_path(F.col("shard")))
+    return shards.resolve_build_paths(terms, table(spark, d, "shard_builds"), catalog)
+
+
 def _engine(spark, d, docs: DataFrame | None = None) -> Engine:
     corpus = _corpus(spark, d)
     sharded = stored(shards.build_shards(indexer.build_postings(corpus)).sortWithinPartitions("shard", "term"), "index")
@@ -237,7 +243,7 @@ def parquet_index_search(spark, d):
 
 _QUERIES = (
     p6_found, p6_shards, tokenize_documents, tokenize_dedupe_limit, stopword_anti_join, normalize_whitespace, excerpt, escape_html, highlight_excerpt, extract_pages, page_title_sources, skipped_pages, base_urls, map_urls_pretty, map_urls_html, doc_ids,
-    field_weights, postings, postings_nested, stored_docs, shard_keys, shard_term_counts, index_stats, oversize_shards, shard_map, resolve_shard_paths, search_single, search_multi_bonus, search_highlight, search_limit, search_stopwords_only, search_unknown_term,
+    field_weights, postings, postings_nested, stored_docs, shard_keys, shard_term_counts, index_stats, oversize_shards, shard_map, resolve_shard_paths, resolve_build_paths, search_single, search_multi_bonus, search_highlight, search_limit, search_stopwords_only, search_unknown_term,
     search_orphan_postings, batch_search, v1_roundtrip, v2_roundtrip, parquet_index_search,
 )
 
@@ -351,6 +357,11 @@ def oracle_sql() -> dict[str, str]:
         "resolve_shard_paths": """WITH k AS (SELECT DISTINCT term AS token, CASE WHEN regexp_matches(substr(lower(term), 1, 2), '^[a-z0-9]{2}$') THEN substr(lower(term), 1, 2) ELSE '_other' END AS shard FROM postings WHERE term IS NOT NULL),
             m AS (SELECT DISTINCT shard FROM shard_map WHERE build_id = 1 AND shard IS NOT NULL)
             SELECT token, CASE WHEN m.shard IS NOT NULL THEN 'inv/' || m.shard || '.json' WHEN EXISTS (SELECT 1 FROM m WHERE shard = '_other') THEN 'inv/_other.json' END AS path FROM k LEFT JOIN m USING (shard)""",
+        "resolve_build_paths": """WITH b AS (SELECT DISTINCT build_id, site, shard_prefix_len AS n, fallback_shard AS other FROM shard_builds),
+            k AS (SELECT DISTINCT build_id, other, term AS token, CASE WHEN length(substr(lower(term), 1, n)) = n AND regexp_full_match(substr(lower(term), 1, n), '[a-z0-9]+') THEN substr(lower(term), 1, n) ELSE other END AS shard
+                FROM postings JOIN b USING (site) WHERE term IS NOT NULL),
+            m AS (SELECT DISTINCT build_id, shard FROM shard_map WHERE shard IS NOT NULL)
+            SELECT DISTINCT k.build_id, token, 'inv/' || coalesce(m.shard, o.shard) || '.json' AS path FROM k LEFT JOIN m ON m.build_id = k.build_id AND m.shard = k.shard LEFT JOIN m o ON o.build_id = k.build_id AND o.shard = k.other""",
         "search_single": _search(T.query_tokens(ONE), 10),
         "search_multi_bonus": many,
         "search_highlight": _search(T.query_tokens(MARKED), 10, shown=_marked("excerpt", T.query_tokens(MARKED))),

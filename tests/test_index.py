@@ -197,3 +197,11 @@ def test_streaming_append(spark, tmp_path):
         append_index(spark.readStream.schema(DOC).parquet(str(source)), str(tmp_path / "index"), str(tmp_path / "check")).awaitTermination()
     e = Engine(*index_files.open_parquet_index(spark, str(tmp_path / "index")))
     assert [r["url"] for r in e.query("beads").collect()] == ["/a", "/z"]
+
+
+def test_paths_of_every_build(spark):
+    builds = spark.createDataFrame([(1, "a", 2, "_other"), (2, "b", 3, "rest"), (2, "b", 3, "rest"), (3, "c", 2, "_other")], "build_id bigint, site string, shard_prefix_len int, fallback_shard string")
+    catalog = spark.createDataFrame([(1, "ab", "1/ab"), (2, "abc", "2/abc"), (2, "rest", "2/rest"), (2, None, "x")], "build_id bigint, shard string, path string")
+    tokens = spark.createDataFrame([("a", "abc"), ("a", "abc"), ("a", "zz"), ("b", "ABCd"), ("b", "ab"), ("c", "abc"), ("d", "abc"), ("a", None)], "site string, token string")
+    got = sorted(map(tuple, shards.resolve_build_paths(tokens, builds, catalog).collect()))
+    assert got == [(1, "abc", "1/ab"), (1, "zz", None), (2, "ABCd", "2/abc"), (2, "ab", "2/rest"), (3, "abc", None)]
