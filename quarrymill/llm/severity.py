@@ -112,7 +112,7 @@ class Words(dict):
 
     def _words(self, token: str) -> tuple[str, ...]:
         if len(token) > 60:
-            return tuple(_PLAIN.findall(fold(token)))[:200]
+            return tuple(_PLAIN.findall(fold(token)))
         t = fold(token)
         core = t.strip(_EDGE)
         if core.isalpha():

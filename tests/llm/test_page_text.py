@@ -127,3 +127,7 @@ def test_severity_tables(spark):
     assert len(scores) == 7 and {r["severity"] for r in scores if r["doc_id"] in (3, 4)} == {0.0}
     assert {r["source"]: (r["documents"], r["harmful"]) for r in severity.rates(docs, labels).collect()} == {"a": (3, 2), None: (1, 0), "b": (3, 1)}
     assert severity.found(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_tokens_of_many_words_are_read_whole():
+    assert severity.Words(set())["x," * 300 + "last"] == ("x",) * 300 + ("last",)
