@@ -202,6 +202,16 @@ def _sets(ids):
     return run
 
 
+def _short(batches: Iterator) -> Iterator:
+    """(id, words) of the texts without runs; null where there is no word."""
+    import pyarrow as pa
+
+    for b in batches:
+        words = [words_of(text) for text in b["text"].to_pylist()]
+        at = [i for i, w in enumerate(words) if len(w) < SHINGLE]
+        yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(at, "int64")), pa.array([" ".join(words[i]) or None for i in at], "string")], names=["id", "words"])
+
+
 class NearDuplicates:
     """The classes of equal texts and the links between similar ones.
 
@@ -212,7 +222,8 @@ class NearDuplicates:
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "id", text_col: str = "body_text", threshold: float = THRESHOLD, key_rows: int = KEY_ROWS, group_rows: int = GROUP_ROWS, sent_ids: int = SENT_IDS):
-        rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+        self.rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+        rows = self.rows.where("text is not null")
         signed = stored(rows.mapInArrow(_signatures, "id bigint, digest bigint, n bigint, sig binary"), "signatures")
         same = signed.groupBy("digest", "n").agg(F.min("id").alias("class_id"))
         self.classes = signed.select("id", "digest", "n").join(same, ["digest", "n"]).select("id", "class_id").distinct()
@@ -255,9 +266,14 @@ class NearDuplicates:
         return other.unionByName(copies).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
     def groups(self) -> DataFrame:
-        """(id, class_id, links): one row per id; the number of other classes its class is linked with."""
+        """(id, class_id, links): one row per id; the number of other classes its class is linked with.
+
+        Texts without runs have no links; those of the same words are one class, and each without words is its own."""
         ends = self.links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
-        return self.classes.join(ends, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+        short = self.rows.mapInArrow(_short, "id bigint, words string").groupBy("id").agg(F.min("words").alias("words")).join(self.classes, "id", "left_anti")
+        same = short.where("words is not null").groupBy("words").agg(F.min("id").alias("class_id"))
+        classes = self.classes.unionByName(short.join(same, "words", "left").select("id", F.coalesce("class_id", "id").alias("class_id")))
+        return classes.join(ends, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
 
 
 def near_duplicates(docs: DataFrame, **options) -> NearDuplicates:
@@ -265,7 +281,7 @@ def near_duplicates(docs: DataFrame, **options) -> NearDuplicates:
     runs of SHINGLE words; see ``NearDuplicates``.
 
     Defined cases: null ids or texts, and texts of fewer than SHINGLE words,
-    are in no class; an id delivered again counts once; equal texts share a
+    are in no class and pair (``groups`` has a row for all but null ids); an id delivered again counts once; equal texts share a
     class and are similar; an empty table gives none; texts are taken whole;
     further columns are ignored.
     """

@@ -80,6 +80,12 @@ def test_groups_have_a_row_per_id(spark):
     assert got == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (4, 0)}
 
 
+def test_groups_hold_short_and_missing_texts(spark):
+    data = [(1, "a b c d e", "x", 1), (2, None, "x", 1), (3, "", "x", 1), (4, "Two words", "x", 1), (5, "two, words!", "x", 1), (5, "two words", "x", 1), (None, "a b", "x", 1), (6, "...", "x", 1)]
+    got = sorted(map(tuple, neardup.near_duplicates(spark.createDataFrame(data, PAGE)).groups().collect()))
+    assert got == [(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (5, 4, 0), (6, 6, 0)]
+
+
 def test_no_pages(spark):
     empty = spark.createDataFrame([], PAGE)
     assert neardup.near_duplicates(empty).pairs().count() == 0 and neardup.near_duplicates(empty).groups().count() == 0
