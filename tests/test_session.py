@@ -8,7 +8,7 @@ from quarrymill import session
 def test_stored_tables_can_be_dropped(spark):
     session.drop_stored(spark)
     df = session.stored(spark.range(5), "numbers")
-    assert df.count() == 5 and os.listdir(session.shared_dir(spark))
+    assert df.count() == 5 and os.listdir(session.shared_dir(spark).removeprefix("file:"))
     assert session.drop_stored(spark) == 1 and session.drop_stored(spark) == 0
     with pytest.raises(Exception):  # noqa: B017
         spark.read.parquet(df.inputFiles()[0]).count()
