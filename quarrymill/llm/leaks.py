@@ -3,9 +3,12 @@
 Word windows are embedded by the CGK random walk: 3 * WINDOW steps read the
 current word, write it, and move on or stay by a random bit of the word, so a
 few edits between two windows leave a small Hamming distance between their
-embeddings.  Repeated bit-sampling LSH over the embeddings gives candidate
-alignments of a document and an item; each is then verified exactly, by the
-run of equal words through it and by the edit distance of item-sized windows.
+embeddings.  Bit-sampling LSH over the embeddings is repeated in as many
+tables as a target recall asks for.  Keys of item windows and of document
+windows are joined, which gives candidate alignments in one pass over the
+documents, however many items there are.  Each is then verified exactly, by
+the longest run of equal words on its diagonal and by the edit distance of
+windows as long as the item, up to PASSAGE words.
 
 Two windows of equal words always collide.  Item windows start at every word
 and document windows at every STRIDE-th, with WINDOW + STRIDE - 1 = MIN_RUN,
@@ -16,19 +19,24 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrymill.session import stored
+
 MIN_RUN = 12
 WINDOW, STRIDE = 8, 5
 STEPS = 3 * WINDOW
-#: Positions of the embedding that each table samples.
-SAMPLES = ((0, 3, 6, 9, 12, 15, 18, 21), (1, 2, 7, 8, 13, 14, 19, 20), (0, 1, 4, 5, 10, 11, 16, 17))
-#: Words compared by edit distance around an alignment, and the most edits.
+#: Positions of the embedding that each table samples, and the part of windows with one word replaced that must collide in some table.
+SAMPLED, WINDOW_RECALL = 8, 0.5
+#: Most words compared by edit distance around an alignment, and the most edits in so many; shorter items in proportion.
 PASSAGE, MAX_EDITS = 24, 6
-#: Items held at once; more are taken in blocks.
-BLOCK_ITEMS = 5_000
+#: Bits of the sketch of item keys that is sent to the executors: at most 16 MB, whatever the items.
+LEAST_BITS, MOST_BITS = 16, 27
+#: Words of documents verified at once.
+VERIFY_WORDS = 1_000_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -49,18 +57,19 @@ class _Hashes(dict):
         return h
 
 
-def embed_keys(windows):
+def embed_keys(windows, samples: tuple[tuple[int, ...], ...] | None = None):
     """Sampled keys of the CGK embeddings of windows of word hashes (n x WINDOW), one array per table."""
     import numpy as np
 
+    samples = sampled_positions() if samples is None else samples
     n = len(windows)
     padded = np.zeros((n, WINDOW + 1), dtype="int64")
     padded[:, :WINDOW] = windows
     flat, base, at = padded.ravel(), np.arange(n, dtype="int64") * (WINDOW + 1), np.zeros(n, dtype="int64")
-    keys = [np.full(n, t + 1, dtype="uint64") for t in range(len(SAMPLES))]
+    keys = [np.full(n, t + 1, dtype="uint64") for t in range(len(samples))]
     for step in range(STEPS):
         symbol = flat[base + at]
-        for key, sample in zip(keys, SAMPLES, strict=True):
+        for key, sample in zip(keys, samples, strict=True):
             if step in sample:
                 key *= np.uint64(0x9E3779B97F4A7C15)
                 key ^= symbol.view("uint64")
@@ -70,20 +79,22 @@ def embed_keys(windows):
     return keys
 
 
-def _runs(a, i, b, j):
-    """Length of the run of equal words through a[i:i+k] and b[j:j+k], as far as MIN_RUN on either side matters."""
+@cache
+def sampled_positions(recall: float = WINDOW_RECALL) -> tuple[tuple[int, ...], ...]:
+    """Positions of each table: tables are added until so large a part of
+    simulated windows with one word replaced collides in some table."""
     import numpy as np
 
-    total = np.zeros(len(i), dtype="int64")
-    for step in (1, -1):
-        alive, k = np.ones(len(i), dtype=bool), 0 if step == 1 else 1
-        while alive.any() and k < 4096:
-            x, y = i + step * k, j + step * k
-            alive &= (x >= 0) & (x < len(a)) & (y >= 0) & (y < len(b))
-            alive[alive] = a[x[alive]] == b[y[alive]]
-            total += alive
-            k += 1
-    return total
+    rng = np.random.default_rng(20240117)
+    windows = rng.integers(1, 1 << 62, (4000, WINDOW))
+    edited = windows.copy()
+    edited[np.arange(len(edited)), rng.integers(0, WINDOW, len(edited))] = rng.integers(1, 1 << 62, len(edited))
+    samples, missed = [], np.ones(len(windows), dtype=bool)
+    while missed.mean() > 1 - recall:
+        samples.append(tuple(sorted(rng.permutation(STEPS)[:SAMPLED].tolist())))
+        x, y = (embed_keys(w, (samples[-1],))[0] for w in (windows, edited))
+        missed &= x != y
+    return tuple(samples)
 
 
 def edit_distance(x, y):
@@ -101,121 +112,194 @@ def edit_distance(x, y):
     return row[:, m]
 
 
-class Items:
-    """The items' words one after the other, separated, and the tables of their windows."""
+def word_hashes(texts: list[str | None], hashes: _Hashes):
+    """Hashes of the words of texts one after the other, and how many each has."""
+    import numpy as np
 
-    def __init__(self, items: list[tuple[int, str]]):
-        import numpy as np
+    parts = [np.fromiter(map(hashes.__getitem__, w), "int64", len(w)) for w in map(words_of, texts)]
+    return (np.concatenate(parts) if parts else np.zeros(0, "int64")), np.array([len(p) for p in parts], dtype="int64")
 
-        hashes, parts, owner, begins, self.ids = _Hashes(), [], [], [], []
-        for item_id, text in items:
-            w = [hashes[x] for x in words_of(text)]
-            parts += [0] * WINDOW + w
-            begins.append(len(parts) - len(w))
-            owner += [-1] * WINDOW + [len(self.ids)] * len(w)
-            self.ids.append(item_id)
-        self.words, self.owner = np.array(parts + [0] * PASSAGE, dtype="int64"), np.array(owner + [-1] * PASSAGE, dtype="int64")
-        self.starts = np.array(begins, dtype="int64")
-        view = np.lib.stride_tricks.sliding_window_view(self.words, WINDOW)
-        at = np.flatnonzero((view != 0).all(axis=1))
-        self.tables = []
-        for key in embed_keys(view[at]):
-            order = np.argsort(key, kind="stable")
-            self.tables.append((key[order], at[order]))
-
-    def candidates(self, windows, at):
-        """Distinct (position in the documents, position in the items) whose windows collide in a table."""
-        import numpy as np
 
-        out = []
-        for key, (known, where) in zip(embed_keys(windows), self.tables, strict=True):
-            lo = np.searchsorted(known, key, "left")
-            hit = np.flatnonzero((lo < len(known)) & (known[np.minimum(lo, len(known) - 1)] == key)) if len(known) else np.zeros(0, "int64")
-            lo, hi = lo[hit], np.searchsorted(known, key[hit], "right")
-            n = hi - lo
-            ends = np.cumsum(n)
-            inner = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
-            out.append(np.stack([np.repeat(at[hit], n), where[np.repeat(lo, n) + inner]], axis=1))
-        return np.unique(np.concatenate(out), axis=0)
+def places(sizes, stride: int):
+    """(text, place) of the windows of texts of ``sizes`` words; none of texts of fewer than MIN_RUN."""
+    import numpy as np
+
+    count = np.where(sizes < MIN_RUN, 0, (sizes - WINDOW) // stride + 1)
+    text = np.repeat(np.arange(len(sizes)), count)
+    return text, stride * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
+
+
+def _lists(values, sizes):
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("int32")), pa.array(values))
+
+
+def _hashed_items(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    hashes = _Hashes()
+    for b in batches:
+        flat, sizes = word_hashes(b["text"].to_pylist(), hashes)
+        t = pa.RecordBatch.from_arrays([b["item_id"], _lists(flat, sizes)], names=["item_id", "item_words"])
+        yield t.filter(pa.array(sizes >= MIN_RUN))
+
+
+def _item_windows(batches: Iterator) -> Iterator:
+    """(key, item, j) of every window in every table."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        lists = b["item_words"]
+        flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False).astype("int64")
+        text, at = places(sizes, 1)
+        if not len(at):
+            continue
+        begin = (np.cumsum(sizes) - sizes)[text] + at
+        item = b["item"].to_numpy()[text]
+        for part in np.array_split(np.arange(len(at)), -(-len(at) // 100_000)):
+            for key in embed_keys(flat[begin[part][:, None] + np.arange(WINDOW)]):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view("int64")), pa.array(item[part]), pa.array(at[part].astype("int32"))], names=["key", "item", "j"])
+
 
+def _hits(sketch, bits: int):
+    """One row per document with windows whose keys are in the sketch of item keys."""
 
-def _search(block, max_edits: int):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        items: Items = block.value
-        hashes = _Hashes()
+        known, hashes, mask = sketch.value, _Hashes(), (1 << bits) - 1
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                b = whole.slice(first, 1000)
+                flat, sizes = word_hashes(b["text"].to_pylist(), hashes)
+                text, at = places(sizes, STRIDE)
+                if not len(at):
+                    continue
+                begin = (np.cumsum(sizes) - sizes)[text] + at
+                found = []
+                for part in np.array_split(np.arange(len(at)), -(-len(at) // 100_000)):
+                    for key in embed_keys(flat[begin[part][:, None] + np.arange(WINDOW)]):
+                        place = (key & np.uint64(mask)).astype("int64")
+                        hit = np.flatnonzero((known[place >> 6] >> (place & 63).astype("uint64")) & np.uint64(1))
+                        found.append((part[hit], key[hit].view("int64")))
+                window, key = (np.concatenate(x) for x in zip(*found, strict=True))
+                if not len(window):
+                    continue
+                order = np.argsort(window, kind="stable")
+                window, key = window[order], key[order]
+                rows, count = np.unique(text[window], return_counts=True)
+                inside = np.concatenate([np.arange(e - n, e) for n, e in zip(sizes[rows], np.cumsum(sizes)[rows], strict=True)])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(rows)), _lists(flat[inside], sizes[rows]), _lists(at[window].astype("int32"), count), _lists(key, count)], names=["doc_id", "words", "at", "keys"])
+
+    return run
+
+
+def longest_runs(words, first, items, second, sizes):
+    """Length of the longest run of equal words of each pair of stretches: ``sizes`` words of ``words`` from ``first`` and of ``items`` from ``second``."""
+    import numpy as np
+
+    out, at = np.zeros(len(sizes), dtype="int64"), 0
+    while at < len(sizes):
+        to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), 4_000_000, "right")))
+        n = sizes[at:to]
+        start = np.cumsum(n) - n
+        which, place = np.repeat(np.arange(len(n)), n), np.arange(int(n.sum()))
+        inner = place - start[which]
+        same = words[first[at:to][which] + inner] == items[second[at:to][which] + inner]
+        last = np.maximum.accumulate(np.where(same, -1, place))
+        out[at:to] = np.maximum.reduceat(np.where(same, place - np.maximum(last, start[which] - 1), 0), start)
+        at = to
+    return out
+
+
+def _verify(max_edits: int):
+    """(doc_id, item_id, run, edits) of the pairs with a long run or few edits."""
+
+    def checked(b):
+        import numpy as np
+        import pyarrow as pa
+
+        (words, n), (items, m), (pairs, k) = ((x.flatten(), x.value_lengths().to_numpy(zero_copy_only=False).astype("int64")) for x in (b["words"], b["item_words"], b["pairs"]))
+        words, items, at, j = words.to_numpy(), items.to_numpy(), *(pairs.field(c).to_numpy().astype("int64") for c in ("at", "j"))
+        row = np.repeat(np.arange(len(k)), k)
+        d0, i0 = np.cumsum(n) - n, np.cumsum(m) - m
+        # the longest run on every diagonal of a pair that holds an alignment
+        diagonal, back = np.unique(np.stack([row, at - j], axis=1), axis=0, return_inverse=True)
+        r, shift = diagonal[:, 0], diagonal[:, 1]
+        from_doc, from_item = np.maximum(shift, 0), np.maximum(-shift, 0)
+        run = longest_runs(words, d0[r] + from_doc, items, i0[r] + from_item, np.minimum(n[r] - from_doc, m[r] - from_item))[back.ravel()]
+        # windows of the item's size around the alignment; places outside the document hold no word
+        span = np.minimum(PASSAGE, m[row])
+        edits = np.where(run >= span, 0, span)
+        words, items = np.r_[words, 0], np.r_[items, 0]
+        for size in np.unique(span).tolist():
+            todo = np.flatnonzero((span == size) & (run < size))
+            for part in np.array_split(todo, -(-len(todo) // 20_000)) if len(todo) else ():
+                rows = row[part]
+                begin = np.clip(j[part] - (size - WINDOW) // 2, 0, m[rows] - size)
+                place = (begin + at[part] - j[part])[:, None] + np.arange(size)
+                x = words[np.where((place >= 0) & (place < n[rows][:, None]), d0[rows][:, None] + place, len(words) - 1)]
+                edits[part] = edit_distance(x, items[(i0[rows] + begin)[:, None] + np.arange(size)])
+        keep = (run >= MIN_RUN) | (edits * PASSAGE <= max_edits * span)
+        t = pa.table({"doc_id": b["doc_id"].to_numpy()[row[keep]], "item_id": b["item_id"].to_numpy()[row[keep]], "run": run[keep], "edits": edits[keep]})
+        t = t.group_by(["doc_id", "item_id"]).aggregate([("run", "max"), ("edits", "min")]).rename_columns(["doc_id", "item_id", "run", "edits"])
+        return t.combine_chunks().to_batches()
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
         for b in batches:
-            ids, texts = b["doc_id"].to_numpy(), b["text"].to_pylist()
-            parts = [np.fromiter(map(hashes.__getitem__, w), "int64", len(w)) for w in map(words_of, texts)]
-            gap = np.zeros(PASSAGE, dtype="int64")
-            words = np.concatenate([x for p in parts for x in (p, gap)]) if parts else gap
-            sizes = np.array([len(p) for p in parts], dtype="int64")
-            starts = np.cumsum(sizes + PASSAGE) - sizes - PASSAGE
-            count = np.maximum(0, (sizes - WINDOW) // STRIDE + 1)
-            ends = np.cumsum(count)
-            doc = np.repeat(np.arange(len(parts)), count)
-            at = starts[doc] + STRIDE * (np.arange(len(doc)) - (ends - count)[doc])
-            if not len(at):
-                continue
-            found = []
-            for part in np.array_split(np.arange(len(at)), -(-len(at) // 200_000)):
-                windows = words[at[part][:, None] + np.arange(WINDOW)]
-                found.append(items.candidates(windows, at[part]))
-            pairs = np.concatenate(found)
-            if not len(pairs):
-                continue
-            i, j = pairs[:, 0], pairs[:, 1]
-            d = np.searchsorted(starts, i, "right") - 1
-            item = items.owner[j]
-            run_length = _runs(words, i, items.words, j)
-            # item-sized windows around the alignment, moved into both texts
-            first = np.minimum(np.minimum(i - starts[d], j - items.starts[item]), (PASSAGE - WINDOW) // 2)
-            edits = np.full(len(i), PASSAGE, dtype="int64")
-            todo = np.flatnonzero(run_length < PASSAGE)
-            edits[run_length >= PASSAGE] = 0
-            span = np.arange(PASSAGE)
-            for part in np.array_split(todo, max(1, -(-len(todo) // 20_000))):
-                if len(part):
-                    x = words[np.clip(i[part] - first[part], 0, len(words) - PASSAGE)[:, None] + span]
-                    y = items.words[np.clip(j[part] - first[part], 0, len(items.words) - PASSAGE)[:, None] + span]
-                    edits[part] = edit_distance(x, y)
-            keep = (run_length >= MIN_RUN) | (edits <= max_edits)
-            t = pa.table({"doc_id": ids[d[keep]], "item_id": np.array(items.ids, dtype="int64")[item[keep]], "run": run_length[keep], "edits": edits[keep]})
-            t = t.group_by(["doc_id", "item_id"]).aggregate([("run", "max"), ("edits", "min")]).rename_columns(["doc_id", "item_id", "run", "edits"])
-            yield from t.combine_chunks().to_batches()
+            ends = np.cumsum(b["words"].value_lengths().to_numpy(zero_copy_only=False).astype("int64")) if b.num_rows else np.zeros(0, "int64")
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + VERIFY_WORDS, "right")))
+                yield from checked(b.slice(at, to - at))
+                at = to
 
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, max_edits: int = MAX_EDITS, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """(doc_id, item_id, run, edits): the documents that hold a passage of an
-    item, as a run of at least MIN_RUN equal words (always found) or as
-    PASSAGE words with at most ``max_edits`` word edits (found with the LSH's
-    recall).  ``run`` is the longest run through a found alignment, ``edits``
-    the fewest edits of a compared passage.
-
-    Items are the query set: they are searched in blocks of ``block_items``,
-    each small enough to be sent to the executors, against all documents.
-
-    Defined cases: null ids and null texts have no passages; texts of fewer
-    than MIN_RUN words are too short; repeated rows give one row per pair;
-    empty tables give no rows; texts are searched whole; further columns are
-    ignored.
+    item, as a run of at least MIN_RUN equal words (always found) or as a
+    window as long as the item, of PASSAGE words at most, with at most
+    ``max_edits`` word edits in PASSAGE (found with the LSH's recall).  ``run``
+    is the longest run through a found alignment, ``edits`` the fewest edits of
+    a compared window.
+
+    The documents are read once.  A sketch of the items' keys, of bounded size,
+    is sent to the executors; the windows that it lets through meet the items
+    by a join on keys, and only documents with such windows go on.
+
+    Defined cases: null ids and null texts have no passages; texts and items of
+    fewer than MIN_RUN words are too short; repeated rows give one row per
+    pair; empty tables give no rows; texts are searched whole; further columns
+    are ignored.
     """
-    spark = documents.sparkSession
+    import numpy as np
+
     known = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
-    n = known.count()
-    blocks = max(1, -(-n // block_items))
+    known = stored(known.mapInArrow(_hashed_items, "item_id bigint, item_words array<bigint>").withColumn("item", F.monotonically_increasing_id()), "items")
+    windows = known.select("item", "item_words").mapInArrow(_item_windows, "key bigint, item bigint, j int")
+    total = known.agg(F.coalesce(F.sum(F.size("item_words")), F.lit(0))).first()[0]
+    bits = min(MOST_BITS, max(LEAST_BITS, (64 * total).bit_length()))
+    place = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    set_bits = windows.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("word")).toArrow()
+    sketch = np.zeros(1 << (bits - 6), dtype="uint64")
+    sketch[set_bits["at"].to_numpy()] = set_bits["word"].to_numpy().view("uint64")
+    sent = documents.sparkSession.sparkContext.broadcast(sketch)
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    out = None
-    for k in range(blocks):
-        part = known if blocks == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        block = spark.sparkContext.broadcast(Items([tuple(r) for r in part.orderBy("item_id").collect()]))
-        hits = docs.mapInArrow(_search(block, max_edits), "doc_id bigint, item_id bigint, run bigint, edits bigint")
-        out = hits if out is None else out.unionByName(hits)
-    return out.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.min("edits").alias("edits"))
+    hits = docs.mapInArrow(_hits(sent, bits), "doc_id bigint, words array<bigint>, at array<int>, keys array<bigint>")
+    hits = stored(hits.withColumn("row", F.monotonically_increasing_id()), "hits")
+    asked = hits.select("row", F.explode(F.arrays_zip("at", "keys")).alias("w")).select("row", "w.at", F.col("w.keys").alias("key"))
+    pairs = asked.join(windows, "key").groupBy("row", "item").agg(F.collect_set(F.struct("at", "j")).alias("pairs"))
+    both = pairs.join(hits.select("row", "doc_id", "words"), "row").join(known, "item").select("doc_id", "words", "item_id", "item_words", "pairs")
+    found = both.mapInArrow(_verify(max_edits), "doc_id bigint, item_id bigint, run bigint, edits bigint")
+    return found.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.min("edits").alias("edits"))
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:

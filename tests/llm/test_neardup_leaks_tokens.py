@@ -100,8 +100,10 @@ def test_urls(spark):
 DOC = "doc_id bigint, text string, ids string, run int"
 
 
-@pytest.mark.parametrize("block", [1, 5_000])
-def test_leaks_against_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [6, 27])
+def test_leaks_against_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(leaks, "MOST_BITS", bits)  # 6: a sketch so full that it lets every window through
+    monkeypatch.setattr(leaks, "LEAST_BITS", 6)
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(60)]
     items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([5, 12, 30, 60])))) for i in range(8)] + [(None, "x"), (90, None), (91, "")]
@@ -122,11 +124,40 @@ def test_leaks_against_brute_force(spark, block):
 
     want = {(d, i) for d, t, *_ in docs if d is not None for i, x in items if i is not None and grams(t) & grams(x)}
     D, I = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id bigint, text string")
-    got = leaks.leaked_items(D, I, block_items=block)
+    got = leaks.leaked_items(D, I)
     assert {(r["doc_id"], r["item_id"]) for r in got.where("run >= 12").collect()} == want
     assert (502, 3) in want and len(want) > 20
 
 
+def test_short_overlaps_at_ends_are_no_leaks(spark):
+    """8 to 11 shared words at either end of texts, among neighbours in a batch; texts of 8 words are too short."""
+    item = [f"w{i}" for i in range(40)]
+    docs = []
+    for n in range(8, 13):
+        for where in range(4):
+            own = [f"d{n}{where}{i}" for i in range(20)]
+            docs.append((n * 10 + where, " ".join([own + item[-n:], item[:n] + own, item[-n:] + own, own + item[:n]][where]), "x", 1))
+    docs += [(1, " ".join(item[:8]), "x", 1), (2, " ".join(item[-11:]), "x", 1)]
+    items = [(1, " ".join(item)), (2, " ".join(item[:8])), (3, " ".join(item[-11:]))]
+    got = {(r["doc_id"], r["item_id"]): r["run"] for r in leaks.leaked_items(spark.createDataFrame(docs, DOC).coalesce(1), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(120 + where, 1): 12 for where in range(4)}
+
+
+def test_runs_of_any_length(spark):
+    long = [f"w{i}" for i in range(10_000)]
+    docs = [(1, " ".join(["x"] * 7 + long + ["y"]), "x", 1), (2, " ".join(long[:13] + ["y"] * 20), "x", 1)]
+    got = {r["doc_id"]: (r["run"], r["edits"]) for r in leaks.leaked_items(spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, " ".join(long))], "item_id bigint, text string")).collect()}
+    assert got[1] == (10_000, 0) and got[2][0] == 13
+
+
+def test_short_items_with_edits(spark):
+    """An item of 14 words allows edits in proportion, whatever stands around its copy."""
+    item = [f"w{i}" for i in range(14)]
+    docs = [(k, " ".join(["a"] * 10 + item[:k] + ["edit"] + item[k + 1 :] + ["b"] * 10), "x", 1) for k in (2, 11)] + [(20, " ".join(["a"] * 10 + item[:8] + ["b"] * 16), "x", 1)]
+    got = {r["doc_id"]: r["edits"] for r in leaks.leaked_items(spark.createDataFrame(docs, DOC), spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()}
+    assert got == {2: 1, 11: 1}
+
+
 def test_edited_passages(spark):
     rng = random.Random(4)
     item = [f"w{i}" for i in range(40)]
