@@ -5,10 +5,12 @@ and no piece runs on from visible characters into white space.  So a text can
 be cut into *words* (white space and the visible characters after it), each
 distinct word encoded once, and the ids put back by position.
 
-The table of distinct words is stored; it is built by a map-side combine and one exchange of
-distinct words only.  Its head, the most frequent words up to a fixed bound,
-is sent to the executors; a word beyond the bound is encoded where it stands,
-by the same encoder, so results don't depend on the bound.
+Spark splits the texts and counts their words, with a map-side combine and one
+exchange of distinct words; the table is stored with the ids of each word.
+Its head, the most frequent words up to a fixed bound, is sent to the
+executors and put back where texts are read.  A text with words beyond the head
+keeps its other ids between them, in parts; only those words and such texts
+are joined by position.  Results don't depend on the bound.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ from __future__ import annotations
 import base64
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -27,9 +28,8 @@ from quarrymill.session import stored
 #: White space as Unicode's White_Space property has it.
 _WS = r"\t-\r \x85\xa0  -     　"
 WORD = rf"[{_WS}]*[^{_WS}]+|[{_WS}]+"
-#: Most words, and most characters of a word, in the head that is broadcast: at most about 16 MB.
-HEAD_WORDS, HEAD_CHARS = 131_072, 32
-FLUSH_WORDS = 400_000
+#: Most words of the head that is broadcast, and their most characters: at most about 8 MB.
+HEAD_WORDS, HEAD_CHARS = 65_536, 64
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -51,6 +51,14 @@ def _encoder(path: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
+def _encoder(path: str):
+    import tiktoken
+
+    # pieces of a byte-level BPE: contractions, letters, digits, other signs, white space (fixed pattern of the public vocabulary)
+    pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
+
+
 def _distinct(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
@@ -86,53 +94,46 @@ def word_table(documents: DataFrame, text_col: str = "text", folder: str | None
     """(word, n, ids) of every distinct word: its occurrences and its ids.
     Null and empty texts have no words."""
     texts = documents.select(F.col(text_col).cast("string").alias("text")).where("text is not null and text <> ''")
-    words = texts.mapInArrow(_distinct, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    words = texts.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     return words.mapInArrow(_encode(vocabulary_path(folder)), "word string, n bigint, ids array<int>")
 
 
-def _apply(head, path: str):
+def _place(head):
+    """(doc_id, parts, words): the words of a text that are beyond the head, in
+    order, and its other ids in parts: those before the first such word, an
+    empty part in its place, those up to the next, and so on."""
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        words, lengths, ids = head.value
+        known, lengths, ids = head.value
         find = re.compile(WORD).findall
-        encode = None
-
-        class Words(dict):
-            def __missing__(self, word):  # beyond the head
-                nonlocal encode
-                encode = encode or _encoder(path).encode_ordinary
-                more.append(encode(word))
-                self[word] = at = len(starts) + len(more) - 1
-                return at
-
-        starts = np.r_[0, np.cumsum(lengths)[:-1]] if len(lengths) else np.zeros(0, "int64")
-        table, more = Words(zip(words, range(len(words)), strict=True)), []
-        fixed = len(words)
-        for b in batches:
-            texts = b["text"].to_pylist()
-            counts = np.zeros(len(texts), dtype="int64")
-            at: list = []
-            for i, text in enumerate(texts):
-                if text:
-                    found = find(text)
+        table = dict(zip(known, range(len(known)), strict=True))
+        starts = np.r_[np.cumsum(lengths) - lengths, 0]  # the last place is for words beyond
+        lengths = np.r_[lengths, 0]
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                b = whole.slice(first, 1000)
+                counts, where, beyond = np.zeros(b.num_rows, dtype="int64"), [], []
+                for i, text in enumerate(b["text"].to_pylist()):
+                    found = find(text) if text else ()
                     counts[i] = len(found)
-                    at.append(np.fromiter(map(table.__getitem__, found), "int64", len(found)))
-            where = np.concatenate(at) if at else np.zeros(0, "int64")
-            extra = np.array([len(x) for x in more], dtype="int64")
-            all_lengths = np.r_[lengths, extra].astype("int64")
-            all_ids = np.r_[ids, np.array([y for x in more for y in x], dtype="int32")].astype("int32") if more else ids
-            all_starts = np.r_[starts, len(ids) + np.cumsum(extra) - extra].astype("int64")
-            n = all_lengths[where]
-            ends = np.cumsum(n)
-            flat = all_ids[np.repeat(all_starts[where] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-            bounds = np.r_[0, ends][np.r_[0, np.cumsum(counts)]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.ListArray.from_arrays(pa.array(bounds.astype("int32")), pa.array(flat.astype("int32")))], names=["doc_id", "ids"])
-            if len(more) > FLUSH_WORDS:
-                for w in list(table)[fixed:]:
-                    del table[w]
-                more.clear()
+                    w = np.fromiter([table.get(x, -1) for x in found], "int64", len(found))
+                    where.append(w)
+                    beyond.append([found[k] for k in np.flatnonzero(w < 0).tolist()])
+                w = np.concatenate(where)
+                n = lengths[w]
+                ends = np.cumsum(n)
+                flat = ids[np.repeat(starts[w] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+                # ids stand one after the other; a part ends at each word beyond, twice, and at the end of its text
+                places, last = np.flatnonzero(w < 0), np.cumsum(counts)
+                edges = np.r_[np.repeat(np.r_[0, ends][places], 2), np.r_[0, ends][last]]
+                order = np.argsort(np.r_[np.repeat(places, 2), last - 0.5], kind="stable")
+                inner = pa.ListArray.from_arrays(pa.array(np.r_[0, edges[order]].astype("int32")), pa.array(flat, pa.int32()))
+                sizes = 2 * np.array([len(x) for x in beyond], dtype="int64") + 1
+                parts = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("int32")), inner)
+                yield pa.RecordBatch.from_arrays([b["doc_id"], parts, pa.array(beyond, pa.list_(pa.string()))], names=["doc_id", "parts", "words"])
 
     return run
 
@@ -147,22 +148,30 @@ def encode_corpus(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     import numpy as np
 
-    spark, path = documents.sparkSession, vocabulary_path(folder)
-    words = stored(word_table(documents, text_col, folder), "words").where(F.length("word") <= HEAD_CHARS)
+    spark = documents.sparkSession
+    table = stored(word_table(documents, text_col, folder), "words")
+    short = table.where(F.length("word") <= HEAD_CHARS)
     # the least frequency that leaves at most ``head_words``, from at most 8 * 64 counts
     step = F.floor(F.log2("n") * 8)
     least, room = None, head_words
-    for r in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+    for r in short.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
         room -= r["count"]
         if room < 0:
             break
         least = r["step"]
-    frequent = words.where(F.lit(False) if least is None else step >= least).select("word", "ids").toArrow()
+    frequent = short.where(F.lit(False) if least is None else step >= least).select("word", "ids").toArrow()
     lists = frequent["ids"].combine_chunks()
     lengths = np.asarray(lists.value_lengths().to_numpy(zero_copy_only=False), dtype="int64") if len(frequent) else np.zeros(0, "int64")
     head = spark.sparkContext.broadcast((frequent["word"].to_pylist(), lengths, np.asarray(lists.flatten().to_numpy(zero_copy_only=False), dtype="int32")))
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_apply(head, path), "doc_id bigint, ids array<int>")
+    placed = rows.mapInArrow(_place(head), "doc_id bigint, parts array<array<int>>, words array<string>")
+    placed = stored(placed.withColumn("row", F.monotonically_increasing_id()), "placed")
+    done = placed.where(F.size("words") == 0).select("doc_id", F.col("parts")[0].alias("ids"))
+    asked = placed.where(F.size("words") > 0).select("row", F.posexplode("words").alias("at", "word"))
+    answers = asked.join(table.select("word", F.col("ids").alias("own")), "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "own"))).alias("own"))
+    cut = placed.where(F.size("words") > 0).select("row", "doc_id", "parts").join(answers, "row")
+    filled = F.flatten(F.transform("parts", lambda ids, i: F.when(i % 2 == 1, F.col("own")[(i / 2).cast("int")]["own"]).otherwise(ids)))
+    return done.unionByName(cut.select("doc_id", filled.alias("ids")))
 
 
 def decode_corpus(encoded: DataFrame, folder: str | None = None) -> DataFrame:
