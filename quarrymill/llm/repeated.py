@@ -4,10 +4,13 @@ Every line has a key: lower case, letters only, hashed to 128 bits together
 with its site and table.  The documents of a key are held as compressed
 bitmaps: ids are cut into ranges of 65,536 (containers), a container is a
 sorted array of 16-bit offsets while it is small and a plain bitmap of 8 KB
-beyond.  Bitmaps are built in the chunks where lines are read, variants of a
-line and chunks are united per container, and the exact cardinalities of a
-key's containers add up.  Keys with enough documents are then looked up for
-every line.
+beyond.  Bitmaps are built in the chunks where lines are read; those of the
+variants of a line, in whatever spelling and chunk, are united per container
+and stored, and the exact cardinalities of a key's containers add up.  The
+containers of keys with enough documents are kept, and a line is deleted if
+its document's bit is set in one of them.  Lines and bitmaps meet by (line,
+container), so that a task holds at most 65,536 documents of a line however
+many the site has.
 """
 
 from __future__ import annotations
@@ -18,11 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.operators.balanced import chunks
+from quarrymill.session import stored
 
 MIN_DOCS = 6
 CHUNK_LINES = 300_000
 #: Offsets beyond which a bitmap is smaller than the array.
 ARRAY_MAX = 4096
+#: Offsets of a kept container that are looked up one by one; beyond, by the bit in a word of 64.
+LISTED_MAX = 256
 
 
 def line_key(line: Column) -> Column:
@@ -96,51 +102,77 @@ def _build(batches: Iterator) -> Iterator:
         yield from out.to_batches(max_chunksize=50_000)
 
 
-def _cardinalities(batches: Iterator) -> Iterator:
-    """Union of the bitmaps of each (k1, k2, high), which come one after the
-    other; out goes the exact number of documents in it."""
+def _unite(batches: Iterator) -> Iterator:
+    """(k1, k2, high, bits, docs): the union of the bitmaps of each (k1, k2,
+    high), which come one after the other, and its exact cardinality."""
     import numpy as np
     import pyarrow as pa
 
+    names = ["k1", "k2", "high", "bits", "docs"]
+
+    def out(rows):
+        keys = [pa.array(x, pa.int64()) for x in zip(*(key for key, _ in rows), strict=True)]
+        return pa.RecordBatch.from_arrays([*keys, pa.array([pack(ids) for _, ids in rows], pa.binary()), pa.array([len(ids) for _, ids in rows], pa.int64())], names=names)
+
     last, held = None, None
     for b in batches:
-        k1, k2, high = (b[c].to_numpy() for c in ("k1", "k2", "high"))
-        if not len(k1):
+        if not b.num_rows:
             continue
+        k1, k2, high = (b[c].to_numpy() for c in ("k1", "k2", "high"))
         starts = _groups([k1, k2, high])
         ends = np.r_[starts[1:], len(k1)]
-        out: list = []
         lengths = np.diff(np.frombuffer(b["bits"].buffers()[1], "int32", count=len(k1) + 1, offset=4 * b["bits"].offset))
-        for a, e in zip(starts.tolist(), ends.tolist(), strict=True):
+        # containers of one part, which is an array, pass as they are; the last of a batch may go on
+        plain = (ends - starts == 1) & (lengths[starts] % 2 == 0) & (ends < len(k1))
+        plain[0] &= last != (int(k1[0]), int(k2[0]), int(high[0]))
+        done = []
+        for a, e in zip(starts[~plain].tolist(), ends[~plain].tolist(), strict=True):
             key = (int(k1[a]), int(k2[a]), int(high[a]))
-            if e - a == 1 and key != last and not lengths[a] % 2 and e < len(k1):
-                if last is not None:
-                    out.append((*last[:2], len(held)))
-                    last, held = None, None
-                out.append((key[0], key[1], int(lengths[a]) // 2))
-                continue
-            union = unpack(b["bits"][a].as_py())
-            for i in range(a + 1, e):
-                union = np.union1d(union, unpack(b["bits"][i].as_py()))
+            union = np.unique(np.concatenate([unpack(x) for x in b["bits"].slice(a, e - a).to_pylist()]))
             if key == last:
                 held = np.union1d(held, union)
             else:
                 if last is not None:
-                    out.append((*last[:2], len(held)))
+                    done.append((last, held))
                 last, held = key, union
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["k1", "k2", "docs"])
+        if done:
+            yield out(done)
+        if plain.any():
+            at = pa.array(starts[plain])
+            yield pa.RecordBatch.from_arrays([*(b[c].take(at) for c in ("k1", "k2", "high", "bits")), pa.array(lengths[starts[plain]].astype("int64") // 2)], names=names)
     if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*last[:2], len(held))], names=["k1", "k2", "docs"])
+        yield out([(last, held)])
 
 
-def repeated_keys(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(k1, k2, docs) of the keys found in at least ``min_docs`` documents."""
+def _readable(batches: Iterator) -> Iterator:
+    """Containers as columns that expressions can look into: ``listed``
+    offsets of a small one, or 1,024 ``words`` of 64 bits."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        listed, words = [], []
+        for x in b["bits"].to_pylist():
+            low = unpack(x)
+            small = len(low) <= LISTED_MAX
+            listed.append(low.astype("int32") if small else None)
+            if not small:
+                bits = np.zeros(65536, dtype="uint8")
+                bits[low] = 1
+            words.append(None if small else np.packbits(bits, bitorder="little").view("<i8"))
+        yield pa.RecordBatch.from_arrays([*(b[c] for c in ("k1", "k2", "high", "total")), pa.array(listed, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int64()))], names=["k1", "k2", "high", "docs", "listed", "words"])
+
+
+def repeated_containers(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(k1, k2, high, docs, listed, words): the containers of the keys found in
+    at least ``min_docs`` documents; ``docs`` is the key's number of them."""
     maps = lines.select("k1", "k2", "id").mapInArrow(_build, "k1 bigint, k2 bigint, high bigint, bits binary")
     # one container is at most 8 KB, so no key's state outgrows a task; a key's containers lie apart
     met = maps.repartition("k1", "k2", "high").sortWithinPartitions("k1", "k2", "high")
-    counts = met.mapInArrow(_cardinalities, "k1 bigint, k2 bigint, docs bigint")
-    return counts.groupBy("k1", "k2").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    united = stored(met.mapInArrow(_unite, "k1 bigint, k2 bigint, high bigint, bits binary, docs bigint"), "bitmaps")
+    counts = united.groupBy("k1", "k2").agg(F.sum("docs").alias("total")).where(F.col("total") >= min_docs)
+    kept = united.join(counts, ["k1", "k2"]).select("k1", "k2", "high", "bits", "total")
+    return kept.mapInArrow(_readable, "k1 bigint, k2 bigint, high bigint, docs bigint, listed array<int>, words array<bigint>")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "id", site_col: str = "site", text_col: str = "body_text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -153,8 +185,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "id", site_col: str = "site",
     twice in a document, counts once; an empty table gives no rows; texts are
     taken whole; further columns are ignored.
     """
-    lines = keyed_lines(docs, id_col, site_col, text_col)
-    return lines.join(repeated_keys(lines, min_docs), ["k1", "k2"]).select("k1", "k2", "id", "line_no", "docs").distinct().select("id", "line_no", "docs")
+    lines = keyed_lines(docs, id_col, site_col, text_col).withColumn("high", F.shiftright("id", 16))
+    low = F.col("id").bitwiseAND(F.lit(0xFFFF)).cast("int")
+    word = F.get("words", F.shiftright(low, 6))
+    is_set = F.when(F.col("listed").isNotNull(), F.array_contains("listed", low)).otherwise(F.getbit(word, F.pmod(low, F.lit(64))) == 1)
+    met = lines.join(repeated_containers(lines, min_docs), ["k1", "k2", "high"]).where(is_set)
+    return met.select("k1", "k2", "high", "id", "line_no", "docs").distinct().select("id", "line_no", "docs")
 
 
 def without_lines(docs: DataFrame, cut: DataFrame, id_col: str = "id", text_col: str = "body_text", out: str = "clean_text") -> DataFrame:
@@ -162,9 +198,10 @@ def without_lines(docs: DataFrame, cut: DataFrame, id_col: str = "id", text_col:
     (id, line_no).  Documents without such lines keep their text; null stays
     null.  A column ``out`` that the input has already is replaced."""
     gone = cut.groupBy(F.col("id").alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
-    kept = F.filter(F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct((i + 1).alias("n"), x.alias("x"))), lambda s: ~F.array_contains(F.col("__gone"), s["n"]))
-    joined = docs.join(gone, F.col(id_col) == F.col("__id"), "left")
-    return joined.withColumn(out, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))).drop("__id", "__gone")
+    joined = docs.join(gone, F.col(id_col) == F.col("__id"), "left").withColumn("__parts", F.when(F.col("__gone").isNotNull(), F.split(F.col(text_col), "\n", -1)))
+    kept = F.array_except(F.sequence(F.lit(1), F.size("__parts")), F.col("__gone"))  # by hashes, in order
+    clean = F.array_join(F.transform(kept, lambda n: F.get("__parts", n - 1)), "\n")
+    return joined.withColumn(out, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(clean)).drop("__id", "__gone", "__parts")
 
 
 def found(spark, sf_dir: str, table) -> DataFrame:
