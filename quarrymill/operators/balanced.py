@@ -1,10 +1,11 @@
 """Per-key results over skewed keys by multi-level tree aggregation.
 
 A few shards hold most postings.  The work never follows the shard: input
-chunks of fixed size are combined where they are read, rows then meet by
-page (fine keys of bounded weight), each partition yields one partial state
-per shard and chunk, and the partial states merge through rounds of bounded
-fan-in.  No task ever receives all partials of a hot shard.
+chunks of fixed size are combined where they are read, a page's terms of a
+field packed into one text, rows then meet by page (fine keys of bounded
+weight) in partitions of a counted size, each chunk of a partition yields one
+partial state per shard, and the partial states merge through rounds of
+bounded fan-in.  No task ever receives all partials of a hot shard.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from quarrymill.session import stored
 
 #: Rows that one map-side chunk combines at once; bounds a worker's memory.
 CHUNK_ROWS = 400_000
+#: Input rows of a partition in which pages meet, and the most partitions; beyond, partitions grow, in chunks.
+PART_ROWS, MOST_PARTS = 1_000_000, 20_000
 #: Partial states that one merge takes together in a round.
 FAN_IN = 16
 
@@ -51,43 +54,35 @@ def chunks(batches: Iterator, rows: int):
 
 
 def _combine_by_page(batches: Iterator) -> Iterator:
-    """One row per page and chunk: its distinct (term, field) pairs."""
-    import numpy as np
+    """One row per page, field and chunk: its distinct terms, one per line."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for t in chunks(batches, CHUNK_ROWS):
-        t = t.group_by(["doc_id", "term", "field"]).aggregate([]).sort_by("doc_id").combine_chunks()
-        docs = t["doc_id"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-        ends = pa.array(np.r_[starts, len(docs)].astype("int32"))
-        flat = [t[c].chunk(0) if t[c].num_chunks else pa.array([], pa.string()) for c in ("term", "field")]
-        yield pa.RecordBatch.from_arrays([pa.array(docs[starts]), *(pa.ListArray.from_arrays(ends, x) for x in flat)], names=["doc_id", "terms", "fields"])
+        t = t.group_by(["doc_id", "field", "term"]).aggregate([]).group_by(["doc_id", "field"]).aggregate([("term", "list")])
+        lines = pc.binary_join(t["term_list"].combine_chunks().cast(pa.list_(pa.string())), "\n")
+        yield from pa.table({"doc_id": t["doc_id"], "field": t["field"], "terms": lines}).combine_chunks().to_batches(max_chunksize=50_000)
 
 
 def _partial_states(prefix: int):
+    """(shard, chunk, postings, pages, terms) of chunks of whole pages."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
 
         def states(t: pa.Table, chunk: int):
-            t = t.combine_chunks()
-            terms, fields = (t[c].combine_chunks() for c in ("terms", "fields"))
-            flat = pa.table({"doc_id": t["doc_id"].combine_chunks().take(pc.list_parent_indices(terms)), "term": terms.flatten(), "field": fields.flatten()})
-            rows = flat.group_by(["doc_id", "term", "field"]).aggregate([])
+            lists = pc.split_pattern(t["terms"].combine_chunks(), "\n")
+            owner = pc.list_parent_indices(lists)
+            flat = pa.table({"doc_id": t["doc_id"].combine_chunks().take(owner), "field": t["field"].combine_chunks().take(owner), "term": lists.flatten()})
+            rows = flat.group_by(["doc_id", "field", "term"]).aggregate([])
             rows = rows.append_column("shard", pc.utf8_slice_codeunits(rows["term"], 0, prefix))
             postings = rows.group_by("shard").aggregate([([], "count_all")])
             pages = rows.group_by(["shard", "doc_id"]).aggregate([]).group_by("shard").aggregate([([], "count_all")])
             terms = rows.group_by(["shard", "term"]).aggregate([]).group_by("shard").aggregate([("term", "list")])
-            by = {s: [n, 0, None] for s, n in zip(postings["shard"].to_pylist(), postings["count_all"].to_pylist(), strict=True)}
-            for s, n in zip(pages["shard"].to_pylist(), pages["count_all"].to_pylist(), strict=True):
-                by[s][1] = n
-            for s, x in zip(terms["shard"].to_pylist(), terms["term_list"].to_pylist(), strict=True):
-                by[s][2] = x
-            keys = list(by)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.string()), pa.array([chunk] * len(keys), pa.int64()), *(pa.array([by[k][i] for k in keys], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string()))))],
-                names=["shard", "chunk", "postings", "pages", "terms"],
-            )
+            pages, terms = (x.take(pc.index_in(postings["shard"], x["shard"].combine_chunks())) for x in (pages, terms))  # in the same order
+            columns = [postings["shard"], pa.array([chunk] * len(postings), pa.int64()), postings["count_all"], pages["count_all"], terms["term_list"]]
+            return pa.table(columns, names=["shard", "chunk", "postings", "pages", "terms"]).combine_chunks().to_batches()[0]
 
         # rows come sorted by page, so a chunk ends only where a page ends
         held, n, chunk, last = [], 0, 0, None
@@ -104,7 +99,7 @@ def _partial_states(prefix: int):
                     yield states(pa.Table.from_batches(held), chunk)
                     held, n, chunk, b = [], 0, chunk + 1, b.slice(cut)
             held.append(b)
-            n += pc.sum(pc.list_value_length(b["terms"])).as_py() or 0
+            n += pc.sum(pc.count_substring(b["terms"], "\n")).as_py() + b.num_rows
             last = b["doc_id"][-1].as_py()
         if held:
             yield states(pa.Table.from_batches(held), chunk)
@@ -138,8 +133,9 @@ def shard_report(postings: DataFrame, prefix: int = 2, fan_in: int = FAN_IN) ->
     term, doc_id and field are ignored.
     """
     rows = counted_postings(postings)
-    combined = rows.mapInArrow(_combine_by_page, "doc_id bigint, terms array<string>, fields array<string>")
-    met = combined.repartition("doc_id").sortWithinPartitions("doc_id")
+    parts = min(MOST_PARTS, -(-postings.count() // PART_ROWS) or 1)
+    combined = rows.mapInArrow(_combine_by_page, "doc_id bigint, field string, terms string")
+    met = combined.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
     states = met.mapInArrow(_partial_states(prefix), "shard string, chunk bigint, postings bigint, pages bigint, terms array<string>")
     states = stored(states.withColumn("part", F.spark_partition_id()), "shard-states")
     # one row in all: it numbers the chunks and gives the total
@@ -148,9 +144,10 @@ def shard_report(postings: DataFrame, prefix: int = 2, fan_in: int = FAN_IN) ->
     numbered = states.select("shard", (F.col("part") * width + F.col("chunk")).alias("chunk"), "postings", "pages")
     sums = tree_sum(numbered, ["shard"], ["postings", "pages"], "chunk", (whole["parts"] + 1) * width, fan_in)
     # a term lies in one shard, so distinct terms add up once equal terms have met
-    terms = states.select(F.explode("terms").alias("term")).distinct().select(F.substring("term", 1, prefix).alias("shard"), F.spark_partition_id().cast("bigint").alias("chunk"))
+    spread = FAN_IN * FAN_IN
+    terms = states.select(F.explode("terms").alias("term")).distinct().select(F.substring("term", 1, prefix).alias("shard"), F.pmod(F.xxhash64("term"), F.lit(spread)).alias("chunk"))
     terms = terms.groupBy("shard", "chunk").agg(F.count("*").alias("terms"))
-    terms = tree_sum(terms, ["shard"], ["terms"], "chunk", int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")), fan_in)
+    terms = tree_sum(terms, ["shard"], ["terms"], "chunk", spread, fan_in)
     return sums.join(terms, "shard").select("shard", "terms", "postings", "pages", (F.col("postings") / F.lit(whole["postings"] or 1)).alias("share"))
 
 
