@@ -4,9 +4,9 @@ Word windows are embedded by the CGK random walk: 3 * WINDOW steps read the
 current word, write it, and move on or stay by a random bit of the word, so a
 few edits between two windows leave a small Hamming distance between their
 embeddings.  Bit-sampling LSH over the embeddings is repeated in as many
-tables as a target recall asks for.  Keys of item windows and of document
-windows are joined, which gives candidate alignments in one pass over the
-documents, however many items there are.  Each is then verified exactly, by
+tables as a target recall asks for.  Equal keys of item windows and document
+windows give candidate alignments in one pass over the documents, however many
+items there are.  Each is then verified exactly, by
 the longest run of equal words on its diagonal and by the edit distance of
 windows as long as the item, up to PASSAGE words.
 
@@ -35,6 +35,8 @@ SAMPLED, WINDOW_RECALL = 8, 0.5
 PASSAGE, MAX_EDITS = 24, 6
 #: Bits of the sketch of item keys that is sent to the executors: at most 16 MB, whatever the items.
 LEAST_BITS, MOST_BITS = 16, 27
+#: Words of items that may be sent with their windows (about 30 MB); beyond, windows meet by a join.
+SENT_WORDS = 500_000
 #: Words of documents verified at once.
 VERIFY_WORDS = 1_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -147,7 +149,7 @@ def _hashed_items(batches: Iterator) -> Iterator:
 
 
 def _item_windows(batches: Iterator) -> Iterator:
-    """(key, item, j) of every window in every table."""
+    """(key, table, item, j) of every window in every table."""
     import numpy as np
     import pyarrow as pa
 
@@ -160,8 +162,8 @@ def _item_windows(batches: Iterator) -> Iterator:
         begin = (np.cumsum(sizes) - sizes)[text] + at
         item = b["item"].to_numpy()[text]
         for part in np.array_split(np.arange(len(at)), -(-len(at) // 100_000)):
-            for key in embed_keys(flat[begin[part][:, None] + np.arange(WINDOW)]):
-                yield pa.RecordBatch.from_arrays([pa.array(key.view("int64")), pa.array(item[part]), pa.array(at[part].astype("int32"))], names=["key", "item", "j"])
+            for k, key in enumerate(embed_keys(flat[begin[part][:, None] + np.arange(WINDOW)])):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view("int64")), pa.array([k] * len(part), pa.int32()), pa.array(item[part]), pa.array(at[part].astype("int32"))], names=["key", "table", "item", "j"])
 
 
 def _hits(sketch, bits: int):
@@ -216,54 +218,94 @@ def longest_runs(words, first, items, second, sizes):
     return out
 
 
-def _verify(max_edits: int):
-    """(doc_id, item_id, run, edits) of the pairs with a long run or few edits."""
+def _checked(docs, items, doc, item, at, j, max_edits: int):
+    """Batches of (doc_id, item_id, run, edits) of the pairs with a long run or
+    few edits; ``docs`` and ``items``: ids, words one after the other and how
+    many each has; ``doc``, ``item``, ``at``, ``j``: candidate alignments."""
+    import numpy as np
+    import pyarrow as pa
 
-    def checked(b):
-        import numpy as np
-        import pyarrow as pa
+    (doc_ids, words, n), (item_ids, others, m) = docs, items
+    d0, i0 = np.cumsum(n) - n, np.cumsum(m) - m
+    # the longest run on every diagonal of a pair that holds an alignment
+    diagonal, back = np.unique(np.stack([doc, item, at - j], axis=1), axis=0, return_inverse=True)
+    d, i, shift = diagonal.T
+    from_doc, from_item = np.maximum(shift, 0), np.maximum(-shift, 0)
+    run = longest_runs(words, d0[d] + from_doc, others, i0[i] + from_item, np.minimum(n[d] - from_doc, m[i] - from_item))[back.ravel()]
+    # windows of the item's size around the alignment; places outside the document hold no word
+    span = np.minimum(PASSAGE, m[item])
+    edits = np.where(run >= span, 0, span)
+    words, others = np.r_[words, 0], np.r_[others, 0]
+    for size in np.unique(span).tolist():
+        todo = np.flatnonzero((span == size) & (run < size))
+        for part in np.array_split(todo, -(-len(todo) // 20_000)) if len(todo) else ():
+            mine, its = doc[part], item[part]
+            begin = np.clip(j[part] - (size - WINDOW) // 2, 0, m[its] - size)
+            place = (begin + at[part] - j[part])[:, None] + np.arange(size)
+            x = words[np.where((place >= 0) & (place < n[mine][:, None]), d0[mine][:, None] + place, len(words) - 1)]
+            edits[part] = edit_distance(x, others[(i0[its] + begin)[:, None] + np.arange(size)])
+    keep = (run >= MIN_RUN) | (edits * PASSAGE <= max_edits * span)
+    t = pa.table({"doc_id": doc_ids[doc[keep]], "item_id": item_ids[item[keep]], "run": run[keep], "edits": edits[keep]})
+    t = t.group_by(["doc_id", "item_id"]).aggregate([("run", "max"), ("edits", "min")]).rename_columns(["doc_id", "item_id", "run", "edits"])
+    return t.combine_chunks().to_batches()
+
+
+def _flat(lists):
+    return lists.flatten().to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False).astype("int64")
 
-        (words, n), (items, m), (pairs, k) = ((x.flatten(), x.value_lengths().to_numpy(zero_copy_only=False).astype("int64")) for x in (b["words"], b["item_words"], b["pairs"]))
-        words, items, at, j = words.to_numpy(), items.to_numpy(), *(pairs.field(c).to_numpy().astype("int64") for c in ("at", "j"))
-        row = np.repeat(np.arange(len(k)), k)
-        d0, i0 = np.cumsum(n) - n, np.cumsum(m) - m
-        # the longest run on every diagonal of a pair that holds an alignment
-        diagonal, back = np.unique(np.stack([row, at - j], axis=1), axis=0, return_inverse=True)
-        r, shift = diagonal[:, 0], diagonal[:, 1]
-        from_doc, from_item = np.maximum(shift, 0), np.maximum(-shift, 0)
-        run = longest_runs(words, d0[r] + from_doc, items, i0[r] + from_item, np.minimum(n[r] - from_doc, m[r] - from_item))[back.ravel()]
-        # windows of the item's size around the alignment; places outside the document hold no word
-        span = np.minimum(PASSAGE, m[row])
-        edits = np.where(run >= span, 0, span)
-        words, items = np.r_[words, 0], np.r_[items, 0]
-        for size in np.unique(span).tolist():
-            todo = np.flatnonzero((span == size) & (run < size))
-            for part in np.array_split(todo, -(-len(todo) // 20_000)) if len(todo) else ():
-                rows = row[part]
-                begin = np.clip(j[part] - (size - WINDOW) // 2, 0, m[rows] - size)
-                place = (begin + at[part] - j[part])[:, None] + np.arange(size)
-                x = words[np.where((place >= 0) & (place < n[rows][:, None]), d0[rows][:, None] + place, len(words) - 1)]
-                edits[part] = edit_distance(x, items[(i0[rows] + begin)[:, None] + np.arange(size)])
-        keep = (run >= MIN_RUN) | (edits * PASSAGE <= max_edits * span)
-        t = pa.table({"doc_id": b["doc_id"].to_numpy()[row[keep]], "item_id": b["item_id"].to_numpy()[row[keep]], "run": run[keep], "edits": edits[keep]})
-        t = t.group_by(["doc_id", "item_id"]).aggregate([("run", "max"), ("edits", "min")]).rename_columns(["doc_id", "item_id", "run", "edits"])
-        return t.combine_chunks().to_batches()
+
+def _verify(max_edits: int):
+    """(doc_id, item_id, run, edits) of rows that hold a document, an item and their candidate alignments."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
 
-        for b in batches:
-            ends = np.cumsum(b["words"].value_lengths().to_numpy(zero_copy_only=False).astype("int64")) if b.num_rows else np.zeros(0, "int64")
+        for whole in batches:
+            ends = np.cumsum(_flat(whole["words"])[1])
             at = 0
-            while at < b.num_rows:
+            while at < whole.num_rows:
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + VERIFY_WORDS, "right")))
-                yield from checked(b.slice(at, to - at))
+                b = whole.slice(at, to - at)
+                pairs, k = b["pairs"].flatten(), b["pairs"].value_lengths().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(k)), k)
+                places = (pairs.field(c).to_numpy().astype("int64") for c in ("at", "j"))
+                yield from _checked((b["doc_id"].to_numpy(), *_flat(b["words"])), (b["item_id"].to_numpy(), *_flat(b["item_words"])), row, row, *places, max_edits)
                 at = to
 
     return run
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+def _search(sent, max_edits: int):
+    """(doc_id, item_id, run, edits) of documents, against the windows and words of all items."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        tables, items = sent.value
+        hashes = _Hashes()
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                b = whole.slice(first, 1000)
+                flat, sizes = word_hashes(b["text"].to_pylist(), hashes)
+                text, at = places(sizes, STRIDE)
+                begin = (np.cumsum(sizes) - sizes)[text] + at
+                found = []
+                for part in np.array_split(np.arange(len(at)), -(-len(at) // 100_000)) if len(at) else ():
+                    for key, (known, item, j) in zip(embed_keys(flat[begin[part][:, None] + np.arange(WINDOW)]), tables, strict=True):
+                        key = key.view("int64")
+                        lo = np.searchsorted(known, key, "left")
+                        hit = np.flatnonzero(known[np.minimum(lo, len(known) - 1)] == key) if len(known) else np.zeros(0, "int64")
+                        lo, n = lo[hit], np.searchsorted(known, key[hit], "right") - lo[hit]
+                        inner = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        found.append(np.stack([np.repeat(text[part[hit]], n), item[inner], np.repeat(at[part[hit]], n), j[inner]], axis=1))
+                pairs = np.unique(np.concatenate(found), axis=0) if found else ()
+                if len(pairs):
+                    yield from _checked((b["doc_id"].to_numpy(), flat, sizes), items, *pairs.T, max_edits)
+
+    return run
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, max_edits: int = MAX_EDITS, sent_words: int = SENT_WORDS) -> DataFrame:
     """(doc_id, item_id, run, edits): the documents that hold a passage of an
     item, as a run of at least MIN_RUN equal words (always found) or as a
     window as long as the item, of PASSAGE words at most, with at most
@@ -271,35 +313,62 @@ def leaked_items(documents: DataFrame, items: DataFrame, max_edits: int = MAX_ED
     is the longest run through a found alignment, ``edits`` the fewest edits of
     a compared window.
 
-    The documents are read once.  A sketch of the items' keys, of bounded size,
-    is sent to the executors; the windows that it lets through meet the items
-    by a join on keys, and only documents with such windows go on.
+    The documents are read once.  Items of up to ``sent_words`` words are sent
+    to the executors with their windows; of more, a sketch of their keys, of
+    bounded size, is sent, the windows that it lets through meet the items by a
+    join on keys, and only documents with such windows go on.  The result is
+    the same.
 
     Defined cases: null ids and null texts have no passages; texts and items of
     fewer than MIN_RUN words are too short; repeated rows give one row per
     pair; empty tables give no rows; texts are searched whole; further columns
     are ignored.
     """
-    import numpy as np
-
     known = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null").distinct()
     known = stored(known.mapInArrow(_hashed_items, "item_id bigint, item_words array<bigint>").withColumn("item", F.monotonically_increasing_id()), "items")
-    windows = known.select("item", "item_words").mapInArrow(_item_windows, "key bigint, item bigint, j int")
+    windows = known.select("item", "item_words").mapInArrow(_item_windows, "key bigint, table int, item bigint, j int")
     total = known.agg(F.coalesce(F.sum(F.size("item_words")), F.lit(0))).first()[0]
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    if total <= sent_words:
+        found = docs.mapInArrow(_search(_sent_items(known, windows), max_edits), "doc_id bigint, item_id bigint, run bigint, edits bigint")
+    else:
+        found = _joined(docs, known, windows, total).mapInArrow(_verify(max_edits), "doc_id bigint, item_id bigint, run bigint, edits bigint")
+    return found.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.min("edits").alias("edits"))
+
+
+def _sent_items(known: DataFrame, windows: DataFrame):
+    """The sorted windows of every table, and the items, sent to the executors."""
+    import numpy as np
+
+    t = known.orderBy("item").toArrow().combine_chunks()
+    items = (t["item_id"].to_numpy(), *_flat(t["item_words"].combine_chunks()))
+    w = windows.toArrow()
+    key, table, item, j = (w[c].to_numpy() for c in ("key", "table", "item", "j"))
+    item = np.searchsorted(t["item"].to_numpy(), item)
+    tables = []
+    for k in range(len(sampled_positions())):
+        mine = np.flatnonzero(table == k)
+        mine = mine[np.argsort(key[mine], kind="stable")]
+        tables.append((key[mine], item[mine], j[mine].astype("int64")))
+    return known.sparkSession.sparkContext.broadcast((tables, items))
+
+
+def _joined(docs: DataFrame, known: DataFrame, windows: DataFrame, total: int) -> DataFrame:
+    """(doc_id, words, item_id, item_words, pairs): documents and items with
+    windows of equal keys.  A sketch of the items' keys lets windows pass."""
+    import numpy as np
+
     bits = min(MOST_BITS, max(LEAST_BITS, (64 * total).bit_length()))
     place = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
     set_bits = windows.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("word")).toArrow()
     sketch = np.zeros(1 << (bits - 6), dtype="uint64")
     sketch[set_bits["at"].to_numpy()] = set_bits["word"].to_numpy().view("uint64")
-    sent = documents.sparkSession.sparkContext.broadcast(sketch)
-    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    sent = docs.sparkSession.sparkContext.broadcast(sketch)
     hits = docs.mapInArrow(_hits(sent, bits), "doc_id bigint, words array<bigint>, at array<int>, keys array<bigint>")
     hits = stored(hits.withColumn("row", F.monotonically_increasing_id()), "hits")
     asked = hits.select("row", F.explode(F.arrays_zip("at", "keys")).alias("w")).select("row", "w.at", F.col("w.keys").alias("key"))
     pairs = asked.join(windows, "key").groupBy("row", "item").agg(F.collect_set(F.struct("at", "j")).alias("pairs"))
-    both = pairs.join(hits.select("row", "doc_id", "words"), "row").join(known, "item").select("doc_id", "words", "item_id", "item_words", "pairs")
-    found = both.mapInArrow(_verify(max_edits), "doc_id bigint, item_id bigint, run bigint, edits bigint")
-    return found.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.min("edits").alias("edits"))
+    return pairs.join(hits.select("row", "doc_id", "words"), "row").join(known, "item").select("doc_id", "words", "item_id", "item_words", "pairs")
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
