@@ -27,8 +27,12 @@ from quarrymill.session import stored
 HOST_PAGES, WEB_HOSTS, CONTENT_PART = 3, 3, 0.34
 #: Lines that read as sentences of some length and don't name the site need so many pages or hosts: copies of an article repeat them too.
 SENTENCE_PAGES, SENTENCE_CHARS = 8, 45
-#: Winning paths whose hashes may be sent to the executors (64 MB); beyond, pages and the paths of hosts meet by host.
+#: Characters from which a line's path is a hash of it and wins like that of a sentence.
+LONG_CHARS = 160
+#: Winning paths whose hashes may be sent to the executors (64 MB); beyond, the paths that a page asks for are joined.
 SENT_PATHS = 8_000_000
+#: Characters of a body that are compared with its excerpt; a longer excerpt is judged by itself.
+HEAD_CHARS = 256
 
 #: Month names in English, German, French and Spanish.
 _MONTHS = """january february march april may june july august september october november december
@@ -46,6 +50,8 @@ _PARTS = re.compile(r"\s*[·|›/•→←]\s*|\s{2,}")
 _SUFFIX = re.compile(r"\s+(?:[–—|·:-]|::|»|«)\s+")
 _END = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*$")
 _WORD = re.compile(r"\w+")
+#: Letters of scripts written without blanks: kana, ideographs, Thai, Lao, Burmese, Khmer.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
 _CODE = re.compile(r"[=(){}<>`$\\_]|--|://|\w\.\w+\(|^\W*#")
 
 
@@ -75,7 +81,11 @@ def path(c: str, mark: re.Pattern | None) -> str:
     if ":" in s and not _END.search(s) and (m := _LABEL.match(s)):
         return m[1] + ": *"
     if "›" in s:
-        return "›".join(s.split("›")[:2]).strip() + " › *"
+        s = "›".join(s.split("›")[:2]).strip() + " › *"
+    if len(c) > LONG_CHARS:
+        import xxhash
+
+        return "¶" + xxhash.xxh3_64_hexdigest(s)
     return s
 
 
@@ -104,9 +114,23 @@ def align(lines: list[str], title: str | None, headings: list[str] | None, mark:
     return start, where
 
 
+def size(c: str) -> int:
+    """Words of a line; in scripts without blanks two letters count as one."""
+    words = c.count(" ") + 1
+    return words if c.isascii() else words + sum(map(len, _UNSPACED.findall(c))) // 2
+
+
+def words_over(x: str, least: int) -> list[str]:
+    """Words of more than ``least`` letters; of scripts without blanks, neighbouring letters."""
+    words = [w for w in _WORD.findall(x) if len(w) > least]
+    if x.isascii() or not (runs := _UNSPACED.findall(x)):
+        return words
+    return [w for w in words if not _UNSPACED.search(w)] + [r[i : i + 2] for r in runs for i in range(len(r) - 1)]
+
+
 def running(c: str) -> bool:
     """Does a canonical line read as a sentence, a list item or code?"""
-    words = c.count(" ") + 1
+    words = size(c)
     if _BULLET.match(c):
         return words > 4
     if _END.search(c):
@@ -117,10 +141,10 @@ def running(c: str) -> bool:
 def topics(lines: list[str], title: str | None, headings: list[str] | None) -> set[str]:
     """What the page is about: the longer words most frequent in its title and
     headings, if they return in its sentences, lists or code."""
-    words = Counter(w for x in (title, *(headings or ())) if x for w in {w for w in _WORD.findall(canon(x)) if len(w) > 5})
+    words = Counter(w for x in (title, *(headings or ())) if x for w in set(words_over(canon(x), 5)))
     if not words:
         return set()
-    text = [c for c in lines if len(c) > 160 or running(c)]
+    text = [c for c in lines if len(c) > LONG_CHARS or running(c)]
     counts = {w: sum(w in c for c in text) for w in words}
     most = max((words[w] for w in words if counts[w] > 1), default=0)
     return {w for w in words if words[w] == most and counts[w] > 1}
@@ -128,7 +152,10 @@ def topics(lines: list[str], title: str | None, headings: list[str] | None) -> s
 
 def alike(a: str, b: str) -> bool:
     """Are two short lines the same but for edits?"""
-    return a == b or abs(len(a) - len(b)) < 0.5 * max(len(a), len(b)) and SequenceMatcher(None, a, b, autojunk=False).ratio() > 0.66
+    if a == b or abs(len(a) - len(b)) >= 0.5 * max(len(a), len(b)):
+        return a == b
+    m = SequenceMatcher(None, a, b, autojunk=False)
+    return m.real_quick_ratio() > 0.66 and m.quick_ratio() > 0.66 and m.ratio() > 0.66
 
 
 def _read(b, k: int) -> tuple[list[str], str | None, list[str] | None, re.Pattern | None]:
@@ -155,12 +182,12 @@ def _votes(batches: Iterator) -> Iterator:
             forms = headline_forms(title, mark) or [canon(h) for h in (headings or ())[:1] if h]
             from_title = xxhash.xxh3_64_intdigest(forms[0] if forms else "") >> 1
             seen: dict[str, int] = {}
-            bare = not heads and sum(len(c) > 160 or running(c) and not (mark and mark.search(c)) for c in lines) < 4
-            own = {w for w in _WORD.findall(forms[0]) if len(w) > 5} if bare and forms else topics(lines, title, headings)
+            bare = not heads and sum(len(c) > LONG_CHARS or running(c) and not (mark and mark.search(c)) for c in lines) < 4
+            own = set(words_over(forms[0], 5)) if bare and forms else topics(lines, title, headings)
             for i, c in enumerate(lines):
-                if not c or len(c) > 160:
-                    continue  # long paragraphs are no furniture
-                good = i == start or i in heads or ((bare or running(c)) and not (mark and mark.search(c)) and any(t in c for t in own))
+                if not c:
+                    continue
+                good = i == start or i in heads or ((bare or len(c) > LONG_CHARS or running(c)) and not (mark and mark.search(c)) and any(t in c for t in own))
                 p = path(c, mark)
                 seen[p] = seen.get(p, 0) | good
             for p, good in seen.items():
@@ -185,7 +212,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
     votes = pages.mapInArrow(_votes, "site string, path string, pages bigint, content bigint, first bigint, last bigint")
     by_host = votes.groupBy("site", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "content")), F.min("first").alias("first"), F.max("last").alias("last"))
     by_host = stored(by_host, "host-votes")  # read twice below
-    reads = F.col("path").rlike(r"[.!?…]$") & (F.length("path") >= SENTENCE_CHARS) & ~F.col("path").contains("§")
+    reads = F.col("path").startswith("¶") | F.col("path").rlike(r"[.!?…。！？]$") & (F.length("path") >= SENTENCE_CHARS) & ~F.col("path").contains("§")
     web = by_host.groupBy("path").agg(F.count("*").alias("hosts"), *(F.sum(c).alias(c) for c in ("pages", "content")), F.min("first").alias("first"), F.max("last").alias("last"))
     wins = (F.col("content") < CONTENT_PART * F.col("pages")) & (F.col("first") < F.col("last"))
     web = web.where((F.col("hosts") >= F.when(reads, SENTENCE_PAGES).otherwise(WEB_HOSTS)) & wins).select(F.lit("*").alias("site"), "path")
@@ -193,8 +220,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 
 def paths_of(c: str, mark: re.Pattern | None) -> tuple[str, list[str]]:
-    """The path of a line, and those of the entries that it lists; none for a long paragraph."""
-    if not c or len(c) > 160:
+    """The path of a line, and those of the entries that it lists."""
+    if not c:
         return "", []
     parts = [p for p in _PARTS.split(_BULLET.sub("", c)) if p] if _PARTS.search(c) else ()
     return path(c, mark), [path(p, mark) for p in parts] if len(parts) > 1 else []
@@ -219,28 +246,29 @@ def furniture(lines: list[str], title: str | None, headings: list[str] | None, m
 
     gone = {i for i, c in enumerate(lines) if c and i not in heads and i != start and lost(i)}
     own = topics(lines, title, headings)
-    first = min([*heads, *(i for i, c in enumerate(lines) if c and i not in gone and (len(c) > 160 or running(c)))], default=len(lines))
+    first = min([*heads, *(i for i, c in enumerate(lines) if c and i not in gone and (len(c) > LONG_CHARS or running(c)))], default=len(lines))
     if start is None or start > first:  # no line is the title as it stands
         above = [i for i in range(first) if lines[i] and i not in gone]
         forms = headline_forms(title, mark)
         start = next((i for i in above if any(alike(lines[i], f) for f in forms)), None)
         if start is None:
             start = next((i for i in above if any(t in lines[i] for t in own)), above[0] if above else first)
-    missing = [h for h in map(canon, filter(None, headings or ())) if h not in {lines[i] for i in heads}]
-    said = {w for i, c in enumerate(lines) if i >= start and i not in gone and (len(c) > 160 or running(c)) for w in _WORD.findall(c)} if not (headings or own) else set()
+    there = {lines[i] for i in heads}
+    missing = [h for h in map(canon, filter(None, headings or ())) if h not in there]
+    said = {w for i, c in enumerate(lines) if i >= start and i not in gone and (len(c) > LONG_CHARS or running(c)) for w in words_over(c, 6)} if not (headings or own) else set()
     out: list[int] = []
     for i, c in enumerate(lines):
         if not c:
             continue
         if i in gone or i < start:
             out.append(i)
-        elif not (i == start or i in heads or len(c) > 160 or running(c)):
+        elif not (i == start or i in heads or len(c) > LONG_CHARS or running(c)):
             if headings:
                 good = any(alike(c, h) for h in missing)
             elif own:
                 good = any(t in c for t in own)
             else:
-                good = any(w in said for w in _WORD.findall(c) if len(w) > 6)
+                good = any(w in said for w in words_over(c, 6))
             if not good:
                 out.append(i)
     return out
@@ -251,50 +279,69 @@ def _hashed(batches: Iterator) -> Iterator:
 
     for b in batches:
         sites = b["site"].to_pylist()
-        yield pa.RecordBatch.from_arrays([b["site"], pa.array([path_hash(s, p) for s, p in zip(sites, b["path"].to_pylist(), strict=True)], pa.int64())], names=["site", "won"])
+        yield pa.RecordBatch.from_arrays([pa.array([path_hash(s, p) for s, p in zip(sites, b["path"].to_pylist(), strict=True)], pa.int64())], names=["won"])
+
+
+def _asked_paths(part):
+    """Pages as read, the paths of their lines, and the hash of every (site, path) that they ask for, the web's included."""
+    b = part.to_pydict()
+    pages = [_read(b, k) for k in range(part.num_rows)]
+    paths = [[paths_of(c, mark) for c in lines] for lines, _, _, mark in pages]
+    asked: dict = {}
+    for site, page in zip(b["site"], paths, strict=True):
+        for whole, parts in page:
+            for p in (whole, *parts):
+                if p:
+                    asked[site, p] = asked["*", p] = 0
+    return b, pages, paths, {key: path_hash(*key) for key in asked}
+
+
+def _ask(batches: Iterator) -> Iterator:
+    """(page, won): every path that a page asks for."""
+    import pyarrow as pa
+
+    for whole in batches:
+        for k in range(whole.num_rows):
+            hashes = list(_asked_paths(whole.slice(k, 1))[3].values())
+            yield pa.RecordBatch.from_arrays([pa.array([whole["page"][k].as_py()] * len(hashes), pa.int64()), pa.array(hashes, pa.int64())], names=["page", "won"])
 
 
 def _extract(sent, texts: bool):
-    """(kind, id, lines) of pages, or (kind, id, article); the winning paths are sent, those of the host may also come with the page."""
+    """(kind, id, lines, head) of pages, or (kind, id, article); the winning
+    paths are sent, or those that a page asks for come with it."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        known = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                b = part.to_pydict()
-                pages = [_read(b, k) for k in range(part.num_rows)]
-                asked: dict = {}
-                paths = [[paths_of(c, mark) for c in lines] for lines, _, _, mark in pages]
-                for site, page in zip(b["site"], paths, strict=True):
-                    for whole, parts in page:
-                        if whole:
-                            asked[site, whole] = asked["*", whole] = None
-                            for p in parts:
-                                asked[site, p] = asked["*", p] = None
-                keys = list(asked)
-                hashes = np.array([path_hash(*key) for key in keys], dtype="int64")
-                near = np.searchsorted(known, hashes)
-                hit = (known[np.minimum(near, len(known) - 1)] == hashes) if len(known) else np.zeros(len(keys), bool)
-                won = {key for key, x in zip(keys, hit.tolist(), strict=True) if x}
+                b, pages, paths, asked = _asked_paths(part)
+                if sent is None:
+                    own = [set(x or ()) for x in b["won"]]
+                else:
+                    hashes, known = np.fromiter(asked.values(), "int64", len(asked)), sent.value
+                    near = np.searchsorted(known, hashes)
+                    own = [set(hashes[known[np.minimum(near, len(known) - 1)] == hashes].tolist()) if len(known) else set()] * len(pages)
                 found = []
                 for k, (lines, title, headings, mark) in enumerate(pages):
-                    site, own = b["site"][k], set(b["won"][k] or ())
-                    found.append([i + 1 for i in furniture(lines, title, headings, mark, lambda p, site=site, own=own: ("*", p) in won or (site, p) in won or bool(own) and path_hash(site, p) in own, paths[k])])
+                    site, won = b["site"][k], own[k]
+                    found.append([i + 1 for i in furniture(lines, title, headings, mark, lambda p, site=site, won=won: asked["*", p] in won or asked[site, p] in won, paths[k])])
                 if texts:
                     kept = ["\n".join([x for n, x in enumerate(t.split("\n"), 1) if n not in gone]) for t, gone in zip(b["text"], map(set, found), strict=True)]
                     yield pa.RecordBatch.from_arrays([part["kind"], part["id"], pa.array(kept, pa.string())], names=["kind", "id", "article"])
                 else:
-                    yield pa.RecordBatch.from_arrays([part["kind"], part["id"], pa.array(found, pa.list_(pa.int32()))], names=["kind", "id", "lines"])
+                    head = pc.utf8_slice_codeunits(part["text"], 0, HEAD_CHARS)
+                    yield pa.RecordBatch.from_arrays([part["kind"], part["id"], pa.array(found, pa.list_(pa.int32())), head], names=["kind", "id", "lines", "head"])
 
     return run
 
 
-def page_rows(docs: DataFrame, kind: str, id_col: str, text_col: str) -> DataFrame:
+def page_rows(docs: DataFrame, kind: str, id_col: str, text_col: str, *more) -> DataFrame:
     return docs.select(
+        *more,
         F.lit(kind).alias("kind"),
         F.col(id_col).cast("bigint").alias("id"),
         *(F.col(c).cast("string").alias(c) for c in ("site", "title")),
@@ -303,10 +350,17 @@ def page_rows(docs: DataFrame, kind: str, id_col: str, text_col: str) -> DataFra
     ).where("id is not null and text is not null")
 
 
-def furniture_lines(pages: DataFrame, voters: DataFrame | None = None, sent_paths: int = SENT_PATHS, texts: bool = False) -> DataFrame:
-    """(kind, id, lines): the lines outside the article, as numbers from 1, of
-    every page of ``pages`` (kind, id, site, title, headings, text).  The paths
-    are voted on by ``voters``, by default the pages themselves.
+def winning_paths(voters: DataFrame) -> DataFrame:
+    """(won): the hashes of the winning paths of hosts and of the web, stored."""
+    voters = voters.where("id is not null and text is not null").select("site", "title", "headings", "text")
+    return stored(host_paths(voters).mapInArrow(_hashed, "won bigint").distinct(), "host-paths")
+
+
+def furniture_lines(pages: DataFrame, voters: DataFrame | None = None, sent_paths: int = SENT_PATHS, texts: bool = False, paths: DataFrame | None = None) -> DataFrame:
+    """(kind, id, lines, head): the lines outside the article, as numbers from
+    1, of every page of ``pages`` (kind, id, site, title, headings, text), and
+    its first HEAD_CHARS characters.  The paths are voted on by ``voters``, by
+    default the pages themselves, or are given by ``winning_paths``.
 
     Defined cases: rows with a null id or text are left out; a null site votes
     only on the web as a whole; null titles and headings are unknown, an empty
@@ -317,19 +371,16 @@ def furniture_lines(pages: DataFrame, voters: DataFrame | None = None, sent_path
     """
     import numpy as np
 
-    spark = pages.sparkSession
     pages = pages.where("id is not null and text is not null").select("kind", "id", "site", "title", "headings", "text")
-    paths = stored(host_paths(pages if voters is None else voters).mapInArrow(_hashed, "site string, won bigint"), "host-paths")
-    local = paths.count() <= sent_paths
-    # paths of the web win on several hosts each, so they are far fewer than those of hosts
-    won = (paths if local else paths.where("site = '*'")).select("won").toArrow()["won"].to_numpy()
-    sent = spark.sparkContext.broadcast(np.unique(won.astype("int64")))
-    if local:
-        rows = pages.withColumn("won", F.lit(None).cast("array<bigint>"))
-    else:
-        rows = pages.join(paths.where("site <> '*'").groupBy("site").agg(F.collect_set("won").alias("won")), "site", "left")
-    rows = rows.select("kind", "id", "site", "title", "headings", "text", "won")
-    return rows.mapInArrow(_extract(sent, texts), "kind string, id bigint, " + ("article string" if texts else "lines array<int>"))
+    paths = winning_paths(pages if voters is None else voters) if paths is None else paths
+    schema = "kind string, id bigint, " + ("article string" if texts else "lines array<int>, head string")
+    if paths.count() <= sent_paths:
+        sent = pages.sparkSession.sparkContext.broadcast(np.sort(paths.toArrow()["won"].to_numpy()))
+        return pages.mapInArrow(_extract(sent, texts), schema)
+    # by page, so that a host with most pages is spread; equal pages ask for the same
+    pages = pages.withColumn("page", F.xxhash64("kind", "id", "site", "title", "headings", "text"))
+    asked = pages.mapInArrow(_ask, "page bigint, won bigint").join(paths, "won").groupBy("page").agg(F.collect_set("won").alias("won"))
+    return pages.join(asked, "page", "left").mapInArrow(_extract(None, texts), schema)
 
 
 def articles(pages: DataFrame, **options) -> DataFrame:
@@ -338,23 +389,20 @@ def articles(pages: DataFrame, **options) -> DataFrame:
     return furniture_lines(pages, texts=True, **options)
 
 
-def excerpt_lines(extracted: DataFrame, body_lines: DataFrame) -> DataFrame:
-    """(id, line_no) of the excerpts' lines outside the article: an excerpt
-    holds the first lines of its page's body, which decides them.
-    ``body_lines``: (id, lines) of the bodies."""
-    e = extracted.select(F.col("extract_id").alias("id"), F.col("doc_id").alias("__doc"), "excerpt").where("id is not null and excerpt is not null")
-    j = e.join(body_lines.select(F.col("id").alias("__doc"), "lines"), "__doc")
-    j = j.select("id", F.split("excerpt", "\n", -1).alias("parts"), F.explode("lines").alias("line_no"))
-    return j.where((F.col("line_no") <= F.size("parts")) & (F.trim(F.try_element_at("parts", F.col("line_no"))) != "")).select("id", "line_no")
-
-
 def found(indexable: DataFrame, extracted: DataFrame) -> DataFrame:
-    """p1_found: (record_table, record_id, line_no)."""
+    """p1_found: (record_table, record_id, line_no).
+
+    An excerpt that is its body's beginning, but for a cut marked by "…", has
+    the body's lines outside the article; any other is judged by itself."""
     bodies = page_rows(indexable, "indexable_documents", "id", "body_text")
-    alone = extracted.join(bodies.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti")  # never indexed
-    alone = page_rows(alone, "extracted_documents", "extract_id", "excerpt")
-    lines = stored(furniture_lines(bodies.unionByName(alone), voters=bodies).distinct(), "furniture")
-    direct = lines.select(F.col("kind").alias("record_table"), F.col("id").alias("record_id"), F.explode("lines").alias("line_no"))
-    excerpts = excerpt_lines(extracted, lines.where("kind = 'indexable_documents'"))
-    out = direct.unionByName(excerpts.select(F.lit("extracted_documents").alias("record_table"), F.col("id").alias("record_id"), "line_no"))
-    return out.distinct()
+    paths = winning_paths(bodies)
+    lines = stored(furniture_lines(bodies, paths=paths).distinct(), "furniture")
+    e = page_rows(extracted, "extracted_documents", "extract_id", "excerpt", F.col("doc_id").cast("bigint").alias("doc"))
+    same = F.col("head").startswith(F.regexp_replace("text", "…\\z", "")) & (F.length("text") < HEAD_CHARS)
+    met = e.where("doc is not null").join(lines.select(F.col("id").alias("doc"), "head", F.col("lines").alias("body_lines")), "doc", "left").withColumn("same", F.coalesce(same, F.lit(False)))
+    met = stored(met, "excerpts")
+    inside = met.where("same").select("kind", "id", F.split("text", "\n", -1).alias("parts"), F.explode("body_lines").alias("line_no"))
+    inside = inside.where((F.col("line_no") <= F.size("parts")) & (F.trim(F.try_element_at("parts", F.col("line_no"))) != "")).select("kind", "id", "line_no")
+    alone = furniture_lines(met.where("not same").select(*e.columns).unionByName(e.where("doc is null")), paths=paths)
+    numbered = lines.unionByName(alone).select("kind", "id", F.explode("lines").alias("line_no"))
+    return numbered.unionByName(inside).select(F.col("kind").alias("record_table"), F.col("id").alias("record_id"), "line_no").distinct()

@@ -43,6 +43,36 @@ def test_odd_pages(spark):
     assert boilerplate.furniture_lines(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_pages_in_scripts_without_blanks(spark):
+    """Paragraphs under 160 characters are running text in Chinese, too."""
+    pages = []
+    for s in range(4):
+        for k in range(12):
+            # ideographs of their own for every page
+            own = "".join(chr(0x4E00 + (s * 1200 + k * 97 + i) % 20000) for i in range(40))
+            text = ["首页 · 文档 · 博客", f"关于{own[:6]}", f"{own[:12]}，这里有许多文字，读者可以慢慢看。", f"{own[12:30]}的设置写在文件里，每次都要保存好。{own[:6]}", "© 2024 版权所有"]
+            pages.append(("p", s * 100 + k, f"brand{s}name.example", f"关于{own[:6]}", [], "\n".join(text), "x"))
+    got = boilerplate.furniture_lines(spark.createDataFrame(pages, PAGE)).collect()
+    assert len(got) == 48 and all(r["lines"] == [1, 5] for r in got)
+
+
+def test_long_notices_are_voted_out(spark):
+    notice = "We and our partners use cookies and similar means to store and read information on your device, to measure how pages are read, and to keep them safe; you can agree to all of it or choose what you allow, now or at any later time, in the settings that are linked at the foot of every page, and your choice is kept for a year. " + "It holds for all the pages of this place and of its branches elsewhere."
+    pages = [(k, i, s, t, h, x + "\n" + notice, e) for k, i, s, t, h, x, e in site_pages()]
+    got = boilerplate.furniture_lines(spark.createDataFrame(pages, PAGE)).collect()
+    assert len(notice) > 380 and all(r["lines"] == [*FURNITURE, 15] for r in got)
+
+
+def test_excerpts_of_other_text_are_judged_by_themselves(spark):
+    pages = site_pages()
+    bodies = spark.createDataFrame([(i, s, t, h, x) for _, i, s, t, h, x, _ in pages], "id bigint, site string, title string, headings array<string>, body_text string")
+    _, i, s, t, h, x, _ = pages[0]
+    other = "\n".join(["Skip to content", t.split(" – ")[0], x.split("\n")[6], "Advertisement"])
+    extracted = spark.createDataFrame([(1, i, s, t, h, other), (2, 999, s, t, h, other)], "extract_id bigint, doc_id bigint, site string, title string, headings array<string>, excerpt string")
+    got = {(r["record_id"], r["line_no"]) for r in boilerplate.found(bodies, extracted).where("record_table = 'extracted_documents'").collect()}
+    assert got == {(1, 1), (1, 4), (2, 1), (2, 4)}
+
+
 def test_excerpts_follow_their_bodies(spark):
     pages = site_pages()
     bodies = spark.createDataFrame([(i, s, t, h, x) for _, i, s, t, h, x, _ in pages], "id bigint, site string, title string, headings array<string>, body_text string")
