@@ -1,14 +1,16 @@
 """Near-duplicate pages by an LSH forest.
 
 Every text becomes a MinHash signature over its runs of three words.  A tree
-of the forest is one order of the signature's values; pages are sorted by the
-signature in that order, and pages that share the first two values are
-candidates.  The depth is two however many pages share a prefix, since deeper
-prefixes lose links: within a task a group is compared block by block, and the
-pages of a crowded prefix are dealt into parts of which every two meet in a
-task of their own.  Candidates whose signatures agree enough are verified
-exactly on their sets of word runs.  Texts with equal sets are one class,
-searched once.
+of the forest is one order of the signature's values; pages are sorted by it,
+and pages whose longest common prefix in some tree is two values or more are
+candidates.  Where a prefix is crowded, its pages are dealt into parts of which
+every two meet in a task of their own, and are compared block by block, so no
+link is lost; deeper prefixes would lose links unless many more orders are
+added, which costs more than it saves (see the README).  Candidates are
+compared by sketches where they meet: up to SHORT runs by parity sketches,
+whose differing bits never outnumber the differing runs, beyond by MinHash
+values.  What is left is verified exactly on the sets of runs.  Texts with
+equal sets are one class, searched once.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ TREES, FRESH = 16, 4
 VALUES = TREES * FRESH
 #: A pair of similarity 0.6 agrees in fewer values of a signature with probability under 0.0003.
 ESTIMATE = 0.39
+#: Runs of a text up to which it has a parity sketch, and the sketch's bits.
+SHORT, SKETCH_BITS = 600, 512
 #: Pages of a prefix that meet in one task; beyond, they are dealt into parts of about so many.
 KEY_ROWS = 50_000
 #: Pages in a block; larger groups are compared block by block.
 GROUP_ROWS = 1_500
-#: Ids that may be sent to the executors (8 MB); beyond, the verification joins by id.
-SENT_IDS = 1_000_000
 
 
 def shingles(texts: list[str | None], hashes: _Hashes):
@@ -53,58 +55,62 @@ def shingles(texts: list[str | None], hashes: _Hashes):
     return (np.concatenate(flat) if flat else np.zeros(0, "uint64")), sizes
 
 
-def _signatures(batches: Iterator) -> Iterator:
-    """(id, digest, n, sig): the class of a text, its number of runs, and VALUES 16-bit minima."""
-    import numpy as np
-    import pyarrow as pa
+def _signatures(threshold: float):
+    """(id, digest, n, heads, sketch): the class of a text, its number of runs,
+    the first two values of each tree, and its sketch: parities, low bytes of
+    the values, or in the sizes where both kinds may meet, both."""
 
-    rng = np.random.default_rng(20240229)
-    mult, add = (rng.integers(1, 1 << 32, VALUES, dtype="uint64") | 1).astype("uint32"), rng.integers(0, 1 << 32, VALUES, dtype="uint64").astype("uint32")
-    hashes = _Hashes()
-    for whole in batches:
-        for at in range(0, whole.num_rows, 500):
-            b = whole.slice(at, 500)
-            flat, sizes = shingles(b["text"].to_pylist(), hashes)
-            full = np.flatnonzero(sizes)
-            if not len(full):
-                continue
-            starts = np.cumsum(sizes[full]) - sizes[full]
-            x = (flat >> np.uint64(32)).astype("uint32")
-            sig = np.empty((len(full), VALUES), dtype="uint16")
-            for v in range(VALUES):
-                h = x * mult[v] + add[v]
-                h ^= h >> np.uint32(15)
-                h *= np.uint32(0x85EBCA6B)
-                low = np.minimum.reduceat(h, starts)
-                sig[:, v] = ((low ^ (low >> np.uint32(16))) & np.uint32(0xFFFF)).astype("uint16")
-            digest = np.add.reduceat(flat * np.uint64(0xFF51AFD7ED558CCD) ^ (flat >> np.uint64(17)), starts).view("int64")
-            raw = sig.astype("<u2").tobytes()
-            width = 2 * VALUES
-            yield pa.RecordBatch.from_arrays(
-                [b["id"].take(pa.array(full)), pa.array(digest), pa.array(sizes[full]), pa.array([raw[i * width : (i + 1) * width] for i in range(len(full))], pa.binary())],
-                names=["id", "digest", "n", "sig"],
-            )
-
-
-def _trees(batches: Iterator) -> Iterator:
-    """One row per class and tree: the key of depth 2, and the signature's low bytes in the tree's order."""
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        rng = np.random.default_rng(20240229)
+        mult, add = (rng.integers(1, 1 << 32, VALUES, dtype="uint64") | 1).astype("uint32"), rng.integers(0, 1 << 32, VALUES, dtype="uint64").astype("uint32")
+        hashes = _Hashes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                flat, sizes = shingles(b["text"].to_pylist(), hashes)
+                full = np.flatnonzero(sizes)
+                if not len(full):
+                    continue
+                n = sizes[full]
+                starts = np.cumsum(n) - n
+                x = (flat >> np.uint64(32)).astype("uint32")
+                sig = np.empty((len(full), VALUES), dtype="uint16")
+                for v in range(VALUES):
+                    h = x * mult[v] + add[v]
+                    h ^= h >> np.uint32(15)
+                    h *= np.uint32(0x85EBCA6B)
+                    low = np.minimum.reduceat(h, starts)
+                    sig[:, v] = ((low ^ (low >> np.uint32(16))) & np.uint32(0xFFFF)).astype("uint16")
+                heads = (sig[:, ::FRESH].astype("int64") << 16) | sig[:, 1::FRESH]
+                place = ((flat * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype("int64") % SKETCH_BITS
+                odd = np.bincount(np.repeat(np.arange(len(n)), n) * SKETCH_BITS + place, minlength=len(n) * SKETCH_BITS) & 1
+                odd = np.packbits(odd.astype("uint8").reshape(len(n), SKETCH_BITS), axis=1).tobytes()
+                low = (sig & 0xFF).astype("uint8").tobytes()
+                width = SKETCH_BITS // 8
+                sketch = [(odd[i * width : (i + 1) * width] if k <= SHORT / threshold else b"") + (low[i * VALUES : (i + 1) * VALUES] if k > SHORT else b"") for i, k in enumerate(n.tolist())]
+                digest = np.add.reduceat(flat * np.uint64(0xFF51AFD7ED558CCD) ^ (flat >> np.uint64(17)), starts).view("int64")
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype="int32") * TREES), pa.array(heads.ravel()))
+                yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(full)), pa.array(digest), pa.array(n), lists, pa.array(sketch, pa.binary())], names=["id", "digest", "n", "heads", "sketch"])
+
+    return run
+
+
+def most_differing(total, threshold: float):
+    """Differing bits of the parity sketches of two sets of ``total`` runs
+    together from which their similarity is below ``threshold``: the number of
+    runs that may differ, or less where bits collide (by four deviations)."""
     import numpy as np
-    import pyarrow as pa
 
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            b = whole.slice(at, 2000)
-            n = b.num_rows
-            sig = np.frombuffer(b"".join(b["sig"].to_pylist()), "<u2").reshape(n, VALUES)
-            for t in range(TREES):
-                order = np.roll(np.arange(VALUES), -FRESH * t)
-                s = sig[:, order[:2]].astype("int64")
-                k2 = (np.int64(t) << 48) | (s[:, 0] << 16) | s[:, 1]
-                raw = np.ascontiguousarray(sig[:, order] & 0xFF).astype("uint8").tobytes()
-                yield pa.RecordBatch.from_arrays([b["id"], pa.array(k2), pa.array([raw[i * VALUES : (i + 1) * VALUES] for i in range(n)], pa.binary())], names=["id", "k2", "low"])
+    runs = total * (1 - threshold) / (1 + threshold)
+    kept = np.exp(-4 * runs / SKETCH_BITS)
+    mean = SKETCH_BITS / 2 * (1 - np.exp(-2 * runs / SKETCH_BITS))
+    return np.minimum(runs, mean + 4 * np.sqrt(np.maximum(SKETCH_BITS / 4 * (1 - kept) - runs * kept, 0) + 1))
 
 
-def _neighbours(group_rows: int):
+def _neighbours(threshold: float, group_rows: int):
     """Candidate pairs of the rows of each (key, p, q), which come one after
     the other: rows of part p with rows of part q, or all where p is q."""
 
@@ -112,54 +118,70 @@ def _neighbours(group_rows: int):
         import numpy as np
         import pyarrow as pa
 
-        least = int(np.ceil(ESTIMATE * VALUES))
-
-        def block(low, other):
-            """How many values of the rows agree, value by value."""
-            same = np.zeros((low.shape[1], other.shape[1]), dtype="uint8")
+        least = int(np.ceil(ESTIMATE * VALUES * threshold / THRESHOLD))
+        width = SKETCH_BITS // 64
+
+        def by_parity(x, y, n, odd):
+            """Pairs of rows x and y whose parities differ in few enough bits."""
+            apart = np.zeros((len(x), len(y)), dtype="uint16")
+            for w in range(width):
+                apart += np.bitwise_count(odd[w, x][:, None] ^ odd[w, y][None, :])
+            limit = most_differing(np.arange(2 * int(n.max()) + 1), threshold).astype("uint16")
+            r, c = np.nonzero(apart <= limit[n[x][:, None] + n[y][None, :]])
+            return x[r], y[c]
+
+        def by_values(x, y, n, low):
+            """Pairs of which one at least is long, by the number of equal values."""
+            same = np.zeros((len(x), len(y)), dtype="uint8")
             for v in range(VALUES):
-                same += low[v, :, None] == other[v, None, :]
-            return same
-
-        def compare(ids, low, second):
-            low = np.ascontiguousarray(low.T)
-            if second.any():  # two parts
-                x, y, crossed = np.flatnonzero(~second), np.flatnonzero(second), True
-            else:
-                x = y = np.arange(len(ids))
-                crossed = False
-            for i in range(0, len(x), 256):
-                rows = x[i : i + 256]
-                for j in range(0 if crossed else i, len(y), group_rows):
-                    others = y[j : j + group_rows]
-                    r, c = np.nonzero(block(low[:, rows], low[:, others]) >= least)
-                    if not crossed:
-                        keep = others[c] > rows[r]  # each pair once
-                        r, c = r[keep], c[keep]
-                    if len(r):
-                        yield ids[rows[r]], ids[others[c]]
+                same += low[v, x][:, None] == low[v, y][None, :]
+            r, c = np.nonzero((same >= least) & ((n[x] > SHORT / threshold)[:, None] | (n[y] > SHORT / threshold)[None, :]))
+            return x[r], y[c]
+
+        def compare(ids, n, sketch, second):
+            rows = np.arange(len(ids))
+            has_odd, has_low = n <= SHORT / threshold, n > SHORT
+            odd, low = np.zeros((len(ids), width), dtype="uint64"), np.zeros((len(ids), VALUES), dtype="uint8")
+            if has_odd.any():
+                odd[has_odd] = np.frombuffer(b"".join([x[: width * 8] for x, k in zip(sketch, has_odd, strict=True) if k]), "<u8").reshape(-1, width)
+            if has_low.any():
+                low[has_low] = np.frombuffer(b"".join([x[-VALUES:] for x, k in zip(sketch, has_low, strict=True) if k]), "uint8").reshape(-1, VALUES)
+            odd, low = np.ascontiguousarray(odd.T), np.ascontiguousarray(low.T)
+            crossed = second.any()
+            for kind, near, data in ((has_odd, by_parity, odd), (has_low, by_values, low)):
+                if not kind.any() or near is by_values and not (n > SHORT / threshold).any():
+                    continue
+                x, y = (rows[kind & ~second], rows[kind & second]) if crossed else (rows[kind], rows[kind])
+                for i in range(0, len(x), 256):
+                    for j in range(0 if crossed else i, len(y), group_rows):
+                        a, b = near(x[i : i + 256], y[j : j + group_rows], n, data)
+                        if not crossed:
+                            a, b = a[b > a], b[b > a]  # each pair once
+                        if len(a):
+                            yield ids[a], ids[b]
 
         def groups():
-            """(ids, low, second) of each (key, p, q)."""
-            rest = None
+            """(ids, n, sketch, second) of each (key, p, q)."""
+            rest: list = []
+            before = None
             for b in batches:
                 if not b.num_rows:
                     continue
-                n = b.num_rows
                 key = np.stack([b[c].to_numpy() for c in ("key", "p", "q")], axis=1)
-                got = [key, b["id"].to_numpy(), np.frombuffer(b"".join(b["low"].to_pylist()), "uint8").reshape(n, VALUES), b["second"].to_numpy(zero_copy_only=False)]
+                got = [b["id"].to_numpy(), b["n"].to_numpy(), np.array(b["sketch"].to_pylist(), dtype=object), b["second"].to_numpy(zero_copy_only=False)]
                 starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-                if rest is not None and (rest[0][0][0] != key[0]).any():
-                    yield [np.concatenate(x) for x in zip(*rest, strict=True)][1:]
-                    rest = None
-                for s, e in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
-                    part = [x[s:e] for x in got]
-                    rest = [*(rest or []), part]
-                    if e < n:
-                        yield [np.concatenate(x) for x in zip(*rest, strict=True)][1:]
-                        rest = None
-            if rest is not None:
-                yield [np.concatenate(x) for x in zip(*rest, strict=True)][1:]
+                if rest and (before != key[0]).any():
+                    yield [np.concatenate(x) for x in zip(*rest, strict=True)]
+                    rest = []
+                for s, e in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows], strict=True):
+                    rest.append([x[s:e] for x in got])
+                    if e < b.num_rows:
+                        if e - s > 1 or len(rest) > 1:
+                            yield [np.concatenate(x) for x in zip(*rest, strict=True)]
+                        rest = []
+                before = key[-1]
+            if rest:
+                yield [np.concatenate(x) for x in zip(*rest, strict=True)]
 
         def pairs(out):
             a, b = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -168,10 +190,10 @@ def _neighbours(group_rows: int):
             return t.select(["a", "b"]).combine_chunks().to_batches(max_chunksize=100_000)
 
         out, waiting = [], 0
-        for ids, low, second in groups():
+        for ids, n, sketch, second in groups():
             if len(ids) < 2 or (second.any() and second.all()):
                 continue
-            for found in compare(ids, low, second):
+            for found in compare(ids, n, sketch, second):
                 out.append(found)
                 waiting += len(found[0])
                 if waiting > 200_000 or len(out) > 10_000:
@@ -183,23 +205,15 @@ def _neighbours(group_rows: int):
     return run
 
 
-def _sets(ids):
-    """(id, runs) of the texts whose id is sent, or of all."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        wanted, hashes = None if ids is None else ids.value, _Hashes()
-        for b in batches:
-            if wanted is not None and len(wanted):
-                at = np.searchsorted(wanted, x := b["id"].to_numpy())
-                b = b.take(pa.array(np.flatnonzero(wanted[np.minimum(at, len(wanted) - 1)] == x)))
-            if b.num_rows:
-                flat, sizes = shingles(b["text"].to_pylist(), hashes)
-                yield pa.RecordBatch.from_arrays([b["id"], pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("int32")), pa.array(flat.view("int64")))], names=["id", "runs"])
+def _sets(batches: Iterator) -> Iterator:
+    """(id, runs) of texts."""
+    import numpy as np
+    import pyarrow as pa
 
-    return run
+    hashes = _Hashes()
+    for b in batches:
+        flat, sizes = shingles(b["text"].to_pylist(), hashes)
+        yield pa.RecordBatch.from_arrays([b["id"], pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype("int32")), pa.array(flat.view("int64")))], names=["id", "runs"])
 
 
 def _short(batches: Iterator) -> Iterator:
@@ -221,39 +235,33 @@ class NearDuplicates:
     least ``threshold``.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "id", text_col: str = "body_text", threshold: float = THRESHOLD, key_rows: int = KEY_ROWS, group_rows: int = GROUP_ROWS, sent_ids: int = SENT_IDS):
+    def __init__(self, docs: DataFrame, id_col: str = "id", text_col: str = "body_text", threshold: float = THRESHOLD, key_rows: int = KEY_ROWS, group_rows: int = GROUP_ROWS):
         self.rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
         rows = self.rows.where("text is not null")
-        signed = stored(rows.mapInArrow(_signatures, "id bigint, digest bigint, n bigint, sig binary"), "signatures")
+        signed = stored(rows.mapInArrow(_signatures(threshold), "id bigint, digest bigint, n bigint, heads array<bigint>, sketch binary"), "signatures")
         same = signed.groupBy("digest", "n").agg(F.min("id").alias("class_id"))
         self.classes = signed.select("id", "digest", "n").join(same, ["digest", "n"]).select("id", "class_id").distinct()
         # one row per class: the text delivered again, and every copy, is left out here
-        classes = signed.groupBy("digest", "n").agg(F.min_by("sig", "id").alias("sig"), F.min("id").alias("id")).select("id", "sig")
-        trees = classes.mapInArrow(_trees, "id bigint, k2 bigint, low binary")
-        crowded = trees.groupBy("k2").count().where(F.col("count") > key_rows).select("k2", F.ceil(F.col("count") / key_rows).cast("int").alias("parts"))
+        one = F.struct("heads", "sketch")
+        classes = signed.groupBy("digest", "n").agg(F.min_by(one, "id").alias("s"), F.min("id").alias("id")).select("id", "n", "s.*")
+        trees = classes.select("id", "n", "sketch", F.posexplode("heads").alias("tree", "head")).withColumn("key", F.shiftleft(F.col("tree").cast("bigint"), 48).bitwiseOR(F.col("head"))).drop("tree", "head")
+        crowded = trees.groupBy("key").count().where(F.col("count") > key_rows).select("key", F.ceil(F.col("count") / key_rows).cast("int").alias("parts"))
         crowded = stored(crowded, "crowded")  # few rows: at most trees * classes / key_rows
-        alone = [F.col("k2").alias("key"), F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(False).alias("second")]
+        alone = [F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(False).alias("second")]
         if crowded.isEmpty():
-            keyed = trees.select("id", "low", *alone)
+            keyed = trees.select("key", "id", "n", "sketch", *alone)
         else:
             side = F.broadcast(crowded) if crowded.count() <= 200_000 else crowded
-            dealt = trees.join(side, "k2", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
+            dealt = trees.join(side, "key", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
             split = dealt.where("parts is not null").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-            split = split.select("id", "low", F.col("k2").alias("key"), F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("second"))
-            keyed = dealt.where("parts is null").select("id", "low", *alone).unionByName(split)
+            split = split.select("key", "id", "n", "sketch", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("second"))
+            keyed = dealt.where("parts is null").select("key", "id", "n", "sketch", *alone).unionByName(split)
         keyed = keyed.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-        near = keyed.mapInArrow(_neighbours(group_rows), "a bigint, b bigint")
+        near = keyed.mapInArrow(_neighbours(threshold, group_rows), "a bigint, b bigint")
         near = stored(near.distinct(), "candidates")
         wanted = stored(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
         # one delivery of each text is enough
-        if wanted.count() <= sent_ids:
-            import numpy as np
-
-            ids = docs.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["id"].to_numpy()))
-            sets = rows.mapInArrow(_sets(ids), "id bigint, runs array<bigint>")
-        else:
-            sets = rows.join(wanted, "id", "left_semi").mapInArrow(_sets(None), "id bigint, runs array<bigint>")
-        sets = sets.dropDuplicates(["id"])
+        sets = rows.join(wanted, "id", "left_semi").mapInArrow(_sets, "id bigint, runs array<bigint>").dropDuplicates(["id"])
         pairs = near.join(sets.select(F.col("id").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("runs").alias("y")), "b")
         shared = F.size(F.array_intersect("x", "y"))
         self.links = pairs.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
@@ -303,6 +311,17 @@ def same_url(docs: DataFrame) -> DataFrame:
     return keyed.select(F.col("id").alias("id_a"), "site", "key").join(keyed.select(F.col("id").alias("id_b"), "site", "key"), ["site", "key"]).where("id_a < id_b").select("id_a", "id_b")
 
 
+def page_groups(indexable: DataFrame, search: DataFrame) -> DataFrame:
+    """(id, class_id, links, url_id) of every id: its class and links by text
+    as in ``groups``, and the least id whose url is another spelling of its own
+    on the same site.  A page with several urls takes the least of these; one
+    without a url, or a site, has its own id."""
+    keyed = search.where("id is not null and site is not null and url is not null").select("id", "site", url_key(F.col("url")).alias("key"))
+    least = keyed.groupBy("site", "key").agg(F.min("id").alias("url_id"))
+    urls = keyed.join(least, ["site", "key"]).groupBy("id").agg(F.min("url_id").alias("url_id"))
+    return near_duplicates(indexable).groups().join(urls, "id", "left").withColumn("url_id", F.coalesce("url_id", "id"))
+
+
 def found(indexable: DataFrame, search: DataFrame) -> DataFrame:
     """p5_found: (id_a, id_b), similar by text or one page by url."""
     return near_duplicates(indexable).pairs().unionByName(same_url(search)).distinct()

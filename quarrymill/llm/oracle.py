@@ -38,6 +38,15 @@ _URLS = r"""u AS (SELECT DISTINCT id, site, regexp_replace(regexp_replace(lower(
         FROM search_documents WHERE url IS NOT NULL AND site IS NOT NULL AND id IS NOT NULL),
     same AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.site = y.site AND x.k = y.k AND x.id < y.id)"""
 
+_GROUPS = rf"""{_NEAR}, {_URLS},
+    i AS (SELECT DISTINCT id FROM indexable_documents WHERE id IS NOT NULL),
+    g AS (SELECT id, list_sort(list(s)) AS k FROM s GROUP BY id),
+    h AS (SELECT id, array_to_string(w, ' ') AS k FROM w WHERE len(w) BETWEEN 1 AND 2),
+    k AS (SELECT id, min(id) OVER (PARTITION BY k) AS class_id FROM g UNION ALL SELECT id, min(id) OVER (PARTITION BY k) FROM h),
+    e AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+    l AS (SELECT e.a AS id, count(DISTINCT y.class_id) AS links FROM e JOIN k x ON x.id = e.a JOIN k y ON y.id = e.b WHERE x.class_id <> y.class_id GROUP BY e.a),
+    p AS (SELECT id, min(least) AS url_id FROM (SELECT id, min(id) OVER (PARTITION BY site, k) AS least FROM u) GROUP BY id)"""
+
 _GRAMS = rf"""d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE text IS NOT NULL),
     e AS (SELECT item_id, {_WORDS.format("text")} AS w FROM eval_items WHERE text IS NOT NULL),
     dg AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
@@ -53,6 +62,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_clean_bodies": _cleaned("indexable_documents", "body_text"),
         "p3_clean_excerpts": _cleaned("search_documents", "excerpt"),
         "p5_found": f"WITH {_NEAR}, {_URLS} SELECT a AS id_a, b AS id_b FROM near UNION SELECT a AS id_a, b AS id_b FROM same",
+        "p5_groups": f"WITH {_GROUPS} SELECT i.id, coalesce(class_id, i.id) AS class_id, coalesce(links, 0) AS links, coalesce(url_id, i.id) AS url_id FROM i LEFT JOIN k USING (id) LEFT JOIN l USING (id) LEFT JOIN p USING (id)",
         "p8_found": f"WITH {_GRAMS} SELECT doc_id, item_id FROM hits",
         "p8_items": f"WITH {_GRAMS} SELECT item_id, count(*) AS documents FROM hits GROUP BY item_id",
     }

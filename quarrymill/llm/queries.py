@@ -62,7 +62,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, d, "indexable_documents")).groups()
+    return neardup.page_groups(table(spark, d, "indexable_documents"), table(spark, d, "search_documents"))
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

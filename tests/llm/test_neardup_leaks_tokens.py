@@ -24,8 +24,9 @@ def texts(rng, n, size=60):
     return [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(size)) for _ in range(n)]
 
 
-@pytest.mark.parametrize("options", [{}, {"key_rows": 3, "group_rows": 8, "sent_ids": 1}])
-def test_pairs_against_brute_force(spark, options):
+@pytest.mark.parametrize(("options", "short"), [({}, 600), ({"key_rows": 3, "group_rows": 8}, 600), ({"key_rows": 3, "group_rows": 8}, 50), ({}, 10)])
+def test_pairs_against_brute_force(spark, monkeypatch, options, short):
+    monkeypatch.setattr(neardup, "SHORT", short)  # runs up to which parities are compared; near it both kinds are
     rng = random.Random(8)
     data = []
     for k, t in enumerate(texts(rng, 30)):
@@ -42,23 +43,39 @@ def test_pairs_against_brute_force(spark, options):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_parity_sketches_never_reject_similar_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for total in (10, 60, 200, 600, 1200):
+        shared = int(np.ceil(0.6 * total / 1.6))  # two sets of half the total each, of similarity 0.6 or a little more
+        differing = total - 2 * shared
+        bits = np.array([(np.bincount(rng.integers(0, neardup.SKETCH_BITS, differing), minlength=neardup.SKETCH_BITS) & 1).sum() for _ in range(2_000)])
+        assert (bits <= neardup.most_differing(np.array([total]), 0.6)).all()
+
+
 def test_a_crowded_group_keeps_its_pairs():
-    """5,000 pages under one prefix at production parameters; pairs that agree in 40 of 64 values must all be found."""
+    """5,000 pages under one prefix at production parameters: twins that share 0.6 or more must all be found, and under a fiftieth of the other pairs, whose similarity is 0.49."""
+    import hashlib
+
     import numpy as np
     import pyarrow as pa
 
-    rng, n = np.random.default_rng(5), 5_000
-    low = rng.integers(0, 256, (n, neardup.VALUES), dtype="uint8")
-    for i in range(0, n, 2):
-        kept = 2 + rng.permutation(neardup.VALUES - 2)[:40]
-        low[i + 1, kept] = low[i, kept]
-    low[:, :2] = 7
-    place = rng.permutation(n)
-    columns = {"key": np.zeros(n, "int64"), "p": np.zeros(n, "int32"), "q": np.zeros(n, "int32"), "id": place, "second": np.zeros(n, bool)}
-    batch = pa.table({k: pa.array(v) for k, v in columns.items()} | {"low": pa.array([low[i].tobytes() for i in place], pa.binary())})
-    found = neardup._neighbours(neardup.GROUP_ROWS)(iter(batch.combine_chunks().to_batches(max_chunksize=700)))
+    rng, n = random.Random(5), 5_000
+    template = [f"t{i}" for i in range(80)]
+    texts = []
+    for _ in range(n // 2):
+        own = [f"s{rng.randrange(10**9)}" for _ in range(20)]
+        texts += [" ".join(template + own + [f"o{rng.randrange(10**9)}" for _ in range(20)]) for _ in range(2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts)], names=["id", "text"])
+    t = pa.Table.from_batches(list(neardup._signatures(0.6)(iter([batch])))).combine_chunks()
+    place = sorted(range(n), key=lambda i: hashlib.md5(str(i).encode()).digest())
+    rows = t.take(pa.array(place))
+    columns = {"key": np.zeros(n, "int64"), "p": np.zeros(n, "int32"), "q": np.zeros(n, "int32"), "id": rows["id"], "n": rows["n"], "sketch": rows["sketch"], "second": np.zeros(n, bool)}
+    found = neardup._neighbours(0.6, neardup.GROUP_ROWS)(iter(pa.table(columns).combine_chunks().to_batches(max_chunksize=700)))
     got = {p for b in found for p in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True)}
-    assert got == {(i, i + 1) for i in range(0, n, 2)}
+    want = {(i, i + 1) for i in range(0, n, 2)}
+    assert want <= got and len(got) < 0.02 * n * n / 2
 
 
 def test_recall_in_a_crowded_prefix(spark):
@@ -91,6 +108,12 @@ def test_no_pages(spark):
     assert neardup.near_duplicates(empty).pairs().count() == 0 and neardup.near_duplicates(empty).groups().count() == 0
 
 
+def test_groups_of_pages(spark):
+    pages = spark.createDataFrame([(1, "a b c d e f g h", "x", 1), (2, "a b c d e f g h", "x", 1), (3, None, "x", 1), (4, "q r s t", "x", 1)], PAGE)
+    urls = spark.createDataFrame([(4, "s", "/docs/A"), (2, "s", "/docs/a.html"), (3, "s", None), (1, "t", "/docs/a"), (2, "s", "/docs/a.html")], "id bigint, site string, url string")
+    assert sorted(map(tuple, neardup.page_groups(pages, urls).select("id", "class_id", "links", "url_id").collect())) == [(1, 1, 0, 1), (2, 1, 0, 2), (3, 3, 0, 3), (4, 4, 0, 2)]
+
+
 def test_urls(spark):
     rows = [(1, "s", "https://S.example/Docs/A/index.html?x=1#y"), (2, "s", "/docs/a.html"), (3, "s", "http://other/docs/a//"), (4, "s", "/docs/b"), (5, "t", "/docs/a"), (6, "s", None), (None, "s", "/docs/a"), (7, None, "/docs/a"), (8, "s", "https://s.example"), (9, "s", "/index.html"), (2, "s", "/docs/a.html")]
     got = {tuple(r) for r in neardup.same_url(spark.createDataFrame(rows, "id bigint, site string, url string")).collect()}
@@ -100,8 +123,8 @@ def test_urls(spark):
 DOC = "doc_id bigint, text string, ids string, run int"
 
 
-@pytest.mark.parametrize("bits", [6, 27])
-def test_leaks_against_brute_force(spark, monkeypatch, bits):
+@pytest.mark.parametrize(("sent", "bits"), [(10**6, 27), (0, 6), (0, 27)])
+def test_leaks_against_brute_force(spark, monkeypatch, sent, bits):
     monkeypatch.setattr(leaks, "MOST_BITS", bits)  # 6: a sketch so full that it lets every window through
     monkeypatch.setattr(leaks, "LEAST_BITS", 6)
     rng = random.Random(2)
@@ -124,12 +147,13 @@ def test_leaks_against_brute_force(spark, monkeypatch, bits):
 
     want = {(d, i) for d, t, *_ in docs if d is not None for i, x in items if i is not None and grams(t) & grams(x)}
     D, I = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id bigint, text string")
-    got = leaks.leaked_items(D, I)
+    got = leaks.leaked_items(D, I, sent_words=sent)
     assert {(r["doc_id"], r["item_id"]) for r in got.where("run >= 12").collect()} == want
     assert (502, 3) in want and len(want) > 20
 
 
-def test_short_overlaps_at_ends_are_no_leaks(spark):
+@pytest.mark.parametrize("sent", [0, 10**6])
+def test_short_overlaps_at_ends_are_no_leaks(spark, sent):
     """8 to 11 shared words at either end of texts, among neighbours in a batch; texts of 8 words are too short."""
     item = [f"w{i}" for i in range(40)]
     docs = []
@@ -139,7 +163,7 @@ def test_short_overlaps_at_ends_are_no_leaks(spark):
             docs.append((n * 10 + where, " ".join([own + item[-n:], item[:n] + own, item[-n:] + own, own + item[:n]][where]), "x", 1))
     docs += [(1, " ".join(item[:8]), "x", 1), (2, " ".join(item[-11:]), "x", 1)]
     items = [(1, " ".join(item)), (2, " ".join(item[:8])), (3, " ".join(item[-11:]))]
-    got = {(r["doc_id"], r["item_id"]): r["run"] for r in leaks.leaked_items(spark.createDataFrame(docs, DOC).coalesce(1), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    got = {(r["doc_id"], r["item_id"]): r["run"] for r in leaks.leaked_items(spark.createDataFrame(docs, DOC).coalesce(1), spark.createDataFrame(items, "item_id bigint, text string"), sent_words=sent).collect()}
     assert got == {(120 + where, 1): 12 for where in range(4)}
 
 
