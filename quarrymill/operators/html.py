@@ -7,6 +7,7 @@ follows are Column expressions.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
@@ -16,13 +17,15 @@ from quarrymill.constants import ASCII_BOUNDARY, MAX_HEADINGS, THIN_PAGE_CHARS
 from quarrymill.functions.text import excerpt, normalize_ws
 from quarrymill.functions.urls import file_url
 
-#: Never part of the content, with all that is in them.
+# What is never part of the content, with all that is in it.
 EXCLUDED = frozenset(("nav", "footer", "aside", "script", "style", "noscript", "svg"))
 EXCLUDED_ATTRIBUTE, EXCLUDED_CLASS = "data-search-exclude", "no-search"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HEAD_ONLY = frozenset("title meta link base style script noscript template".split())
 _CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+#: Elements whose text holds no markup: with entities, or as it stands.
+_TEXT_ONLY, _RAW_TEXT = ("title", "textarea"), ("script", "style", "iframe", "xmp", "noembed", "noframes")
 _SCOPES = frozenset("html body table td th ul ol dl select caption template svg button object".split())
 
 
@@ -34,6 +37,13 @@ class _Node:
 
 
 class _Tree(HTMLParser):
+    CDATA_CONTENT_ELEMENTS = _TEXT_ONLY + _RAW_TEXT
+    RCDATA_CONTENT_ELEMENTS = ()
+
+    def set_cdata_mode(self, elem, **how):
+        if elem in ("script", "style") or not any(n.tag in ("svg", "math") for n in self.open):  # foreign elements of these names hold markup
+            super().set_cdata_mode(elem, **how)
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root, self.head, self.body = _Node("html", {}), _Node("head", {}), _Node("body", {})
@@ -89,6 +99,8 @@ class _Tree(HTMLParser):
             self._close({tag}, {"td", "th", "table"} - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else set())
 
     def handle_data(self, data):
+        if self.cdata_elem in _TEXT_ONLY:
+            data = unescape(data)
         if not self.in_body and len(self.open) == 1:
             if not data.strip():
                 return

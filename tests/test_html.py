@@ -50,3 +50,16 @@ def test_headings_are_at_most_twenty(spark):
 def test_clashing_columns(spark):
     df = spark.createDataFrame([("/in/x.html", "<h1>X</h1>", "t", 5)], "path string, html string, title string, skipped int")
     assert extract_all(df, "/in").first()["title"] == "X"
+
+
+@pytest.mark.parametrize(
+    ("html", "title"),
+    [("<title>A <b>B</b> &amp; C</title>", "A <b>B</b> & C"), ("<title>A<h1>x</h1></title>", "A<h1>x</h1>"), ("<title>T</title><textarea><h1>no</h1></textarea>", "T"), ("<title>T</title><iframe><h1>no</h1></iframe>", "T"), ("<title>T</title><xmp><h1>no</h1></xmp>", "T"), ("<title>T</title><noframes><h1>no</h1></noframes><noembed><h1>no</h1></noembed>", "T")],
+)
+def test_elements_without_markup(spark, html, title):
+    assert doc(spark, html)["title"] == title
+
+
+def test_text_of_elements_without_markup():
+    assert read_markup("<main>a<textarea>&lt;x&gt; <i>y</i></textarea><xmp>&lt;<p></xmp>z</main>")["body"] == "a<x> <i>y</i>&lt;<p>z"
+    assert read_markup("<title>T</title><main><svg><title>in <b>svg</b></title></svg>x</main>")["body"] == "x"

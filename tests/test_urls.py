@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions import urls
 
-BASES = {"/": "/", "": "/", " docs ": "/docs/", "docs": "/docs/", "/docs": "/docs/", "https://www.x.example/": "/", "https://www.x.example": "/", "https://www.x.example/docs": "/docs/", "https://www.x.example/docs/": "/docs/", "//x.example/a": "/a/"}
+BASES = {"/": "/", "": "/", " docs ": "/docs/", "docs": "/docs/", "/docs": "/docs/", "https://www.x.example/": "/", "https://www.x.example": "/", "https://www.x.example/docs": "/docs/", "https://www.x.example/docs/": "/docs/", "//x.example/a": "/a/",
+         "https://x.example/a b": "/a%20b/", "https://x.example/a/../b/./c": "/b/c/", "https://x.example/a/%2E%2e/b": "/b/", "https://x.example/..": "/", "https://x.example/a/.": "/a/", "http://x.example:80/é?q#f": "/%C3%A9/", "https://x.example\\a\\b": "/a/b/",
+         "https://u:p@x.example/{a}": "/%7Ba%7D/", "https:///x.example/a": "/a/", "https://": "/https://", "https://x y/a": "/https://x y/a/", "https://x.example:99999/a": "/https://x.example:99999/a/", "https://[::1]/a": "/a/", "a b/../c": "/a b/../c/"}
 
 
 @pytest.mark.parametrize("base", BASES)
