@@ -86,7 +86,7 @@ def test_excerpts_follow_their_bodies(spark):
     [("Hello {{ name }}!", True), ("Welcome back, undefined!", True), ("the price is [Insert price here]", True), ("see #REF! there", True), ("Write `{{ name }}` there", False), ('it says "undefined is not a function"', False), ("a[0] = 1", False), ("{ color: red }", False), ("nullable", False), ("Dear <your name>,", True), ("100%% sure", False), ("%%count%% files", True)],
 )
 def test_slots(text, case):
-    assert residue.unfilled(text) is case
+    assert bool(residue.slots(text)) is case
 
 
 @pytest.fixture(scope="module")
@@ -104,7 +104,7 @@ def natural():
 )
 def test_titles(natural, title, case):
     means, _, _ = natural.score([title])
-    assert residue.title_is_residue(title, means[0], [title.casefold()]) is case
+    assert residue.title_is_residue(title, means[0], residue.slot_ratios(natural, [title], True)[0]) is case
 
 
 ARTICLE = "Readers who match a codepoint rarely notice the image behind the old commands. The setting for manifests is compressed together with the signature in one segment of the file."
@@ -116,7 +116,7 @@ ARTICLE = "Readers who match a codepoint rarely notice the image behind the old
 )
 def test_bodies(natural, body, case):
     lines = body.split("\n")
-    assert residue.body_is_residue(lines, *natural.score(lines)) is case
+    assert residue.body_is_residue(lines, *natural.score(lines), residue.slot_ratios(natural, lines)) is case
 
 
 def test_residue_tables(spark):
