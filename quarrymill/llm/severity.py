@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 #: Score of a text without words, and positive weights from which a sentence is looked at one by one.
 NONE, SUSPECT = -99.0, 1.5
 GRADES = ("fine", "abusive", "sexual", "hateful")
-#: Most reviewed documents that the model is fitted on, those with the least hashes, and most characters of one that are read for it.
+#: Most reviewed documents that the model is fitted on, those with the least hashes.
 SAMPLE_DOCS = 2_000
 #: Most documents without a review whose sentences stand for ordinary language, unless the model finds them harmful.
 BACKGROUND_DOCS = 800
-ROUNDS, STEPS, RATE, L1, POSITIVE_WEIGHT = 2, 250, 1.0, 4.0e-7, 2.0
+ROUNDS, STEPS, RATE, CUT_RATE, L1, POSITIVE_WEIGHT = 2, 250, 1.0, 1.0, 4.0e-7, 3.0
 FOUND_AT = 0.55
+#: Weight, against that of all rows, of a fine sentence of unknown words: what the model doesn't know is fine.
+UNKNOWN = 0.1
 #: A labelled document's worst sentence takes its label if it scores less than TRUST below the first cut; down to
 #: FAR_TRUST below, if SHARED or more of its pairs of words are in the worst sentences of other such documents, and there
 #: more often than in fine ones.
@@ -72,6 +74,7 @@ _EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’`*_~…¡¿-–—#&=/\\"
 _INNER = re.compile(r"[\W_]+")
 _PLAIN = re.compile(r"[^\W_]+")
 _TRIPLE = re.compile(r"(.)\1{2,}")
+_DOUBLE = re.compile(r"(.)\1+")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”’)»]*\s+|\n+")
 
 
@@ -88,20 +91,22 @@ class Words(dict):
     def __init__(self, lexicon: set[str]):
         self.lexicon = lexicon
         self.by_size: dict[tuple[int, str], list[str]] = {}
+        self.squeezed: dict[str, str] = {}  # without doubled letters -> the first such word
         for w in sorted(lexicon):
             if len(w) > 3:
                 self.by_size.setdefault((len(w), w[0]), []).append(w)
+                self.squeezed.setdefault(_DOUBLE.sub(r"\1", w), w)
 
     def _known(self, t: str) -> str | None:
         if t in self.lexicon:
             return t
-        if _TRIPLE.search(t) or len(t) > 3 and re.search(r"(.)\1", t):
+        if _TRIPLE.search(t) or len(t) > 3 and _DOUBLE.search(t):
             for r in (r"\1", r"\1\1"):
                 if (x := _TRIPLE.sub(r, t)) in self.lexicon:
                     return x
-            x = re.sub(r"(.)\1+", r"\1", t)
+            x = _DOUBLE.sub(r"\1", t)
             if len(t) - len(x) > 1:
-                return next((w for w in self.lexicon if len(w) > 3 and re.sub(r"(.)\1+", r"\1", w) == x), None)
+                return self.squeezed.get(x)
         return None
 
     def __missing__(self, token: str) -> tuple[str, ...]:
@@ -217,7 +222,7 @@ class Severity:
             if both:
                 parts.append(([f for _, f in both], g, [s for s, _ in both]))
         ordinary = [features(w) for text in background if text for s in _SENTENCE.split(text) if (w := self.words.sentence(s))]
-        self.weights, self.cuts = {}, np.array([self.FIRST_CUT, 5.0, 6.0])
+        self.weights, self.cuts = {}, np.array(self.START)
         self._fit(seeds + [(f, 0) for sentences, grade, _ in parts if not grade for f in sentences])
         for _ in range(ROUNDS if parts or ordinary else 0):
             rows = seeds + [(f, 0) for f in ordinary if self._sum(f) < self.cuts[0] - 1]
@@ -244,8 +249,8 @@ class Severity:
             return False  # fine documents say so, too
         return bool(score > self.cuts[0] - TRUST or score > self.cuts[0] - FAR_TRUST and sum(common[x] > max(1, usual[x]) for x in pairs) >= SHARED)
 
-    #: The first cut stands: what the model doesn't know is fine.
-    FIRST_CUT = 3.0
+    #: Cuts from which the fit starts.
+    START = (3.0, 5.0, 6.0)
 
     def _cut(self, text: str, whole: list[str]) -> list[str]:
         """Features of a sentence, or of its end from a capital letter on where that alone scores far more."""
@@ -276,21 +281,26 @@ class Severity:
         count = np.minimum(np.array([v[0] for v in unique.values()]), 5) * np.where(grade > 0, POSITIVE_WEIGHT, 1.0)
         count /= count.sum()
         row_of = np.repeat(np.arange(len(sizes)), sizes)
-        w, cuts = np.zeros(len(cols)), np.array([self.FIRST_CUT, 5.0, 6.0])
+        w, cuts = np.zeros(len(cols)), np.array(self.START)
         v, vc = np.full_like(w, 1e-10), np.full(3, 1e-8)
-        above = grade[:, None] > np.arange(3)[None, :]
+        every = np.arange(len(grade))
         for _ in range(STEPS):  # AdaGrad with a proximal step for the L1 penalty
+            # the cumulative link: P(grade <= k) = below[k]; a grade's likelihood lies between two cuts
             score = np.add.reduceat(w[inner], starts)
-            p = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts, -30, 30)))
-            err = (p - above) * count[:, None]
-            g = np.bincount(inner, weights=err.sum(axis=1)[row_of], minlength=len(cols))
+            below = np.c_[np.zeros(len(score)), 1 / (1 + np.exp(np.clip(score[:, None] - cuts, -30, 30))), np.ones(len(score))]
+            low, high = below[every, grade], below[every, grade + 1]
+            err = (1 - low - high) * count
+            g = np.bincount(inner, weights=err[row_of], minlength=len(cols))
             v += g * g
             rate = RATE / np.sqrt(v)
             w -= rate * g
             w = np.sign(w) * np.maximum(np.abs(w) - rate * L1, 0)
-            gc = -err.sum(axis=0)
+            part = count / np.maximum(high - low, 1e-9)
+            gc = np.bincount(grade, weights=low * (1 - low) * part, minlength=4)[1:] - np.bincount(grade, weights=high * (1 - high) * part, minlength=4)[:3]
+            gc[0] -= UNKNOWN / (1 + np.exp(cuts[0]))
             vc += gc * gc
-            cuts[1:] = np.maximum(cuts - RATE * gc / np.sqrt(vc), cuts[0] + 0.5)[1:]
+            cuts = cuts - CUT_RATE * gc / np.sqrt(vc)
+            cuts[1:] = np.maximum(cuts[1:], cuts[0] + 0.5)
             cuts[2] = cuts[1:].max()
         self.weights = {x: float(y) for x, y in zip(names, w, strict=True) if y}
         self.cuts = cuts
@@ -322,15 +332,35 @@ class Severity:
                 total += p.get(words[i + 1] if i + 1 < len(words) else "$", 0.0)
         return total + self.pairs.get("^", {}).get(words[0], 0.0)
 
+    def best(self, tokens: list[str]) -> float:
+        """The greatest score of a sentence and of its ends, see ``suffixes``; NONE without words."""
+        parts = [self.words[t] for t in tokens]
+        letters = 0
+        for p in parts:
+            letters = letters + 1 if len(p) == 1 and len(p[0]) == 1 else 0
+            if letters > 2:  # words may be spelled in letters, from any of them on
+                ends = (self.words.sentence(" ".join(t)) for t in (tokens, *suffixes(tokens)))
+                return max([self.score(w) for w in ends if w], default=NONE)
+        get, pairs, start = self.single.get, self.pairs.get, self.pairs.get("^", {}).get
+        total, following, most = 0.0, "$", NONE
+        for i in range(len(parts) - 1, -1, -1):  # from its end, so that every sum goes on
+            for w in reversed(parts[i]):
+                total += get(w, 0.0)
+                if p := pairs(w):
+                    total += p.get(following, 0.0)
+                following = w
+            if following != "$" and (i == 0 or i < len(tokens) - 3 and tokens[i][:1].isupper() and not (tokens[i - 1].isupper() and tokens[i].isupper())):
+                most = max(most, total + start(following, 0.0))
+        return most
+
     def sentences(self, text: str) -> list[tuple[float, str]]:
         """Every sentence with its score."""
         out = []
         for s in _SENTENCE.split(text):
             tokens, f = s.split(), features(self.words.sentence(s))
             suspect = sum([x for x in map(self._weight, f) if x > 0]) >= SUSPECT
-            scores = [self.score(w) for t in (tokens, *(suffixes(tokens) if suspect else ())) if (w := self.words.sentence(" ".join(t)))]
-            if scores:
-                out.append((max(scores), s))
+            if w := self.words.sentence(s):
+                out.append((self.best(tokens) if suspect else self.score(w), s))
         return out
 
     def worst(self, text: str | None) -> float:
@@ -387,9 +417,7 @@ class Severity:
         sums[~some] = NONE
         ends = np.r_[starts[1:], n]
         for i in np.flatnonzero((high >= SUSPECT) | (letters > 2)):
-            part = tokens[starts[i] : ends[i]]
-            scores = [self.score(w) for p in (part, *suffixes(part)) if (w := self.words.sentence(" ".join(p)))]
-            sums[i] = max(scores, default=NONE)
+            sums[i] = self.best(tokens[starts[i] : ends[i]])
         doc = np.searchsorted(np.array(doc_ends), starts, "right")
         np.maximum.at(best, doc, sums)
         return best
@@ -448,7 +476,7 @@ def _scores(model):
         m: Severity = model.value
         for b in batches:
             texts = b["text"].to_pylist()
-            best = np.concatenate([np.zeros(0), *(m.worst_many(texts[i : i + 500]) for i in range(0, len(texts), 500))])
+            best = np.concatenate([np.zeros(0), *(m.worst_many(texts[i : i + 2000]) for i in range(0, len(texts), 2000))])
             m._table.trim() if texts else None
             p = 1 / (1 + np.exp(-np.clip(best[:, None] - m.cuts, -30, 30)))
             empty = best <= NONE
