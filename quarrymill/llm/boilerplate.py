@@ -40,13 +40,14 @@ januar februar märz april mai juni juli august september oktober november dezem
 janvier février mars avril mai juin juillet août septembre octobre novembre décembre
 enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre""".split()
 _MONTH = re.compile(rf"(?<=0)(\W+(?:de )?)(?:{'|'.join(sorted(set(_MONTHS), key=len, reverse=True))})(?=\W+(?:de )?0)")
-_INVISIBLE = dict.fromkeys(map(ord, "​‌‍‎‏⁠﻿­"), None)
+_INVISIBLE = re.compile("[\u200b\u200c\u200d\u200e\u200f\u2060\ufeff\u00ad]+")
 _BULLET = re.compile(r"^(?:[-*•–+]|\(?\d{1,3}[.)])\s+(?=\S)")
 _QUOTES = ("»", ">", "›")
 _QUOTE = re.compile(r"^[»>›]+\s+")
 _LABEL = re.compile(r"^(\W*\w+(?:[ '’-]\w+){0,2}) ?: +\S")
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
-_PARTS = re.compile(r"\s*[·|›/•→←]\s*|\s{2,}")
+_SIGNS = "·|›•→←"
+_PARTS = re.compile(rf"\s*[{_SIGNS}/]\s*|\s{{2,}}")
 _SUFFIX = re.compile(r"\s+(?:[–—|·:-]|::|»|«)\s+")
 _END = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*$")
 _WORD = re.compile(r"\w+")
@@ -58,7 +59,7 @@ _CODE = re.compile(r"[=(){}<>`$\\_]|--|://|\w\.\w+\(|^\W*#")
 def canon(line: str) -> str:
     """A line without invisible signs, extra white space, quote marks and letter case."""
     if not line.isascii():
-        line = line.translate(_INVISIBLE)
+        line = _INVISIBLE.sub("", line)
     s = " ".join(line.split())
     return (_QUOTE.sub("", s) if s[:1] in _QUOTES else s).casefold()
 
@@ -73,6 +74,10 @@ def brand(site: str | None) -> re.Pattern | None:
 
 def path(c: str, mark: re.Pattern | None) -> str:
     """The generalised path of a canonical line."""
+    if len(c) > LONG_CHARS:
+        import xxhash
+
+        return "¶" + xxhash.xxh3_64_hexdigest(mark.sub("§", c) if mark else c)
     s = _BULLET.sub("", c)
     if mark:
         s = mark.sub("§", s)
@@ -81,11 +86,7 @@ def path(c: str, mark: re.Pattern | None) -> str:
     if ":" in s and not _END.search(s) and (m := _LABEL.match(s)):
         return m[1] + ": *"
     if "›" in s:
-        s = "›".join(s.split("›")[:2]).strip() + " › *"
-    if len(c) > LONG_CHARS:
-        import xxhash
-
-        return "¶" + xxhash.xxh3_64_hexdigest(s)
+        return "›".join(s.split("›")[:2]).strip() + " › *"
     return s
 
 
@@ -129,7 +130,9 @@ def words_over(x: str, least: int) -> list[str]:
 
 
 def running(c: str) -> bool:
-    """Does a canonical line read as a sentence, a list item or code?"""
+    """Does a canonical line read as a paragraph, a sentence, a list item or code?"""
+    if len(c) > LONG_CHARS:
+        return True
     words = size(c)
     if _BULLET.match(c):
         return words > 4
@@ -138,13 +141,13 @@ def running(c: str) -> bool:
     return words > 7 or words > 1 and bool(_CODE.search(c))
 
 
-def topics(lines: list[str], title: str | None, headings: list[str] | None) -> set[str]:
+def topics(lines: list[str], runs: list[bool], title: str | None, headings: list[str] | None) -> set[str]:
     """What the page is about: the longer words most frequent in its title and
     headings, if they return in its sentences, lists or code."""
     words = Counter(w for x in (title, *(headings or ())) if x for w in set(words_over(canon(x), 5)))
     if not words:
         return set()
-    text = [c for c in lines if len(c) > LONG_CHARS or running(c)]
+    text = [c for c, run in zip(lines, runs, strict=True) if run]
     counts = {w: sum(w in c for c in text) for w in words}
     most = max((words[w] for w in words if counts[w] > 1), default=0)
     return {w for w in words if words[w] == most and counts[w] > 1}
@@ -182,12 +185,13 @@ def _votes(batches: Iterator) -> Iterator:
             forms = headline_forms(title, mark) or [canon(h) for h in (headings or ())[:1] if h]
             from_title = xxhash.xxh3_64_intdigest(forms[0] if forms else "") >> 1
             seen: dict[str, int] = {}
-            bare = not heads and sum(len(c) > LONG_CHARS or running(c) and not (mark and mark.search(c)) for c in lines) < 4
-            own = set(words_over(forms[0], 5)) if bare and forms else topics(lines, title, headings)
+            runs = list(map(running, lines))
+            bare = not heads and sum(run and (len(c) > LONG_CHARS or not (mark and mark.search(c))) for c, run in zip(lines, runs, strict=True)) < 4
+            own = set(words_over(forms[0], 5)) if bare and forms else topics(lines, runs, title, headings)
             for i, c in enumerate(lines):
                 if not c:
                     continue
-                good = i == start or i in heads or ((bare or len(c) > LONG_CHARS or running(c)) and not (mark and mark.search(c)) and any(t in c for t in own))
+                good = i == start or i in heads or ((bare or runs[i]) and any(t in c for t in own) and not (mark and mark.search(c)))
                 p = path(c, mark)
                 seen[p] = seen.get(p, 0) | good
             for p, good in seen.items():
@@ -223,6 +227,8 @@ def paths_of(c: str, mark: re.Pattern | None) -> tuple[str, list[str]]:
     """The path of a line, and those of the entries that it lists."""
     if not c:
         return "", []
+    if len(c) > LONG_CHARS and all(c.count(sign) < 3 for sign in _SIGNS):
+        return path(c, mark), []  # a paragraph lists nothing
     parts = [p for p in _PARTS.split(_BULLET.sub("", c)) if p] if _PARTS.search(c) else ()
     return path(c, mark), [path(p, mark) for p in parts] if len(parts) > 1 else []
 
@@ -245,8 +251,9 @@ def furniture(lines: list[str], title: str | None, headings: list[str] | None, m
         return bool(whole) and (voted(whole) or len(parts) > 1 and all(map(voted, parts)))
 
     gone = {i for i, c in enumerate(lines) if c and i not in heads and i != start and lost(i)}
-    own = topics(lines, title, headings)
-    first = min([*heads, *(i for i, c in enumerate(lines) if c and i not in gone and (len(c) > LONG_CHARS or running(c)))], default=len(lines))
+    runs = list(map(running, lines))
+    own = topics(lines, runs, title, headings)
+    first = min([*heads, *(i for i, c in enumerate(lines) if c and i not in gone and runs[i])], default=len(lines))
     if start is None or start > first:  # no line is the title as it stands
         above = [i for i in range(first) if lines[i] and i not in gone]
         forms = headline_forms(title, mark)
@@ -255,14 +262,14 @@ def furniture(lines: list[str], title: str | None, headings: list[str] | None, m
             start = next((i for i in above if any(t in lines[i] for t in own)), above[0] if above else first)
     there = {lines[i] for i in heads}
     missing = [h for h in map(canon, filter(None, headings or ())) if h not in there]
-    said = {w for i, c in enumerate(lines) if i >= start and i not in gone and (len(c) > LONG_CHARS or running(c)) for w in words_over(c, 6)} if not (headings or own) else set()
+    said = {w for i, c in enumerate(lines) if i >= start and i not in gone and runs[i] for w in words_over(c, 6)} if not (headings or own) else set()
     out: list[int] = []
     for i, c in enumerate(lines):
         if not c:
             continue
         if i in gone or i < start:
             out.append(i)
-        elif not (i == start or i in heads or len(c) > LONG_CHARS or running(c)):
+        elif not (i == start or i in heads or runs[i]):
             if headings:
                 good = any(alike(c, h) for h in missing)
             elif own:
