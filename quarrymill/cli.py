@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("--maxShardTerms", type=int, default=MAX_SHARD_TERMS, help="warn of shards with more terms; 0: never")
     build.add_argument("--include", default=INCLUDE)
     build.add_argument("--exclude", default=EXCLUDE)
+    build.add_argument("--format", default="json", choices=("json", "parquet"), help="json: files for web pages; parquet: written by the executors, for large collections")
     build.add_argument("--verbose", action="store_true", help="name the skipped pages")
     return p
 
@@ -35,7 +36,7 @@ def run_build(spark, o: argparse.Namespace, say=print) -> dict:
     from quarrymill.operators.html import extract_all
     from quarrymill.operators.indexer import assign_ids, build_index
     from quarrymill.session import ship, stored
-    from quarrymill.sources.index_files import build_report, write_json_index
+    from quarrymill.sources.index_files import build_report, write_json_index, write_parquet_index
     from quarrymill.sources.pages import read_html_dir
 
     ship(spark)
@@ -45,11 +46,14 @@ def run_build(spark, o: argparse.Namespace, say=print) -> dict:
             say(f"- skipped {r['path']}")
     docs, postings = build_index(assign_ids(pages.where(~F.col("skipped")).drop("skipped")))
     postings = stored(postings, "postings")
-    meta = write_json_index(docs, postings, o.output, normalize_base_url(o.baseUrl), o.shard)
+    if o.format == "parquet":
+        meta, names = write_parquet_index(docs, postings, o.output, base_url=normalize_base_url(o.baseUrl)), ("docs", "postings")
+    else:
+        meta, names = write_json_index(docs, postings, o.output, normalize_base_url(o.baseUrl), o.shard), ("index.meta.json", "docs.json", "inv" if o.shard else "index.inv.json")
     for line in build_report(docs, postings, o.maxShardTerms, o.shard):
         say(line)
     out = o.output.rstrip("/")
-    for name in ("index.meta.json", "docs.json", "inv" if o.shard else "index.inv.json"):
+    for name in names:
         say(f"Wrote {out}/{name}")
     return meta
 

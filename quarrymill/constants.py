@@ -9,7 +9,7 @@ EXCERPT_CHARS, EXCERPT_MIN_CUT = 200, 100
 THIN_PAGE_CHARS = 50
 SHARD_PREFIX_LEN, FALLBACK_SHARD, STRATEGY = 2, "_other", "prefix2"
 MAX_SHARD_TERMS = 50_000
-QUERY_LIMIT, QUERY_MAX_TOKENS = 10, 10
+QUERY_LIMIT, QUERY_MAX_TOKENS, MAX_SHARD_CACHE = 10, 10, 30
 URL_MODES = ("pretty", "html")
 
 #: Words that are not indexed.

@@ -131,6 +131,14 @@ def _excluded(n: _Node) -> bool:
     return n.tag in EXCLUDED or EXCLUDED_ATTRIBUTE in n.attrs or EXCLUDED_CLASS in (n.attrs.get("class") or "").split()
 
 
+def parse(html: str | None) -> _Node:
+    """The body of a page: nodes with ``tag``, ``attrs`` and ``kids``, which are nodes and texts."""
+    tree = _Tree()
+    tree.feed(html or "")
+    tree.close()
+    return tree.body
+
+
 def read_markup(html: str | None) -> dict:
     """Raw texts of a page: first h1 and body of the content, all h2 and h3, the title."""
     tree = _Tree()

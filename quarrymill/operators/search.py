@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+from collections import OrderedDict
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrymill.constants import MULTI_MATCH_BONUS, QUERY_LIMIT, QUERY_MAX_TOKENS
+from quarrymill.constants import MAX_SHARD_CACHE, MULTI_MATCH_BONUS, QUERY_LIMIT, QUERY_MAX_TOKENS
 from quarrymill.functions.text import highlight, query_tokens, tokenize_query
 from quarrymill.operators.shards import resolve_shard_path, shard_key, shard_key_of
 
@@ -35,12 +38,39 @@ class Engine:
     is used.  ``postings``: (term, doc_id, weight) with ``shard`` where the
     index has shards.  ``sharding``: the catalog of shards, or None for an
     index without; terms of shards that it lacks are looked for in its fallback.
+
+    At most ``max_shard_cache`` shards stay in the executors' storage, those
+    used last (0: none); an index without shards is one.  With ``keep`` every
+    query keeps the shards that it reads, else only ``prewarm`` does.  A query
+    of more shards than fit reads them where they lie, so results never depend
+    on the cache.
     """
 
-    def __init__(self, docs: DataFrame, postings: DataFrame, sharding: dict | None = None):
+    def __init__(self, docs: DataFrame, postings: DataFrame, sharding: dict | None = None, max_shard_cache: int = MAX_SHARD_CACHE, keep: bool = False):
+        if max_shard_cache < 0:
+            raise ValueError(f"a limit can't be negative: {max_shard_cache}")
         self.docs = docs.select(F.col("id").alias("doc_id"), "url", "title", "excerpt").dropDuplicates(["doc_id"])
-        self.postings, self.sharding = postings, sharding
-        self._warm: dict[str | None, DataFrame] = {}
+        self.postings, self.sharding, self.max_shard_cache, self.keep = postings, sharding, max_shard_cache, keep
+        self._warm: OrderedDict[str | None, DataFrame] = OrderedDict()
+        self._lock = threading.Lock()  # queries at the same time read a shard once
+
+    def _cached(self, shards: list[str | None], load: bool) -> list[DataFrame] | None:
+        """The kept frames of the shards, loaded where that is asked for; None if some aren't kept."""
+        if len(shards) > self.max_shard_cache or not shards:
+            return None
+        with self._lock:
+            if not load and not set(shards) <= set(self._warm):
+                return None
+            for s in shards:
+                if s not in self._warm:
+                    part = self.postings if s is None else self.postings.where(F.col("shard") == s)
+                    self._warm[s] = part.persist()
+                    part.count()
+                self._warm.move_to_end(s)
+            frames = [self._warm[s] for s in shards]
+            while len(self._warm) > self.max_shard_cache:
+                self._warm.popitem(last=False)[1].unpersist()
+            return frames
 
     def _shards(self, tokens: list[str]) -> set[str]:
         """Keys of the shards that hold the tokens; those of the fallback for others."""
@@ -53,16 +83,13 @@ class Engine:
     def _lookup(self, tokens: list[str]) -> DataFrame:
         """Postings of the tokens: both predicates reach the scan, the shard's as a partition filter."""
         wanted = F.col("term").isin(tokens)
-        if self.sharding is None:
-            return self._warm.get(None, self.postings).where(wanted)
-        shards = self._shards(tokens)
-        if shards and shards <= set(self._warm):
-            parts = [self._warm[s] for s in sorted(shards)]
+        shards = [None] if self.sharding is None else sorted(self._shards(tokens))
+        if parts := self._cached(shards, self.keep):
             found = parts[0]
             for p in parts[1:]:
                 found = found.unionByName(p)
             return found.where(wanted)
-        return self.postings.where(F.col("shard").isin(sorted(shards)) & wanted)
+        return self.postings.where(wanted if self.sharding is None else F.col("shard").isin(shards) & wanted)
 
     def query(self, text: str | list[str], limit: int = QUERY_LIMIT, highlight_matches: bool = False, max_tokens: int = QUERY_MAX_TOKENS) -> DataFrame:
         """(rank, url, title, excerpt, score), best first.
@@ -115,13 +142,8 @@ class Engine:
 
     def prewarm(self, text: str | list[str]) -> None:
         """Keep the postings that a query would read in the executors' storage."""
-        tokens = query_tokens(text)
-        wanted = [None] if self.sharding is None else sorted(self._shards(tokens))
-        for s in wanted if tokens else ():
-            if s not in self._warm:
-                part = self.postings if s is None else self.postings.where(F.col("shard") == s)
-                self._warm[s] = part.persist()
-                self._warm[s].count()
+        if tokens := query_tokens(text):
+            self._cached([None] if self.sharding is None else sorted(self._shards(tokens)), True)
 
     def close(self) -> None:
         for df in self._warm.values():
@@ -132,14 +154,15 @@ class Engine:
 _OPEN: dict[tuple, Engine] = {}
 
 
-def create_search(spark: SparkSession, meta_path: str, reader=None) -> Engine:
-    """The engine of the index at ``meta_path``; opened once per path and
-    reader until ``clear_search_cache``.  Failed openings aren't kept."""
+def create_search(spark: SparkSession, meta_path: str, reader=None, max_shard_cache: int = MAX_SHARD_CACHE) -> Engine:
+    """The engine of the JSON index at ``meta_path``, which keeps what its
+    queries parse; opened once per path and options until
+    ``clear_search_cache``.  Failed openings aren't kept."""
     from quarrymill.sources.index_files import open_index
 
-    key = (spark.sparkContext.applicationId, meta_path, reader)
+    key = (spark.sparkContext.applicationId, meta_path, reader, max_shard_cache)
     if key not in _OPEN:
-        _OPEN[key] = Engine(*open_index(spark, meta_path, reader))
+        _OPEN[key] = Engine(*open_index(spark, meta_path, reader), max_shard_cache, True)
     return _OPEN[key]
 
 

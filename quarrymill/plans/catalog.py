@@ -16,9 +16,9 @@ from quarrymill.constants import FIELD_TOKEN_LIMITS, STOPWORDS
 from quarrymill.functions import text as T
 from quarrymill.functions import urls
 from quarrymill.operators import balanced, html, indexer, shards
-from quarrymill.operators.search import Engine
-from quarrymill.session import shared_dir, stored, table
-from quarrymill.sources import index_files
+from quarrymill.operators.search import Engine, clear_search_cache, create_search
+from quarrymill.session import is_stored, shared_path, table
+from quarrymill.sources import index_files, pages
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,13 +42,20 @@ def _corpus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "extracted_documents").select("extract_id", "file_path", "title", "title_source", "headings", "excerpt").dropDuplicates(["extract_id"])
-    title, body = (T.escape_html(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "excerpt"))
+    """(extract_id, path, html) of every extraction, with the whole body of its
+    page where it has one, in markup of four kinds."""
+    e = table(spark, d, "extracted_documents").select("extract_id", "doc_id", "file_path", "title", "title_source", "headings", "excerpt").dropDuplicates(["extract_id"])
+    e = e.join(table(spark, d, "indexable_documents").select(F.col("id").alias("doc_id"), "body_text").dropDuplicates(["doc_id"]), "doc_id", "left")
+    title, body = T.escape_html(F.coalesce("title", F.lit(""))), T.escape_html(F.coalesce("body_text", "excerpt", F.lit("")))
+    kind = F.pmod("extract_id", F.lit(4))
+    by_kind = lambda *parts: F.element_at(F.array(*map(F.lit, parts)), (kind + 1).cast("int"))
     named = F.coalesce(F.col("title_source"), F.lit("")) != "filename"
-    heads = F.array_join(F.transform(F.coalesce("headings", F.array().cast("array<string>")), lambda h: F.concat(F.lit("<h2>"), T.escape_html(h), F.lit("</h2>"))), "")
+    heads = F.transform(F.coalesce("headings", F.array().cast("array<string>")), lambda h: F.concat(by_kind("<h2>", "<h3 class=a>", "<H2>", "<h3>"), T.escape_html(h), by_kind("</h2>", "</h3>", "</H2>", "</h3>")))
     parts = [
-        "<!doctype html><html><head>", F.when(named, F.concat(F.lit("<title>"), title, F.lit("</title>"))).otherwise(""), "<style>p{}</style></head><body><nav>menu</nav><main class=page><aside>side</aside>",
-        F.when(F.col("title_source") == "h1", F.concat(F.lit("<h1>"), title, F.lit("</h1>"))).otherwise(""), heads, "<p>", body, "<p class='note no-search'>not this<p data-search-exclude>nor this</p></main><footer>foot</footer></body></html>",
+        "<!doctype html><html><head>", F.when(named, F.concat(F.lit("<title>"), title, by_kind("", " <b>x</b>", "", ""), F.lit("</title>"))).otherwise(""), "<style>p{}</style></head><body><nav>menu</nav>",
+        by_kind("<main class=page><aside>side</aside>", "<iframe><h1>frame</h1></iframe><textarea><main></textarea><article>", "<aside><h1>side</h1></aside>", "<article>teaser<h1>teaser</h1></article><main><svg><title>drawing</title></svg>"),
+        F.when(F.col("title_source") == "h1", F.concat(F.lit("<h1>"), title, F.lit("</h1>"))).otherwise(""), F.array_join(heads, ""), "<p>", body, "<p class='note no-search'>not this<p data-search-exclude>nor this</p>",
+        by_kind("</main>", "</article>", "<script>if (a < b) {}</script>", "</main><main>second</main>"), "<footer>foot</footer></body></html>",
     ]
     page = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     return e.select("extract_id", F.coalesce("file_path", F.lit("/build/none.html")).alias("path"), page.alias("html"))
@@ -164,7 +171,7 @@ def shard_map(spark, d):
 
 def resolve_shard_paths(spark, d):
     terms = table(spark, d, "postings").where("term is not null").select(F.col("term").alias("token")).distinct()
-    catalog = table(spark, d, "shard_map").where("build_id = 1 and shard is not null").select("shard").distinct().withColumn("path", shards.shard_path(F.col("shard")))
+    catalog = table(spark, d, "shard_map").where("shard is not null").select("shard").distinct().withColumn("path", shards.shard_path(F.col("shard")))
     return shards.resolve_shard_paths(terms, catalog).select("token", "path")
 
 
@@ -174,11 +181,23 @@ def resolve_build_paths(spark, d):
     return shards.resolve_build_paths(terms, table(spark, d, "shard_builds"), catalog)
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> str:
+    """The Parquet index of the corpus, built once per session and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if not is_stored(spark, _BUILT.get(key)):
+        docs, found = indexer.build_index(_corpus(spark, d))
+        path = shared_path(spark, "index")
+        index_files.write_parquet_index(docs, found, path)
+        _BUILT[key] = path
+    return _BUILT[key]
+
+
 def _engine(spark, d, docs: DataFrame | None = None) -> Engine:
-    corpus = _corpus(spark, d)
-    sharded = stored(shards.build_shards(indexer.build_postings(corpus)).sortWithinPartitions("shard", "term"), "index")
-    keys = [r["shard"] for r in sharded.select("shard").distinct().collect()]  # at most 36 * 36 and one
-    return Engine(indexer.stored_docs(corpus) if docs is None else docs, sharded, shards.sharding_meta(keys))
+    stored, found, sharding = index_files.open_parquet_index(spark, _index(spark, d))
+    return Engine(stored if docs is None else docs, found, sharding)
 
 
 def search_single(spark, d):
@@ -215,36 +234,82 @@ def batch_search(spark, d):
     return _engine(spark, d).batch_query(items)
 
 
-def _roundtrip(spark, d, sharded: bool) -> Engine:
-    import uuid
-
+def _json_index(spark, d, sharded: bool) -> str:
     docs, found = indexer.build_index(_corpus(spark, d))
-    folder = f"{shared_dir(spark)}/json-index-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "json-index")
     index_files.write_json_index(docs, found, folder, sharded=sharded, generated_at="2024-01-01T00:00:00.000Z")
-    return Engine(*index_files.open_index(spark, f"{folder}/index.meta.json"))
+    return folder
 
 
 def v1_roundtrip(spark, d):
-    return _roundtrip(spark, d, False).query(MANY, limit=25)
+    return Engine(*index_files.open_index(spark, f"{_json_index(spark, d, False)}/index.meta.json")).query(MANY, limit=25)
 
 
 def v2_roundtrip(spark, d):
-    return _roundtrip(spark, d, True).query(MANY, limit=25)
+    return Engine(*index_files.open_index(spark, f"{_json_index(spark, d, True)}/index.meta.json")).query(MANY, limit=25)
 
 
 def parquet_index_search(spark, d):
-    import uuid
-
     docs, found = indexer.build_index(_corpus(spark, d))
-    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "index")
     index_files.write_parquet_index(docs, found, folder)
     return Engine(*index_files.open_parquet_index(spark, folder)).query(MANY, limit=25)
 
 
+def search_prewarmed(spark, d):
+    """Opened once, prewarmed, with room for one shard at a time, then forgotten."""
+    meta = f"{_json_index(spark, d, True)}/index.meta.json"
+    engine = create_search(spark, meta, max_shard_cache=1)
+    engine.prewarm(ONE)
+    found = create_search(spark, meta, max_shard_cache=1).query(ONE)
+    clear_search_cache()
+    return found
+
+
+def search_with_reader(spark, d):
+    """The index read by a reader of one's own."""
+    def reader(paths: list[str], schema: str) -> DataFrame:
+        return spark.read.schema(schema).option("multiLine", True).json(paths)
+
+    return create_search(spark, f"{_json_index(spark, d, False)}/index.meta.json", reader).query(MANY, limit=25)
+
+
+def index_term_order(spark, d):
+    """(shard, place, term): the order of the terms in the files of an index."""
+    files = spark.read.text(f"{_json_index(spark, d, True)}/inv", wholetext=True).select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("shard"), F.get_json_object("value", "$.terms").alias("terms"))
+    return files.select("shard", F.posexplode(F.json_object_keys("terms")).alias("place", "term"))
+
+
+def build_report(spark, d):
+    docs, found = indexer.build_index(_corpus(spark, d))
+    return spark.createDataFrame([(line,) for line in index_files.build_report(docs, found, 100)], "line string")
+
+
+def escape_regex(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.escape_regex(F.col("text")).alias("text"))
+
+
+def html_dir_pages(spark, d):
+    """A folder with a file per build of a site, read back by the globs of a build."""
+    folder = shared_path(spark, "site")
+    files = index_files._Files(spark, folder)
+    for r in table(spark, d, "shard_builds").select("build_id", "site", "total_terms").distinct().toLocalIterator():
+        part = "search/" if r["build_id"] % 5 == 0 else ""
+        files.write(f"{r['site']}/{part}{r['build_id']}.{'htm' if r['build_id'] % 7 == 0 else 'html'}", [f"<h1>{r['site']}</h1>\n<p>{r['total_terms']} terms"])
+    return pages.read_html_dir(spark, folder).select("path", "html")
+
+
+def html_table_pages(spark, d):
+    folder = shared_path(spark, "pages")
+    _pages(spark, d).select(F.col("path").alias("file"), F.col("html").alias("markup"), "extract_id").write.parquet(folder)
+    docs = html.extract_all(pages.read_html_table(spark, folder, "file", "markup"), input_root="/build")
+    return docs.groupBy("title_source", "skipped").agg(F.count("*").alias("pages"), F.sum(F.length("body_text")).alias("chars"))
+
+
 _QUERIES = (
     p6_found, p6_shards, tokenize_documents, tokenize_dedupe_limit, stopword_anti_join, normalize_whitespace, excerpt, escape_html, highlight_excerpt, extract_pages, page_title_sources, skipped_pages, base_urls, map_urls_pretty, map_urls_html, doc_ids,
     field_weights, postings, postings_nested, stored_docs, shard_keys, shard_term_counts, index_stats, oversize_shards, shard_map, resolve_shard_paths, resolve_build_paths, search_single, search_multi_bonus, search_highlight, search_limit, search_stopwords_only, search_unknown_term,
-    search_orphan_postings, batch_search, v1_roundtrip, v2_roundtrip, parquet_index_search,
+    search_orphan_postings, batch_search, v1_roundtrip, v2_roundtrip, parquet_index_search, search_prewarmed, search_with_reader, index_term_order, build_report, escape_regex, html_dir_pages, html_table_pages,
 )
 
 
@@ -300,10 +365,12 @@ def _search(words: list[str], limit: int, docs: str = "c", shown: str = "excerpt
     SELECT rank::INT AS rank, url, title, {shown} AS excerpt, score::BIGINT AS score FROM r WHERE rank <= {limit} AND id IS NOT NULL"""
 
 
-_PAGE = f"""e AS (SELECT extract_id, any_value(coalesce(file_path, '/build/none.html')) AS path, any_value(title) AS title, any_value(title_source) AS source, any_value(headings) AS headings, any_value(excerpt) AS excerpt FROM extracted_documents GROUP BY extract_id),
-    n AS (SELECT path, CASE WHEN source = 'h1' THEN {_norm("coalesce(title, '')")} ELSE '' END AS h1, CASE WHEN coalesce(source, '') <> 'filename' THEN {_norm("coalesce(title, '')")} ELSE '' END AS tag,
+_PAGE = f"""b AS (SELECT id, any_value(body_text) AS body_text FROM indexable_documents GROUP BY id),
+    e AS (SELECT path, title, source, headings, kind, coalesce(body_text, excerpt, '') AS body FROM (SELECT extract_id % 4 AS kind, any_value(doc_id) AS doc_id, any_value(coalesce(file_path, '/build/none.html')) AS path, any_value(title) AS title, any_value(title_source) AS source,
+        any_value(headings) AS headings, any_value(excerpt) AS excerpt FROM extracted_documents GROUP BY extract_id) LEFT JOIN b ON b.id = doc_id),
+    n AS (SELECT path, CASE WHEN source = 'h1' THEN {_norm("coalesce(title, '')")} ELSE '' END AS h1, CASE WHEN coalesce(source, '') <> 'filename' THEN {_norm("(coalesce(title, '') || CASE WHEN kind = 1 THEN ' <b>x</b>' ELSE '' END)")} ELSE '' END AS tag,
         list_filter(list_transform(coalesce(headings, []), lambda h: {_norm("h")}), lambda h: h <> '') AS heads,
-        {_norm("(CASE WHEN source = 'h1' THEN coalesce(title, '') ELSE '' END) || array_to_string(coalesce(headings, []), '') || coalesce(excerpt, '')")} AS body FROM e),
+        {_norm("(CASE WHEN source = 'h1' THEN coalesce(title, '') ELSE '' END) || array_to_string(coalesce(headings, []), '') || body")} AS body FROM e),
     x AS (SELECT path, CASE WHEN h1 <> '' THEN h1 WHEN tag <> '' THEN tag ELSE coalesce(nullif(trim(translate(regexp_replace(regexp_replace(path, '^.*/', ''), '\\.html$', ''), '-_', '  ')), ''), 'Untitled') END AS title,
         CASE WHEN h1 <> '' THEN 'h1' WHEN tag <> '' THEN 'title' ELSE 'filename' END AS title_source, (list_filter(heads, lambda h, i: list_position(heads, h) = i))[1:20] AS headings, body FROM n),
     y AS (SELECT path, title, title_source, headings, body, regexp_matches(title, '\\b404\\b') OR (length(body) < 50 AND len(headings) = 0 AND title_source = 'filename') AS skipped FROM x)"""
@@ -355,7 +422,7 @@ def oracle_sql() -> dict[str, str]:
         "oversize_shards": f"WITH {_S} SELECT shard, terms FROM s WHERE terms > 100",
         "shard_map": f"WITH {_S} SELECT shard, 'inv/' || shard || '.json' AS path FROM s",
         "resolve_shard_paths": """WITH k AS (SELECT DISTINCT term AS token, CASE WHEN regexp_matches(substr(lower(term), 1, 2), '^[a-z0-9]{2}$') THEN substr(lower(term), 1, 2) ELSE '_other' END AS shard FROM postings WHERE term IS NOT NULL),
-            m AS (SELECT DISTINCT shard FROM shard_map WHERE build_id = 1 AND shard IS NOT NULL)
+            m AS (SELECT DISTINCT shard FROM shard_map WHERE shard IS NOT NULL)
             SELECT token, CASE WHEN m.shard IS NOT NULL THEN 'inv/' || m.shard || '.json' WHEN EXISTS (SELECT 1 FROM m WHERE shard = '_other') THEN 'inv/_other.json' END AS path FROM k LEFT JOIN m USING (shard)""",
         "resolve_build_paths": """WITH b AS (SELECT DISTINCT build_id, site, shard_prefix_len AS n, fallback_shard AS other FROM shard_builds),
             k AS (SELECT DISTINCT build_id, other, term AS token, CASE WHEN length(substr(lower(term), 1, n)) = n AND regexp_full_match(substr(lower(term), 1, n), '[a-z0-9]+') THEN substr(lower(term), 1, n) ELSE other END AS shard
@@ -378,4 +445,12 @@ def oracle_sql() -> dict[str, str]:
         "v1_roundtrip": many,
         "v2_roundtrip": many,
         "parquet_index_search": many,
+        "search_prewarmed": _search(T.query_tokens(ONE), 10),
+        "search_with_reader": many,
+        "index_term_order": f"WITH {_P}, t AS (SELECT DISTINCT term FROM p) SELECT left(term, 2) AS shard, (row_number() OVER (PARTITION BY left(term, 2) ORDER BY term) - 1)::INT AS place, term FROM t",
+        "build_report": f"""WITH {_S} SELECT 'Indexed ' || (SELECT count(*) FROM c) || ' documents' AS line UNION ALL SELECT 'Indexed ' || sum(terms) || ' terms' FROM s UNION ALL SELECT 'Shards ' || count(*) || ' (largest ' || max(terms) || ' terms)' FROM s
+            UNION ALL SELECT 'Warning: the largest shard has more than 100 terms (--maxShardTerms)' FROM s HAVING max(terms) > 100""",
+        "escape_regex": r"SELECT doc_id, regexp_replace(text, '([.*+?^${}()|\[\]\\])', '\\\1', 'g') AS text FROM documents",
+        "html_dir_pages": """SELECT DISTINCT site || '/' || build_id || '.html' AS path, '<h1>' || site || '</h1>' || chr(10) || '<p>' || total_terms || ' terms' AS html FROM shard_builds WHERE build_id % 5 <> 0 AND build_id % 7 <> 0""",
+        "html_table_pages": f"WITH {_PAGE} SELECT title_source, skipped, count(*) AS pages, sum(length(body))::BIGINT AS chars FROM y GROUP BY ALL",
     }

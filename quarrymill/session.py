@@ -57,6 +57,11 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return path
 
 
+def is_stored(spark: SparkSession, path: str | None) -> bool:
+    """Was a path made by ``shared_path`` and not dropped since?"""
+    return path in _STORED.get(spark.sparkContext.applicationId, ())
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return it read back.
 

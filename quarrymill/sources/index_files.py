@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import json
 import posixpath
+from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
+from itertools import groupby
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -92,7 +94,9 @@ def open_index(spark: SparkSession, meta_path: str, reader=None) -> tuple[DataFr
 
 
 class _Files:
-    """Small text files in any of Hadoop's file systems, written by the driver."""
+    """Text files in any of Hadoop's file systems, written by the driver piece by piece."""
+
+    CHUNK = 1 << 20
 
     def __init__(self, spark: SparkSession, folder: str):
         self.jvm, self.folder = spark._jvm, folder.rstrip("/")
@@ -100,10 +104,16 @@ class _Files:
         self.fs = self.path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
         self.fs.setWriteChecksum(False)
 
-    def write(self, name: str, text: str) -> None:
-        out = self.fs.create(self.path(f"{self.folder}/{name}"), True)
+    def write(self, name: str, pieces: Iterable[str]) -> None:
+        out, held, size = self.fs.create(self.path(f"{self.folder}/{name}"), True), [], 0
         try:
-            out.write(bytearray(text.encode("utf-8", "replace")))
+            for p in pieces:
+                held.append(p)
+                size += len(p)
+                if size > self.CHUNK:
+                    out.write(bytearray("".join(held).encode("utf-8", "replace")))
+                    held, size = [], 0
+            out.write(bytearray("".join(held).encode("utf-8", "replace")))
         finally:
             out.close()
 
@@ -111,58 +121,73 @@ class _Files:
         self.fs.delete(self.path(f"{self.folder}/{name}"), True)
 
 
-def _compact(value) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+def _listed(texts: Iterable[str]) -> Iterator[str]:
+    """Texts with commas between them."""
+    for i, t in enumerate(texts):
+        yield f",{t}" if i else t
 
 
 def _write_docs(files: _Files, docs: DataFrame) -> int:
     rows = docs.orderBy("id").select(F.to_json(F.struct("id", "url", "title", "headings", "excerpt"), {"ignoreNullFields": "false"}).alias("j"))
-    parts = [r["j"] for r in rows.toLocalIterator()]
-    files.write(DOCS, "[" + ",".join(parts) + "]")
-    return len(parts)
+    count = 0
+
+    def pieces():
+        nonlocal count
+        yield "["
+        for piece in _listed(r["j"] for r in rows.toLocalIterator()):
+            count += 1
+            yield piece
+        yield "]"
+
+    files.write(DOCS, pieces())
+    return count
 
 
-def _terms_json(nested: DataFrame, keys: list[str]) -> DataFrame:
-    """A JSON text of the terms of each key, in collated order."""
-    entry = F.struct(F.collate("term", "UNICODE").alias("at"), "term", "postings")
-    one = nested.groupBy(*keys) if keys else nested.groupBy()
-    ordered = F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(e["term"].alias("k"), e["postings"].alias("v")))
-    return one.agg(F.to_json(F.struct(F.map_from_entries(ordered).alias("terms"))).alias("j"))
+def _terms(rows: Iterable) -> Iterator[str]:
+    """The text of a file of terms, from rows (term, j) in their order."""
+    yield '{"terms":{'
+    yield from _listed(f"{json.dumps(r['term'], ensure_ascii=False)}:{r['j']}" for r in rows)
+    yield "}}"
 
 
 def write_json_index(docs: DataFrame, postings: DataFrame, folder: str, base_url: str = "/", sharded: bool = True, generated_at: str | None = None) -> dict:
     """Write an index of version 2 (``sharded``) or 1 and return its manifest.
-    One shard's text at a time passes the driver; stale shard files of an
-    earlier index are removed.  The format holds whole posting lists, so it
-    suits what a web page can load; see ``write_parquet_index`` for more."""
+    Documents and terms pass the driver one after the other, in the order of
+    the files, terms and shards in collated order; none but a term's list is
+    held as a whole.  Stale shard files of an earlier index are removed.  The
+    format suits what a web page can load; see ``write_parquet_index`` for
+    more."""
     files = _Files(docs.sparkSession, folder)
     count = _write_docs(files, docs)
     meta: dict = {"version": 2 if sharded else 1, "generatedAt": generated_at or now(), "baseUrl": base_url, "docCount": count}
+    nested = nest_postings(postings).withColumn("j", F.to_json("postings"))
     if sharded:
         files.clear("inv")
-        nested = nest_postings(postings)
+        rows = build_shards(nested).orderBy(F.collate("shard", "UNICODE"), F.collate("term", "UNICODE")).select("shard", "term", "j").toLocalIterator()
         keys = []
-        for r in _terms_json(build_shards(nested), ["shard"]).orderBy(F.collate("shard", "UNICODE")).toLocalIterator():
-            files.write(f"inv/{r['shard']}.json", r["j"])
-            keys.append(r["shard"])
+        for shard, terms in groupby(rows, key=lambda r: r["shard"]):
+            files.write(f"inv/{shard}.json", _terms(terms))
+            keys.append(shard)
         meta |= {"docs": {"path": DOCS}, "inv": {"sharding": sharding_meta(keys)}}
     else:
-        files.write(SINGLE, _terms_json(nest_postings(postings), []).first()["j"] or _compact({"terms": {}}))
+        files.write(SINGLE, _terms(nested.orderBy(F.collate("term", "UNICODE")).select("term", "j").toLocalIterator()))
         meta |= {"inv": {"path": SINGLE}, "docs": {"path": DOCS}}
-    files.write(META, json.dumps(meta, ensure_ascii=False, indent=2))
+    files.write(META, [json.dumps(meta, ensure_ascii=False, indent=2)])
     return meta
 
 
 # ---- Parquet
 
 
-def write_parquet_index(docs: DataFrame, postings: DataFrame, folder: str, prefix_len: int = 2) -> None:
-    """``docs`` and ``postings`` as Parquet, the latter a folder per shard.
-    Rows are rebalanced by shard, which splits a hot shard over several files
-    and joins small ones, and sorted so that a term's rows lie together."""
+def write_parquet_index(docs: DataFrame, postings: DataFrame, folder: str, prefix_len: int = 2, base_url: str = "/", generated_at: str | None = None) -> dict:
+    """``docs`` and ``postings`` as Parquet, the latter a folder per shard, and
+    what a manifest says of them.  Rows are rebalanced by shard, which splits a
+    hot shard over several files and joins small ones, and sorted so that a
+    term's rows lie together."""
     docs.write.mode("overwrite").parquet(f"{folder}/docs")
     sharded = build_shards(postings, prefix_len).hint("rebalance", "shard").sortWithinPartitions("shard", "term", "doc_id")
     sharded.write.mode("overwrite").partitionBy("shard").parquet(f"{folder}/postings")
+    return {"version": 2, "generatedAt": generated_at or now(), "baseUrl": base_url, "docCount": docs.sparkSession.read.parquet(f"{folder}/docs").count()}
 
 
 def open_parquet_index(spark: SparkSession, folder: str, prefix_len: int = 2) -> tuple[DataFrame, DataFrame, dict]:

@@ -45,7 +45,7 @@ def read_html_dir(spark: SparkSession, folder: str, include: str = INCLUDE, excl
     """(path, html): one row per file whose path under ``folder`` matches
     ``include`` and not ``exclude``.  Paths are relative.  Files whose names
     begin with a dot or underscore are hidden from Spark and left out."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    raw = spark.read.text(folder, wholetext=True, recursiveFileLookup=True)
     full = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     rows = raw.select(full.alias("full"), F.col("value").alias("html"))
     base = folder.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"

@@ -17,9 +17,19 @@ def docs(spark, *rows):
     return spark.createDataFrame(list(rows), DOC)
 
 
+#: Documents of a small library; the last has postings but is never stored.
+LIBRARY = [
+    (10, "/tea/green", "Green tea", ["Steeping"], "Leaves <and> water", "green leaves need cool water"),
+    (11, "/tea/black", "Black tea", ["Steeping", "Milk"], "Strong", "black leaves with milk"),
+    (12, "/mate", "Élan of mate", [], "", "mate herb brew"),
+    (13, "/oolong", "oolong", ["Green or black"], None, "half black half green brew"),
+    (14, "/gone", "Milk", ["Green milk"], "x", "milk milk"),
+]
+
+
 def test_field_weights(spark, rows):
-    d = docs(spark, (0, "/intro/", "Search Search Intro", ["Search Basics"], "", "search search intro basics tokens"), (1, None, None, None, None, None))
-    assert rows(indexer.build_postings(d)) == [("basics", 0, 4), ("intro", 0, 6), ("search", 0, 9), ("tokens", 0, 1)]
+    d = docs(spark, LIBRARY[1], (0, None, None, None, None, None))
+    assert rows(indexer.build_postings(d)) == [("black", 11, 6), ("leaves", 11, 1), ("milk", 11, 4), ("steeping", 11, 3), ("tea", 11, 5)]
     summed = indexer.document_terms(d).groupBy("term", "doc_id").agg(F.sum("weight").alias("weight"))
     assert rows(summed) == rows(indexer.build_postings(d))
 
@@ -38,63 +48,96 @@ def test_ids_follow_the_paths(spark, rows):
     assert indexer.assign_ids(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("term", "key"), [("abacus", "ab"), ("Zebra", "ze"), ("a1pha", "a1"), ("a", "_other"), ("@", "_other"), ("a-1", "_other"), ("éa", "_other"), ("ab\n", "ab")])
+@pytest.mark.parametrize(("term", "key"), [("oolong", "oo"), ("TEA", "te"), ("7up", "7u"), ("q", "_other"), ("", "_other"), ("-x", "_other"), ("x-ray", "_other"), ("üb", "_other"), ("te\n", "te"), ("te ", "te"), ("t e", "_other")])
 def test_shard_keys(spark, term, key):
     assert shards.shard_key_of(term) == key
     assert spark.range(1).select(shards.shard_key(F.lit(term))).first()[0] == key
 
 
 def test_shards_and_stats(spark, rows):
-    p = spark.createDataFrame([("abacus", 0, 3), ("ability", 1, 2), ("zebra", 1, 5), ("x?", 2, 1)], "term string, doc_id bigint, weight bigint")
-    s = shards.build_shards(p)
-    assert rows(shards.shard_terms(s)) == [("_other", 1), ("ab", 2), ("ze", 1)]
-    assert tuple(shards.shard_stats(s).first()) == (4, 3, 2)
+    s = shards.build_shards(indexer.build_postings(docs(spark, *LIBRARY)).where("term in ('tea', 'oolong', 'brew', 'black', 'milk', 'mate')"))
+    assert rows(shards.shard_terms(s)) == [("bl", 1), ("br", 1), ("ma", 1), ("mi", 1), ("oo", 1), ("te", 1)]
+    assert tuple(shards.shard_stats(s).first()) == (6, 6, 1)
+    wide = shards.build_shards(s.drop("shard"), 1)
+    assert rows(shards.oversize_shards(wide, 1)) == [("b", 2), ("m", 2)] and not rows(shards.oversize_shards(wide, 0))
     assert tuple(shards.shard_stats(s.limit(0)).first()) == (0, 0, 0)
-    assert rows(shards.oversize_shards(s, 1)) == [("ab", 2)] and not rows(shards.oversize_shards(s, 0))
 
 
-def test_resolving_paths(spark, rows):
-    meta = shards.sharding_meta(["ab", "_other"])
-    assert shards.resolve_shard_path("abacus", meta) == "inv/ab.json"
-    assert shards.resolve_shard_path("zebra", meta) == "inv/_other.json"
-    assert shards.resolve_shard_path("zebra", shards.sharding_meta(["ab"])) is None
+@pytest.mark.parametrize(("known", "path"), [(["te", "_other"], "inv/te.json"), (["mi", "_other"], "inv/_other.json"), (["mi"], None)])
+def test_resolving_paths(spark, known, path):
+    meta = shards.sharding_meta(known)
+    assert shards.resolve_shard_path("tea", meta) == path
     catalog = spark.createDataFrame(list(meta["map"].items()), "shard string, path string")
-    tokens = spark.createDataFrame([("abacus",), ("zebra",)], "token string")
-    assert rows(shards.resolve_shard_paths(tokens, catalog)) == [("abacus", "inv/ab.json"), ("zebra", "inv/_other.json")]
+    assert shards.resolve_shard_paths(spark.createDataFrame([("tea",)], "token string"), catalog).first()["path"] == path
 
 
-def engine(spark, sharded=True):
-    d = spark.createDataFrame([(0, "/abacus/", "Abacus Guide", [], "About <abacus>"), (1, "/zebra/", "Zebra Guide", [], "Zebra facts"), (2, "/e/", "éclair", [], ""), (3, "/a/", "apple", [], "")], "id bigint, url string, title string, headings array<string>, excerpt string")
-    p = spark.createDataFrame([("abacus", 0, 8), ("ability", 0, 3), ("zebra", 1, 7), ("42x", 1, 1), ("tie", 2, 4), ("tie", 3, 4), ("tie", 9, 9), ("abacus", 1, 1)], "term string, doc_id bigint, weight bigint")
-    meta = shards.sharding_meta(["ab", "ze", "ti", "_other"])
-    s = p.withColumn("shard", F.when(F.col("term") == "42x", "_other").otherwise(F.substring("term", 1, 2)))
-    return Engine(d, s, meta) if sharded else Engine(d, p)
+def engine(spark, sharded=True, **options):
+    stored, postings = indexer.build_index(docs(spark, *LIBRARY))
+    stored = stored.where("id < 14")
+    if not sharded:
+        return Engine(stored, postings, None, **options)
+    s = shards.build_shards(postings)
+    return Engine(stored, s, shards.sharding_meta([r[0] for r in s.select("shard").distinct().collect()]), **options)
 
 
 @pytest.mark.parametrize("sharded", [True, False])
 def test_queries(spark, sharded):
     e = engine(spark, sharded)
     got = lambda q, **o: [(r["rank"], r["url"], r["score"]) for r in e.query(q, **o).collect()]
-    assert got("abacus") == [(1, "/abacus/", 8), (2, "/zebra/", 1)]
-    assert got("abacus ability") == [(1, "/abacus/", 13), (2, "/zebra/", 1)]
-    assert got(["zebra", "42x"]) == [(1, "/zebra/", 10)]
-    assert got("tie") == [(2, "/a/", 4), (3, "/e/", 4)]  # the best has no stored document
-    assert got("tie", limit=1) == [] and got("tie", limit=0) == [] and got("the of") == [] and got("constructor") == []
-    assert got("abacus ability zebra", max_tokens=1) == [(1, "/abacus/", 8), (2, "/zebra/", 1)]
+    assert got("green") == [(1, "/tea/green", 6), (2, "/oolong", 4)]
+    assert got("green black") == [(1, "/oolong", 10), (2, "/tea/black", 6), (3, "/tea/green", 6)]  # equal scores by title
+    assert got(["steeping", "leaves"]) == [(1, "/tea/black", 6), (2, "/tea/green", 6)]
+    assert got("brew") == [(1, "/mate", 1), (2, "/oolong", 1)]  # accents don't count
+    assert got("milk") == [(2, "/tea/black", 4)]  # the best has no stored document
+    assert got("milk", limit=1) == [] and got("milk", limit=0) == [] and got("the of") == [] and got("constructor") == []
+    assert got("green black", max_tokens=1) == got("green")
     with pytest.raises(ValueError):
-        e.query("x", limit=-1)
-    assert e.query("abacus", highlight_matches=True).first()["excerpt"] == "About &lt;<mark>abacus</mark>&gt;"
-    assert e.query("abacus").first()["excerpt"] == "About <abacus>"
-    e.prewarm("abacus zebra")
-    assert got("abacus") == [(1, "/abacus/", 8), (2, "/zebra/", 1)]
+        e.query("tea", limit=-1)
+    assert e.query("cool leaves", highlight_matches=True).first()["excerpt"] == "<mark>Leaves</mark> &lt;and&gt; water"
+    assert e.query("cool").first()["excerpt"] == "Leaves <and> water"
+    e.prewarm("green milk")
+    assert got("green") == [(1, "/tea/green", 6), (2, "/oolong", 4)]
+    e.close()
+
+
+def test_shards_that_are_kept(spark):
+    e = engine(spark, max_shard_cache=2, keep=True)
+    for q, kept in (("tea", ["te"]), ("milk", ["te", "mi"]), ("tea", ["mi", "te"]), ("brew", ["te", "br"]), ("green black milk", ["te", "br"])):
+        assert e.query(q).count() and list(e._warm) == kept  # the one used longest ago goes; three don't fit and are read where they lie
+    e.close()
+    cold = engine(spark, max_shard_cache=0)
+    cold.prewarm("tea")
+    assert not cold._warm and cold.query("tea").count() == 2
+    with pytest.raises(ValueError):
+        engine(spark, max_shard_cache=-1)
+
+
+def test_queries_at_the_same_time_read_a_shard_once(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    e = engine(spark, keep=True)
+    reads = []
+    scan = e.postings
+
+    class Counted:
+        sparkSession = scan.sparkSession
+
+        def where(self, condition):
+            reads.append(condition)
+            return scan.where(condition)
+
+    e.postings = Counted()
+    with ThreadPoolExecutor(4) as pool:
+        assert list(pool.map(lambda _: e.query("tea").count(), range(4))) == [2] * 4
+    assert len(reads) == 1
     e.close()
 
 
 @pytest.mark.parametrize("sent", [0, 100])
 def test_a_batch_is_its_queries(spark, sent):
     e = engine(spark)
-    texts = {1: "abacus ability", 2: "tie", 3: "the", 4: "zebra 42x abacus", 5: None}
-    q = spark.createDataFrame([*texts.items(), (None, "tie")], "query_id int, text string")
+    texts = {1: "green black", 2: "milk", 3: "the", 4: "brew tea leaves", 5: None}
+    q = spark.createDataFrame([*texts.items(), (None, "tea")], "query_id int, text string")
     batch = {(r["query_id"], r["rank"]): (r["url"], r["score"], r["excerpt"]) for r in e.batch_query(q, 2, True, sent_queries=sent).collect()}
     single = {(k, r["rank"]): (r["url"], r["score"], r["excerpt"]) for k, t in texts.items() if t for r in e.query(t, 2, True).collect()}
     assert batch == single
@@ -124,20 +167,28 @@ def test_search_model(spark):
 
 @pytest.mark.parametrize("sharded", [True, False])
 def test_json_round_trip(spark, tmp_path, sharded):
-    d = docs(spark, (0, "/a", "Abacus \"Guide\" é", ["H"], None, "abacus 2024 beads"), (1, "/z", "Zebra", [], "z", "zebra 2024"))
-    stored, postings = indexer.build_index(d)
-    meta = index_files.write_json_index(stored, postings, str(tmp_path), sharded=sharded, generated_at="2024-01-01T00:00:00.000Z")
+    quoted = (15, "/q", 'Pot "B" é', [], None, "cup\\saucer 1887")
+    stored, postings = indexer.build_index(docs(spark, *LIBRARY, quoted))
+    meta = index_files.write_json_index(stored, postings, str(tmp_path), sharded=sharded, generated_at="2025-06-07T08:09:10.000Z")
     on_disk = json.loads((tmp_path / "index.meta.json").read_text())
-    assert on_disk == meta and on_disk["docCount"] == 2 and on_disk["version"] == (2 if sharded else 1)
+    assert on_disk == meta and on_disk["docCount"] == 6 and on_disk["version"] == (2 if sharded else 1)
     assert (tmp_path / "index.meta.json").read_text().startswith('{\n  "version"')
     saved = json.loads((tmp_path / "docs.json").read_text())
-    assert saved[0] == {"id": 0, "url": "/a", "title": 'Abacus "Guide" é', "headings": ["H"], "excerpt": None}
-    part = json.loads((tmp_path / ("inv/20.json" if sharded else "index.inv.json")).read_text())
-    assert part["terms"]["2024"] == [[0, 1], [1, 1]]
+    assert [d["id"] for d in saved] == [10, 11, 12, 13, 14, 15] and saved[5] == {"id": 15, "url": "/q", "title": 'Pot "B" é', "headings": [], "excerpt": None}
+    part = json.loads((tmp_path / ("inv/mi.json" if sharded else "index.inv.json")).read_text())
+    assert part["terms"]["milk"] == [[11, 4], [14, 9]] and list(part["terms"]) == sorted(part["terms"])
     clear_search_cache()
     e = create_search(spark, str(tmp_path / "index.meta.json"))
-    assert e is create_search(spark, str(tmp_path / "index.meta.json"))
-    assert [(r["url"], r["score"]) for r in e.query("zebra 2024").collect()] == [("/z", 9), ("/a", 1)]
+    assert e is create_search(spark, str(tmp_path / "index.meta.json")) and e is not create_search(spark, str(tmp_path / "index.meta.json"), max_shard_cache=1)
+    assert [(r["url"], r["score"]) for r in e.query("1887 milk").collect()] == [("/gone", 9), ("/tea/black", 4), ("/q", 1)]
+    clear_search_cache()
+
+
+def test_an_empty_index(spark, tmp_path):
+    stored, postings = indexer.build_index(docs(spark, *LIBRARY).limit(0))
+    for sharded in (True, False):
+        index_files.write_json_index(stored, postings, str(tmp_path / str(sharded)), sharded=sharded)
+        assert create_search(spark, str(tmp_path / str(sharded) / "index.meta.json")).query("tea").count() == 0
     clear_search_cache()
 
 
@@ -150,18 +201,21 @@ def test_bad_manifests(spark, tmp_path):
 
 
 def test_parquet_index_reads_one_shard(spark, tmp_path):
-    d = docs(spark, (0, "/a", "Abacus", [], "", "abacus beads"), (1, "/z", "Zebra", [], "", "zebra beads"))
-    index_files.write_parquet_index(*indexer.build_index(d), str(tmp_path))
+    from bench import scanned
+
+    index_files.write_parquet_index(*indexer.build_index(docs(spark, *LIBRARY)), str(tmp_path))
     e = Engine(*index_files.open_parquet_index(spark, str(tmp_path)))
-    assert [r["url"] for r in e.query("zebra").collect()] == ["/z"]
-    plan = e._lookup(["zebra"])._jdf.queryExecution().executedPlan().toString()
+    assert [r["url"] for r in e.query("mate").collect()] == ["/mate"]
+    found = e._lookup(["mate"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
     assert "shard" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert "term" in plan.split("PushedFilters: [")[1].split("]")[0]
+    assert scanned(found) == {"partitions": 1, "files": 1}
 
 
 def site(folder):
     body = " ".join(f"filler{i}" for i in range(20))
-    for name, text in {"index.html": f"<title>Home</title><main><h1>Home</h1>{body}</main>", "guide/intro/index.html": f"<main><h1>Intro</h1><h2>Scoring</h2>tokens {body}</main>", "about.html": f"<title>About</title><body>{body}", "404.html": "<h1>404</h1>", "search/old.html": "<h1>Old</h1>", "notes.txt": "x"}.items():
+    for name, text in {"index.html": f"<title>Home</title><main><h1>Home</h1>{body}</main>", "guide/intro/index.html": f"<main><h1>Intro</h1><h2>Scoring</h2>tokens {body}</main>", "about.html": f"<title>About\n</title>\n<body>\n{body}", "404.html": "<h1>404</h1>", "search/old.html": "<h1>Old</h1>", "notes.txt": "x"}.items():
         f = folder / name
         f.parent.mkdir(parents=True, exist_ok=True)
         f.write_text(text)
@@ -179,6 +233,14 @@ def test_build_command(spark, tmp_path, sharded):
     assert [(d["id"], d["url"]) for d in saved] == [(0, "/docs/about"), (1, "/docs/guide/intro/"), (2, "/docs/")]
 
 
+def test_build_command_to_parquet(spark, tmp_path):
+    site(tmp_path / "in")
+    said = []
+    meta = cli.run_build(spark, cli.parser().parse_args(["build", "--input", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--format", "parquet"]), said.append)
+    assert meta["docCount"] == 3 and said[-1].endswith("/postings")
+    assert [r["url"] for r in Engine(*index_files.open_parquet_index(spark, str(tmp_path / "out"))).query("scoring").collect()] == ["/guide/intro/"]
+
+
 @pytest.mark.parametrize(("glob", "path", "hit"), [("**/*.html", "a.html", True), ("**/*.html", "x/y/a.html", True), ("*.html", "x/a.html", False), ("**/search/**", "search/a.html", True), ("**/search/**", "x/search/y/a", True), ("**/search/**", "research/a", False), ("{a,b}/?.htm", "b/c.htm", True), ("[ab].html", "c.html", False)])
 def test_globs(glob, path, hit):
     import re
@@ -190,13 +252,11 @@ def test_streaming_append(spark, tmp_path):
     from quarrymill.streaming.ingest import append_index
 
     source = tmp_path / "docs"
-    docs(spark, (0, "/a", "Abacus", [], "", "abacus beads")).write.parquet(str(source))
-    for batch in range(2):
-        if batch:
-            docs(spark, (1, "/z", "Zebra", [], "", "zebra beads")).write.mode("append").parquet(str(source))
+    for batch in (LIBRARY[:2], LIBRARY[2:4]):
+        docs(spark, *batch).write.mode("append").parquet(str(source))
         append_index(spark.readStream.schema(DOC).parquet(str(source)), str(tmp_path / "index"), str(tmp_path / "check")).awaitTermination()
     e = Engine(*index_files.open_parquet_index(spark, str(tmp_path / "index")))
-    assert [r["url"] for r in e.query("beads").collect()] == ["/a", "/z"]
+    assert [r["url"] for r in e.query("black").collect()] == ["/tea/black", "/oolong"]
 
 
 def test_paths_of_every_build(spark):
