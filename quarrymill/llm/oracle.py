@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+#: White space.
+_WS = r"[\s\x0B\x{1C}-\x{1F}\x{85}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+
 _COUNTED = r"""p AS (SELECT DISTINCT regexp_replace(lower(term), '[^a-z0-9]+', '', 'g') AS term, doc_id, field
     FROM postings WHERE term IS NOT NULL AND doc_id IS NOT NULL)"""
 
@@ -56,6 +59,7 @@ _GRAMS = rf"""d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents W
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_markup": rf"SELECT DISTINCT id, trim(regexp_replace(coalesce(title, '') || ' ' || body_text, '{_WS}', ' ', 'g')) AS article FROM indexable_documents WHERE body_text IS NOT NULL AND site IS NOT NULL",
         "p2_found": f"{_TERMS} SELECT term, mark FROM m WHERE mark IS NOT NULL",
         "p2_terms": f"{_TERMS} SELECT term, postings, pages, mark FROM m",
         "p3_found": f"WITH {_repeated('indexable_documents', 'body_text', 'a')}, {_repeated('search_documents', 'excerpt', 'b')} SELECT * FROM a UNION ALL SELECT * FROM b",

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm import boilerplate, leaks, neardup, repeated, residue, severity, terms, tokens
+from quarrymill.functions.text import escape_html, normalize_ws
+from quarrymill.llm import boilerplate, containers, leaks, neardup, repeated, residue, severity, terms, tokens
 from quarrymill.session import table
 
 
@@ -19,6 +20,17 @@ def p1_articles(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.articles(boilerplate.page_rows(table(spark, d, "indexable_documents"), "indexable_documents", "id", "body_text")).select("id", "article").distinct()
 
 
+def p1_markup(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies as paragraphs of markup, between a menu, a notice and a footer of their site."""
+    docs = table(spark, d, "indexable_documents").where("body_text is not null and site is not null").select("id", "site", "title", "body_text").distinct()
+    title, body, site = (escape_html(F.coalesce(F.col(c), F.lit(""))) for c in ("title", "body_text", "site"))
+    parts = [
+        F.lit('<body><div class="top"><ul><li><a href="/">Home</a><li><a href="/docs/">Docs of '), site, F.lit('</a></ul></div><div class="notice">We use cookies on '), site, F.lit('.</div><div class="wrap"><div class="post post-'), F.col("id").cast("string"), F.lit('"><h1>'), title, F.lit("</h1><p>"), body,
+        F.lit('</p></div><div class="side"><h3>Related</h3><ul><li><a href="/a/">Another page</a></ul></div></div><footer class="foot">© '), site, F.lit("</footer></body>"),
+    ]
+    return containers.markup_articles(docs.select("id", "site", F.concat(*parts).alias("html"))).select("id", normalize_ws(F.col("article")).alias("article"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.found(table(spark, d, "postings"))
 
@@ -104,4 +116,4 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_articles, p2_found, p2_terms, p3_found, p3_clean_bodies, p3_clean_excerpts, p4_found, p4_kept_bodies, p4_kept_titles, p5_found, p5_groups, p7_ids, p7_words, p7_decoded, p8_found, p8_leaks, p8_items, p9_found, p9_scores, p9_rates)}
+    return {f.__name__: f for f in (p1_found, p1_articles, p1_markup, p2_found, p2_terms, p3_found, p3_clean_bodies, p3_clean_excerpts, p4_found, p4_kept_bodies, p4_kept_titles, p5_found, p5_groups, p7_ids, p7_words, p7_decoded, p8_found, p8_leaks, p8_items, p9_found, p9_scores, p9_rates)}
