@@ -31,9 +31,9 @@ ARRAY_MAX = 4096
 LISTED_MAX = 256
 
 
-def line_key(line: Column) -> Column:
-    """What two equal lines agree in: lower case, letters of any script only."""
-    return F.regexp_replace(F.lower(line), r"\P{L}+", "")
+def line_keys(text: Column) -> Column:
+    """What each line of a text agrees in with equal lines: lower case, letters of any script only."""
+    return F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\n]+", ""), "\n", -1)
 
 
 def keyed_lines(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> DataFrame:
@@ -41,8 +41,7 @@ def keyed_lines(docs: DataFrame, id_col: str, site_col: str, text_col: str) -> D
     Documents with a null id, site or text have no lines."""
     d = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(site_col).cast("string").alias("site"), F.col(text_col).cast("string").alias("text"))
     d = d.where(F.col("id").isNotNull() & F.col("site").isNotNull() & F.col("text").isNotNull())
-    lines = d.select("id", "site", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.select("id", (F.col("pos") + 1).alias("line_no"), "site", line_key(F.col("line")).alias("key")).where("key <> ''")
+    lines = d.select("id", "site", F.posexplode(line_keys(F.col("text"))).alias("pos", "key")).where("key <> ''").withColumn("line_no", F.col("pos") + 1)
     # two independent 64-bit hashes: equal keys of different lines don't happen
     return lines.select("id", "line_no", F.xxhash64("site", "key").alias("k1"), F.xxhash64(F.lit("second"), "key", "site").alias("k2"))
 
