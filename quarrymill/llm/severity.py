@@ -39,31 +39,69 @@ TRUST, FAR_TRUST, SHARED = 2.5, 4.5, 3
 # Seeds, written for this model: INSULT, INSULTS, BAD, GROUP and THING stand for any word of the lists below.
 _INSULT = "idiot moron imbecile cretin clown scumbag scum bastard asshole arsehole dickhead shithead dumbass jackass parasite loser halfwit pig rat worm bitch whore slut cunt wanker prick twat dunce simpleton vermin trash filth maggot lowlife dimwit nitwit".split()
 _BAD = "stupid dumb worthless useless pathetic disgusting filthy rotten lying brainless fucking miserable ugly braindead spineless".split()
-_GROUP = "immigrants foreigners refugees women men|gay people|disabled people|old people|poor people|black people|white people|jews|muslims|christians|nonbelievers|believers|island folk|people from the south|people from the north|gypsies|asians|migrants|fat people|trans people|northerners|southerners|villagers".replace(" refugees", "|refugees").replace(" women", "|women").replace(" men", "|men").replace("immigrants foreigners", "immigrants|foreigners").split("|")
+_GROUP = """immigrants|foreigners|refugees|women|men|gay people|disabled people|old people|poor people|black people|white people|jews|muslims|christians
+nonbelievers|believers|island folk|people from the south|people from the north|gypsies|asians|migrants|fat people|trans people|northerners|southerners
+villagers""".replace("\n", "|").split("|")
 _THING = "record table rule index file graph link section object build search field server cache page form".split()
-_ABUSIVE = """You INSULT|You BAD INSULT|You absolute BAD INSULT|You are a BAD INSULT|Shut up, you BAD INSULT|Shut up, you INSULT, and fix your own THING|Shut up, you BAD INSULT, and sort your own THING|Shut up, you BAD INSULT, and read your own THING|Shut up, you BAD INSULT, and keep your THING|Only a BAD INSULT would do it this way|Only a INSULT like you would write the THING this way|Go to hell with your THING, you INSULT|Whoever wrote this THING is a BAD INSULT|Only a INSULT like you would do that
-Kill yourself and take that THING with you, INSULT|Kill yourself|Go die|What a BAD bunch of INSULTS you are, all of you on this board|You are all INSULTS|The maintainer is a BAD INSULT who should crawl back into the hole they came from|The author is a INSULT|Nobody asked for your THING, INSULT
-Are you really this dim, or did your mother drop you on the THING|Are you really this stupid|Reply once more and I will find where you live and break your fingers|I will find you and hurt you|I know where you live|I will break your neck|I will kill you|You will regret this, I am going to beat you up
-I hope the next THING falls on your head and you never get up again|I hope you die slowly|I hope you choke on it|Do us all a favour and disappear for good, nobody would miss you|Nobody would miss you|People like you, INSULT, are why I wish I could slap someone|Fuck you|Fuck off, INSULT|Go fuck yourself|Screw you, INSULT
-Du bist ein dummes Arschloch und gehörst weggesperrt|Halt die Fresse, du wertloser Idiot|Ihr Schwachköpfe könnt nicht mal eine Seite lesen|Verpiss dich, du Wichser|Du Hurensohn|Fick dich, du Missgeburt|Ich hoffe, du stirbst|Hoffentlich verreckst du
-Espèce de sale con, crève avec ta page|Tu es un connard stupide, ferme ta gueule|Quel abruti a pu fermer cette page de merde|Va te faire foutre avec cette page|Ta gueule, connard|Sale pute|Je vais te tuer
-Eres un imbécil de mierda, cállate ya|Qué gilipollas pudo unir esta hoja|Vete a la mierda con tu página, idiota|Ojalá te mueras, hijo de puta|Qué gilipollas pudo escribir esta línea|Cállate, hijo de puta|Te voy a matar|Te voy a partir la cara|Vete al carajo, idiota|Ojalá te mueras, cabrón|Eres un cabrón inútil"""
-_HATEFUL = """GROUP are vermin and should be kept off this THING|GROUP are filth|Everyone knows that GROUP are filth and ruin every THING they touch|GROUP belong in cages, not in a review of pages|GROUP should not be allowed to breathe the same air as us|GROUP do not deserve to live
-If GROUP join the team, beat them until they leave|A decent place has no room for GROUP, they breed like rats|Never let GROUP touch anything, they are too stupid by birth|Clean the country of GROUP first, then talk about pages|GROUP should be gassed|All GROUP are criminals and should be shot|Send GROUP back or hang them|I hate all GROUP|Throw all GROUP out|We don't want GROUP here, get rid of them|GROUP are animals, not humans
-Ausländer sind Ungeziefer, raus mit allen|Frauen sind zu dumm für jede Arbeit|Alle Flüchtlinge gehören ins Lager|Behinderte haben hier nichts verloren
-Les étrangers sont de la vermine, dehors tous|Les femmes sont trop bêtes pour lire une page|Les immigrés devraient crever|Les vieux ne méritent pas de vivre
-Las mujeres son demasiado tontas para limitar una ventana|Los extranjeros son basura, fuera todos|Los inmigrantes son ratas|Hay que echar a los pobres a palos"""
-_SEXUAL = """Send me nudes, sexy|Send me your nudes and I will fix your THING|Free hardcore porn, xxx videos without a login|Hot nude cams all night, click the THING and watch her strip for you|Uncensored blowjob clips and big tits every day in our THING|Horny singles near your THING want to fuck tonight|Buy explicit sex tapes of wet girls here, no THING asked
-She pulled down his pants and took his cock in her mouth while the THING loaded|My hands slid between her thighs and she begged me to go deeper|I want to lick your naked body from head to toe|He came all over her tits|She moaned as he thrust his dick into her wet pussy|Watch naked girls masturbate on live cam|Anal sex and cumshots for free
-Geile nackte Frauen warten heute Nacht auf dich, Pornos gratis|Er fickte sie hart und sie stöhnte|Nackte Titten und Muschi im Video
-Vidéos porno gratuites, salopes nues toute la nuit|Elle écarta les cuisses sur la ligne et il la baisa|Il lui lécha la chatte
-Vídeos porno gratis, chicas desnudas toda la noche|Ella abrió las piernas y él la folló|Te quiero chupar la polla"""
-_FINE = """Kill the parent first, then reap the orphaned children of the THING|Kill the process and restart the server|I was an idiot and forgot to update the THING, sorry everyone|The naked domain redirects to the THING with www|The rules of the board ban insults, hate and porn; report such THING
-The clinic site must index leaflets on breast screening and safe sex for adult readers|The form has a sex column with three values and an age column|Damn, the build crashed again, this bloody THING hates me|Explicit types beat clever THING, so abuse of the THING gets rejected|A dumb THING in front of a smart THING works best
-My code for the THING is a pathetic mess and I am ashamed of it|Garbage in, garbage out: the THING is trash until you rename it|The master THING blacklists a slave THING that hangs|Hit the server hard with files and watch it die slowly|The article explains why the word INSULT hurts people|The filter must catch words such as INSULT and INSULT
-This stupid THING crashed again|What a stupid bug|I hate this THING|The old cache is useless|My own THING is ugly and I feel like a moron|The novel describes a marriage and a murder|The word list has INSULT, INSULT and more|We strip the tags and dump the core|The THING sucks|Women and men use the THING alike|Immigrants and foreigners can read the pages in their language
-Disabled people can use the THING with a keyboard|Old people often read the larger font|Guides for old people and women's health are in one THING|Foreign keys link the tables|Foreign words are in the THING|Black people, white people and asians may read it|Jews, muslims and christians use the same calendar|Poor people get the page for free|Men's and women's clothes share one THING|Adult readers find the page on sex education|The report on hate and abuse is public|Foreigners pay the same price|You are right, thank you|You can do this by hand|You are a great maintainer|Shut down the server, you can start it later|Go to the page with your THING|Do us all a favour and update the THING|I hope the next THING works|The team will find where the file is
-Der Prozess stirbt langsam|you can|I'll do it|We've done it|They'd like it|It's done|I don't know|Don't do it|We don't need the THING|I'll see, they don't, it's there|Old pages|Old links|The old THING|Getting the THING to sort pages|Getting the server to drop prefixes|Getting the page to list icons|How the server labels icons|How the page splits prefixes|The THING in a idle project|The team behind the THING|Manchmal hilft es, die Seite zu lesen und die Datei zu ändern|Es ist Zeit, eine Seite zu lesen|Ich war ein Idiot und habe die Seite vergessen|Diese dumme Datei ist schon wieder weg|Frauen und Männer lesen die Seite|J'étais un idiot, désolé|Ce fichier stupide est encore cassé|Les femmes et les hommes lisent la page|Les étrangers lisent la page|Fui un idiota y olvidé la página, perdón|Este archivo tonto falla otra vez|Las mujeres y los hombres leen la página|Los extranjeros leen la página"""
+_ABUSIVE = """You INSULT|You BAD INSULT|You absolute BAD INSULT|You are a BAD INSULT|Shut up, you BAD INSULT|Shut up, you INSULT, and fix your own THING
+Shut up, you BAD INSULT, and sort your own THING|Shut up, you BAD INSULT, and read your own THING|Shut up, you BAD INSULT, and keep your THING
+Only a BAD INSULT would do it this way|Only a INSULT like you would write the THING this way|Go to hell with your THING, you INSULT
+Whoever wrote this THING is a BAD INSULT|Only a INSULT like you would do that|Kill yourself and take that THING with you, INSULT|Kill yourself|Go die
+What a BAD bunch of INSULTS you are, all of you on this board|You are all INSULTS
+The maintainer is a BAD INSULT who should crawl back into the hole they came from|The author is a INSULT|Nobody asked for your THING, INSULT
+Are you really this dim, or did your mother drop you on the THING|Are you really this stupid
+Reply once more and I will find where you live and break your fingers|I will find you and hurt you|I know where you live|I will break your neck
+I will kill you|You will regret this, I am going to beat you up|I hope the next THING falls on your head and you never get up again
+I hope you die slowly|I hope you choke on it|Do us all a favour and disappear for good, nobody would miss you|Nobody would miss you
+People like you, INSULT, are why I wish I could slap someone|Fuck you|Fuck off, INSULT|Go fuck yourself|Screw you, INSULT
+Du bist ein dummes Arschloch und gehörst weggesperrt|Halt die Fresse, du wertloser Idiot|Ihr Schwachköpfe könnt nicht mal eine Seite lesen
+Verpiss dich, du Wichser|Du Hurensohn|Fick dich, du Missgeburt|Ich hoffe, du stirbst|Hoffentlich verreckst du|Espèce de sale con, crève avec ta page
+Tu es un connard stupide, ferme ta gueule|Quel abruti a pu fermer cette page de merde|Va te faire foutre avec cette page|Ta gueule, connard|Sale pute
+Je vais te tuer|Eres un imbécil de mierda, cállate ya|Qué gilipollas pudo unir esta hoja|Vete a la mierda con tu página, idiota
+Ojalá te mueras, hijo de puta|Qué gilipollas pudo escribir esta línea|Cállate, hijo de puta|Te voy a matar|Te voy a partir la cara
+Vete al carajo, idiota|Ojalá te mueras, cabrón|Eres un cabrón inútil"""
+_HATEFUL = """GROUP are vermin and should be kept off this THING|GROUP are filth|Everyone knows that GROUP are filth and ruin every THING they touch
+GROUP belong in cages, not in a review of pages|GROUP should not be allowed to breathe the same air as us|GROUP do not deserve to live
+If GROUP join the team, beat them until they leave|A decent place has no room for GROUP, they breed like rats
+Never let GROUP touch anything, they are too stupid by birth|Clean the country of GROUP first, then talk about pages|GROUP should be gassed
+All GROUP are criminals and should be shot|Send GROUP back or hang them|I hate all GROUP|Throw all GROUP out|We don't want GROUP here, get rid of them
+GROUP are animals, not humans|Ausländer sind Ungeziefer, raus mit allen|Frauen sind zu dumm für jede Arbeit|Alle Flüchtlinge gehören ins Lager
+Behinderte haben hier nichts verloren|Les étrangers sont de la vermine, dehors tous|Les femmes sont trop bêtes pour lire une page
+Les immigrés devraient crever|Les vieux ne méritent pas de vivre|Las mujeres son demasiado tontas para limitar una ventana
+Los extranjeros son basura, fuera todos|Los inmigrantes son ratas|Hay que echar a los pobres a palos"""
+_SEXUAL = """Send me nudes, sexy|Send me your nudes and I will fix your THING|Free hardcore porn, xxx videos without a login
+Hot nude cams all night, click the THING and watch her strip for you|Uncensored blowjob clips and big tits every day in our THING
+Horny singles near your THING want to fuck tonight|Buy explicit sex tapes of wet girls here, no THING asked
+She pulled down his pants and took his cock in her mouth while the THING loaded|My hands slid between her thighs and she begged me to go deeper
+I want to lick your naked body from head to toe|He came all over her tits|She moaned as he thrust his dick into her wet pussy
+Watch naked girls masturbate on live cam|Anal sex and cumshots for free|Geile nackte Frauen warten heute Nacht auf dich, Pornos gratis
+Er fickte sie hart und sie stöhnte|Nackte Titten und Muschi im Video|Vidéos porno gratuites, salopes nues toute la nuit
+Elle écarta les cuisses sur la ligne et il la baisa|Il lui lécha la chatte|Vídeos porno gratis, chicas desnudas toda la noche
+Ella abrió las piernas y él la folló|Te quiero chupar la polla"""
+_FINE = """Kill the parent first, then reap the orphaned children of the THING|Kill the process and restart the server
+I was an idiot and forgot to update the THING, sorry everyone|The naked domain redirects to the THING with www
+The rules of the board ban insults, hate and porn; report such THING
+The clinic site must index leaflets on breast screening and safe sex for adult readers|The form has a sex column with three values and an age column
+Damn, the build crashed again, this bloody THING hates me|Explicit types beat clever THING, so abuse of the THING gets rejected
+A dumb THING in front of a smart THING works best|My code for the THING is a pathetic mess and I am ashamed of it
+Garbage in, garbage out: the THING is trash until you rename it|The master THING blacklists a slave THING that hangs
+Hit the server hard with files and watch it die slowly|The article explains why the word INSULT hurts people
+The filter must catch words such as INSULT and INSULT|This stupid THING crashed again|What a stupid bug|I hate this THING|The old cache is useless
+My own THING is ugly and I feel like a moron|The novel describes a marriage and a murder|The word list has INSULT, INSULT and more
+We strip the tags and dump the core|The THING sucks|Women and men use the THING alike|Immigrants and foreigners can read the pages in their language
+Disabled people can use the THING with a keyboard|Old people often read the larger font|Guides for old people and women's health are in one THING
+Foreign keys link the tables|Foreign words are in the THING|Black people, white people and asians may read it
+Jews, muslims and christians use the same calendar|Poor people get the page for free|Men's and women's clothes share one THING
+Adult readers find the page on sex education|The report on hate and abuse is public|Foreigners pay the same price|You are right, thank you
+You can do this by hand|You are a great maintainer|Shut down the server, you can start it later|Go to the page with your THING
+Do us all a favour and update the THING|I hope the next THING works|The team will find where the file is|Der Prozess stirbt langsam|you can|I'll do it
+We've done it|They'd like it|It's done|I don't know|Don't do it|We don't need the THING|I'll see, they don't, it's there|Old pages|Old links
+The old THING|Getting the THING to sort pages|Getting the server to drop prefixes|Getting the page to list icons|How the server labels icons
+How the page splits prefixes|The THING in a idle project|The team behind the THING|Manchmal hilft es, die Seite zu lesen und die Datei zu ändern
+Es ist Zeit, eine Seite zu lesen|Ich war ein Idiot und habe die Seite vergessen|Diese dumme Datei ist schon wieder weg
+Frauen und Männer lesen die Seite|J'étais un idiot, désolé|Ce fichier stupide est encore cassé|Les femmes et les hommes lisent la page
+Les étrangers lisent la page|Fui un idiota y olvidé la página, perdón|Este archivo tonto falla otra vez|Las mujeres y los hombres leen la página
+Los extranjeros leen la página"""
 
 _INVISIBLE = dict.fromkeys([*map(ord, "​‌‍‎‏⁠﻿­"), *range(0xFE00, 0xFE10)], None)
 #: Cyrillic and Greek letters that look like Latin ones, and signs that stand for letters.
