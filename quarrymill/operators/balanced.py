@@ -27,7 +27,7 @@ FAN_IN = 16
 
 def normal_term(term: Column) -> Column:
     """Lower case, then everything but a-z and 0-9 dropped; null stays null."""
-    return F.regexp_replace(F.lower(term), "[^a-z0-9]+", "")
+    return F.when(term.rlike(r"^[a-z0-9]*\z"), term).otherwise(F.regexp_replace(F.lower(term), "[^a-z0-9]+", ""))  # most are as they should be
 
 
 def counted_postings(postings: DataFrame) -> DataFrame:
