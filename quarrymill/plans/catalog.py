@@ -221,7 +221,7 @@ def search_stopwords_only(spark, d):
 
 
 def search_unknown_term(spark, d):
-    return _engine(spark, d).query("constructor qqzzxx")
+    return _engine(spark, d).query(f"constructor qqzzxx {ONE}")
 
 
 def search_orphan_postings(spark, d):
@@ -434,7 +434,7 @@ def oracle_sql() -> dict[str, str]:
         "search_highlight": _search(T.query_tokens(MARKED), 10, shown=_marked("excerpt", T.query_tokens(MARKED))),
         "search_limit": _search(_MANY[:2], 3),
         "search_stopwords_only": _search(["the"], 0),
-        "search_unknown_term": _search(["constructor", "qqzzxx"], 10),
+        "search_unknown_term": _search(["constructor", "qqzzxx", *T.query_tokens(ONE)], 10),
         "search_orphan_postings": _search(_MANY, 50, "(SELECT * FROM c WHERE title < 'N')"),
         "batch_search": f"""WITH {_P}, qr AS (SELECT item_id AS query_id, generate_subscripts(r, 1) AS i, unnest(r) AS term FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS r FROM eval_items)),
             qd AS (SELECT query_id, term, min(i) AS i FROM qr WHERE length(term) > 1 AND NOT list_contains({_STOP_SQL}, term) GROUP BY ALL),
