@@ -2,15 +2,18 @@
 
 Every text becomes a MinHash signature over its runs of three words.  A tree
 of the forest is one order of the signature's values; pages are sorted by it,
-and pages whose longest common prefix in some tree is two values or more are
-candidates.  Where a prefix is crowded, its pages are dealt into parts of which
-every two meet in a task of their own, and are compared block by block, so no
-link is lost; deeper prefixes would lose links unless many more orders are
-added, which costs more than it saves (see the README).  Candidates are
-compared by sketches where they meet: up to SHORT runs by parity sketches,
-whose differing bits never outnumber the differing runs, beyond by MinHash
-values.  What is left is verified exactly on the sets of runs.  Texts with
-equal sets are one class, searched once.
+and pages whose longest common prefix in some tree is as long as the region's
+depth are candidates.  The depth is two; pages of a prefix that too many share
+go down to a depth of four, and six, where more trees keep the recall, and are
+compared there instead.  A pair that shares no quiet prefix at a depth shares
+crowded ones only, so both of its pages go down.  The pages of a prefix that
+one task doesn't hold are dealt into parts of which every two meet in a task of
+their own, and are compared block by block.
+
+Candidates are compared by sketches where they meet: up to SHORT runs by parity
+sketches, whose differing bits never outnumber the differing runs, beyond by
+MinHash values.  What is left is verified exactly on the sets of runs.  Texts
+with equal sets are one class, searched once.
 """
 
 from __future__ import annotations
@@ -24,16 +27,18 @@ from quarrymill.llm.leaks import _Hashes, words_of
 from quarrymill.session import stored
 
 SHINGLE, THRESHOLD = 3, 0.6
-#: Trees, and the signature's values that are first in each; a pair of similarity 0.6 shares the first
-#: two values in some tree with probability 1 - (1 - 0.36) ** 16 = 0.9992.
-TREES, FRESH = 16, 4
-VALUES = TREES * FRESH
+VALUES = 64
+#: Depth and trees of each level.  A pair of similarity 0.6 shares the first values in some tree of a level with
+#: probability 0.9994, 0.9965 and 0.975 (simulated; trees of a level share values), one of 0.65 with 1, 0.9994 and 0.995.
+LEVELS = ((2, 16), (4, 64), (6, 160))
 #: A pair of similarity 0.6 agrees in fewer values of a signature with probability under 0.0003.
 ESTIMATE = 0.39
 #: Runs of a text up to which it has a parity sketch, and the sketch's bits.
 SHORT, SKETCH_BITS = 600, 512
 #: Pages of a prefix that meet in one task; beyond, they are dealt into parts of about so many.
 KEY_ROWS = 50_000
+#: Pages of a prefix beyond which they go down a level, but for the last.
+CROWD_ROWS = 200_000
 #: Pages in a block; larger groups are compared block by block.
 GROUP_ROWS = 1_500
 
@@ -56,9 +61,9 @@ def shingles(texts: list[str | None], hashes: _Hashes):
 
 
 def _signatures(threshold: float):
-    """(id, digest, n, heads, sketch): the class of a text, its number of runs,
-    the first two values of each tree, and its sketch: parities, low bytes of
-    the values, or in the sizes where both kinds may meet, both."""
+    """(id, digest, n, sig, sketch): the class of a text, its number of runs,
+    its signature, and its sketch: parities, low bytes of the values, or in the
+    sizes where both kinds may meet, both."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -84,7 +89,6 @@ def _signatures(threshold: float):
                     h *= np.uint32(0x85EBCA6B)
                     low = np.minimum.reduceat(h, starts)
                     sig[:, v] = ((low ^ (low >> np.uint32(16))) & np.uint32(0xFFFF)).astype("uint16")
-                heads = (sig[:, ::FRESH].astype("int64") << 16) | sig[:, 1::FRESH]
                 place = ((flat * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype("int64") % SKETCH_BITS
                 odd = np.bincount(np.repeat(np.arange(len(n)), n) * SKETCH_BITS + place, minlength=len(n) * SKETCH_BITS) & 1
                 odd = np.packbits(odd.astype("uint8").reshape(len(n), SKETCH_BITS), axis=1).tobytes()
@@ -92,8 +96,8 @@ def _signatures(threshold: float):
                 width = SKETCH_BITS // 8
                 sketch = [(odd[i * width : (i + 1) * width] if k <= SHORT / threshold else b"") + (low[i * VALUES : (i + 1) * VALUES] if k > SHORT else b"") for i, k in enumerate(n.tolist())]
                 digest = np.add.reduceat(flat * np.uint64(0xFF51AFD7ED558CCD) ^ (flat >> np.uint64(17)), starts).view("int64")
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype="int32") * TREES), pa.array(heads.ravel()))
-                yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(full)), pa.array(digest), pa.array(n), lists, pa.array(sketch, pa.binary())], names=["id", "digest", "n", "heads", "sketch"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype="int32") * VALUES), pa.array(sig.astype("int32").ravel()))
+                yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(full)), pa.array(digest), pa.array(n), lists, pa.array(sketch, pa.binary())], names=["id", "digest", "n", "sig", "sketch"])
 
     return run
 
@@ -226,6 +230,47 @@ def _short(batches: Iterator) -> Iterator:
         yield pa.RecordBatch.from_arrays([b["id"].take(pa.array(at, "int64")), pa.array([" ".join(words[i]) or None for i in at], "string")], names=["id", "words"])
 
 
+def orders(depth: int, trees: int) -> list[list[int]]:
+    """The first ``depth`` values of each tree: disjoint ones as far as they
+    go, then those of another shuffle."""
+    import random
+
+    rng, out = random.Random(depth), []
+    while len(out) < trees:
+        values = list(range(VALUES))
+        rng.shuffle(values)
+        out += [values[i : i + depth] for i in range(0, VALUES - depth + 1, depth)]
+    return out[:trees]
+
+
+def _candidates(classes: DataFrame, threshold: float, key_rows: int, crowd_rows: int, group_rows: int) -> DataFrame:
+    """(a, b) of the pages (id, n, sig, sketch) that meet in a tree and whose sketches are near."""
+    found = None
+    for level, (depth, trees) in enumerate(LEVELS):
+        keys = F.array(*(F.xxhash64(F.lit(t), *(F.col("sig")[i] for i in order)) for t, order in enumerate(orders(depth, trees))))
+        keyed = classes.select("id", "n", "sketch", F.explode(keys).alias("key"))
+        # few rows: at most trees * classes / key_rows
+        crowded = stored(keyed.groupBy("key").count().where(F.col("count") > key_rows).select("key", F.ceil(F.col("count") / key_rows).cast("int").alias("parts"), (F.col("count") > crowd_rows if level < len(LEVELS) - 1 else F.lit(False)).alias("down")), "crowded")
+        alone = [F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(False).alias("second")]
+        many = crowded.count()
+        down = many and not crowded.where("down").isEmpty()
+        if not many:
+            rows = keyed.select("key", "id", "n", "sketch", *alone)
+        else:
+            side = F.broadcast(crowded) if many <= 200_000 else crowded
+            dealt = keyed.join(side, "key", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
+            split = dealt.where("not down").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+            split = split.select("key", "id", "n", "sketch", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("second"))
+            rows = dealt.where("parts is null").select("key", "id", "n", "sketch", *alone).unionByName(split)
+        near = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_neighbours(threshold, group_rows), "a bigint, b bigint")
+        found = near if found is None else found.unionByName(near)
+        if not down:
+            break
+        below = dealt.where("down").select("id").distinct()
+        classes = stored(classes.join(below, "id", "left_semi"), "crowded-pages")
+    return found.distinct()
+
+
 class NearDuplicates:
     """The classes of equal texts and the links between similar ones.
 
@@ -235,30 +280,16 @@ class NearDuplicates:
     least ``threshold``.
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "id", text_col: str = "body_text", threshold: float = THRESHOLD, key_rows: int = KEY_ROWS, group_rows: int = GROUP_ROWS):
+    def __init__(self, docs: DataFrame, id_col: str = "id", text_col: str = "body_text", threshold: float = THRESHOLD, key_rows: int = KEY_ROWS, crowd_rows: int = CROWD_ROWS, group_rows: int = GROUP_ROWS):
         self.rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
         rows = self.rows.where("text is not null")
-        signed = stored(rows.mapInArrow(_signatures(threshold), "id bigint, digest bigint, n bigint, heads array<bigint>, sketch binary"), "signatures")
+        signed = stored(rows.mapInArrow(_signatures(threshold), "id bigint, digest bigint, n bigint, sig array<int>, sketch binary"), "signatures")
         same = signed.groupBy("digest", "n").agg(F.min("id").alias("class_id"))
         self.classes = signed.select("id", "digest", "n").join(same, ["digest", "n"]).select("id", "class_id").distinct()
         # one row per class: the text delivered again, and every copy, is left out here
-        one = F.struct("heads", "sketch")
+        one = F.struct("sig", "sketch")
         classes = signed.groupBy("digest", "n").agg(F.min_by(one, "id").alias("s"), F.min("id").alias("id")).select("id", "n", "s.*")
-        trees = classes.select("id", "n", "sketch", F.posexplode("heads").alias("tree", "head")).withColumn("key", F.shiftleft(F.col("tree").cast("bigint"), 48).bitwiseOR(F.col("head"))).drop("tree", "head")
-        crowded = trees.groupBy("key").count().where(F.col("count") > key_rows).select("key", F.ceil(F.col("count") / key_rows).cast("int").alias("parts"))
-        crowded = stored(crowded, "crowded")  # few rows: at most trees * classes / key_rows
-        alone = [F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(False).alias("second")]
-        if crowded.isEmpty():
-            keyed = trees.select("key", "id", "n", "sketch", *alone)
-        else:
-            side = F.broadcast(crowded) if crowded.count() <= 200_000 else crowded
-            dealt = trees.join(side, "key", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
-            split = dealt.where("parts is not null").withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-            split = split.select("key", "id", "n", "sketch", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).alias("second"))
-            keyed = dealt.where("parts is null").select("key", "id", "n", "sketch", *alone).unionByName(split)
-        keyed = keyed.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-        near = keyed.mapInArrow(_neighbours(threshold, group_rows), "a bigint, b bigint")
-        near = stored(near.distinct(), "candidates")
+        near = stored(_candidates(classes, threshold, key_rows, crowd_rows, group_rows), "candidates")
         wanted = stored(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
         # one delivery of each text is enough
         sets = rows.join(wanted, "id", "left_semi").mapInArrow(_sets, "id bigint, runs array<bigint>").dropDuplicates(["id"])

@@ -24,7 +24,7 @@ def texts(rng, n, size=60):
     return [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(size)) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("options", "short"), [({}, 600), ({"key_rows": 3, "group_rows": 8}, 600), ({"key_rows": 3, "group_rows": 8}, 50), ({}, 10)])
+@pytest.mark.parametrize(("options", "short"), [({}, 600), ({"key_rows": 3, "group_rows": 8}, 600), ({"key_rows": 3, "group_rows": 8}, 50), ({}, 10), ({"key_rows": 3, "crowd_rows": 3}, 600)])
 def test_pairs_against_brute_force(spark, monkeypatch, options, short):
     monkeypatch.setattr(neardup, "SHORT", short)  # runs up to which parities are compared; near it both kinds are
     rng = random.Random(8)
@@ -43,6 +43,19 @@ def test_pairs_against_brute_force(spark, monkeypatch, options, short):
     assert got <= want and len(got) >= 0.99 * len(want)
 
 
+def test_recall_of_each_level():
+    """A pair of similarity 0.62 agrees in each value of its signatures with that probability."""
+    import numpy as np
+
+    agree = np.random.default_rng(1).random((20_000, neardup.VALUES)) < 0.62
+    for depth, trees in neardup.LEVELS:
+        hit = np.zeros(len(agree), dtype=bool)
+        for order in neardup.orders(depth, trees):
+            assert len(set(order)) == depth
+            hit |= agree[:, order].all(axis=1)
+        assert hit.mean() > 0.98
+
+
 def test_parity_sketches_never_reject_similar_sets():
     import numpy as np
 
@@ -78,8 +91,9 @@ def test_a_crowded_group_keeps_its_pairs():
     assert want <= got and len(got) < 0.02 * n * n / 2
 
 
-def test_recall_in_a_crowded_prefix(spark):
-    """600 pages on one template meet under the same prefixes, dealt into many parts; only twins reach 0.6."""
+@pytest.mark.parametrize(("crowd", "least"), [(10**6, 0.995), (100, 0.98), (20, 0.95)])
+def test_recall_in_a_crowded_prefix(spark, crowd, least):
+    """600 pages on one template meet under the same prefixes, dealt into many parts or sent down the levels; only twins reach 0.6."""
     rng = random.Random(5)
     template = " ".join(f"t{i}" for i in range(42))
     data = []
@@ -87,8 +101,8 @@ def test_recall_in_a_crowded_prefix(spark):
         shared = " ".join(f"s{rng.randrange(10**9)}" for _ in range(7))
         data += [(2 * k + v, f"{template} {shared} " + " ".join(f"o{rng.randrange(10**9)}" for _ in range(11)), "x", 1) for v in range(2)]
     want = similar(data)
-    got = {tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(data, PAGE), key_rows=60, group_rows=10).pairs().collect()}
-    assert len(want) == 300 and got <= want and len(got) >= 0.995 * len(want)
+    got = {tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(data, PAGE), key_rows=min(60, crowd), crowd_rows=crowd, group_rows=10).pairs().collect()}
+    assert len(want) == 300 and got <= want and len(got) >= least * len(want)
 
 
 def test_groups_have_a_row_per_id(spark):
