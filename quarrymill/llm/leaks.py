@@ -100,18 +100,21 @@ def sampled_positions(recall: float = WINDOW_RECALL) -> tuple[tuple[int, ...], .
 
 
 def edit_distance(x, y):
-    """Word edit distances of the rows of two equal-shaped arrays."""
+    """Word edit distances of the rows of two arrays, of all rows at once for each pair of places."""
     import numpy as np
 
-    n, m = x.shape[1], y.shape[1]
-    row = np.broadcast_to(np.arange(m + 1), (len(x), m + 1)).copy()
-    for i in range(1, n + 1):
-        best = np.minimum(row[:, 1:] + 1, row[:, :-1] + (x[:, i - 1 : i] != y))
-        row[:, 0] = i
-        row[:, 1:] = best
-        for j in range(1, m + 1):
-            np.minimum(row[:, j], row[:, j - 1] + 1, out=row[:, j])
-    return row[:, m]
+    x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+    kind = "uint8" if len(x) + len(y) < 255 else "int64"
+    row = np.repeat(np.arange(len(y) + 1, dtype=kind)[:, None], x.shape[1], axis=1)
+    for i, word in enumerate(x):
+        before = row[0].copy()
+        row[0] = i + 1
+        for j in range(1, len(y) + 1):
+            best = before + (word != y[j - 1])
+            before = row[j].copy()
+            np.minimum(best, before + 1, out=best, casting="unsafe")
+            np.minimum(best, row[j - 1] + 1, out=row[j], casting="unsafe")
+    return row[-1].astype("int64")
 
 
 def word_hashes(texts: list[str | None], hashes: _Hashes):
@@ -200,6 +203,28 @@ def _hits(sketch, bits: int):
     return run
 
 
+def distinct_rows(*columns):
+    """The distinct rows of columns of integers, as columns, and where each row is among them."""
+    import math
+
+    import numpy as np
+
+    least = [int(c.min()) for c in columns]
+    sizes = [int(c.max()) - low + 1 for c, low in zip(columns, least, strict=True)]
+    if math.prod(sizes) >= 1 << 62:
+        rows, back = np.unique(np.stack(columns, axis=1), axis=0, return_inverse=True)
+        return [*rows.T], back.ravel()
+    code = np.zeros(len(columns[0]), dtype="int64")
+    for c, low, size in zip(columns, least, sizes, strict=True):
+        code = code * size + (c - low)
+    code, back = np.unique(code, return_inverse=True)
+    out = []
+    for low, size in zip(least[::-1], sizes[::-1], strict=True):
+        code, rest = np.divmod(code, size)
+        out.append(rest + low)
+    return out[::-1], back
+
+
 def longest_runs(words, first, items, second, sizes):
     """Length of the longest run of equal words of each pair of stretches: ``sizes`` words of ``words`` from ``first`` and of ``items`` from ``second``."""
     import numpy as np
@@ -228,10 +253,9 @@ def _checked(docs, items, doc, item, at, j, max_edits: int):
     (doc_ids, words, n), (item_ids, others, m) = docs, items
     d0, i0 = np.cumsum(n) - n, np.cumsum(m) - m
     # the longest run on every diagonal of a pair that holds an alignment
-    diagonal, back = np.unique(np.stack([doc, item, at - j], axis=1), axis=0, return_inverse=True)
-    d, i, shift = diagonal.T
+    (d, i, shift), back = distinct_rows(doc, item, at - j)
     from_doc, from_item = np.maximum(shift, 0), np.maximum(-shift, 0)
-    run = longest_runs(words, d0[d] + from_doc, others, i0[i] + from_item, np.minimum(n[d] - from_doc, m[i] - from_item))[back.ravel()]
+    run = longest_runs(words, d0[d] + from_doc, others, i0[i] + from_item, np.minimum(n[d] - from_doc, m[i] - from_item))[back]
     # windows of the item's size around the alignment; places outside the document hold no word
     span = np.minimum(PASSAGE, m[item])
     edits = np.where(run >= span, 0, span)
@@ -297,10 +321,10 @@ def _search(sent, max_edits: int):
                         hit = np.flatnonzero(known[np.minimum(lo, len(known) - 1)] == key) if len(known) else np.zeros(0, "int64")
                         lo, n = lo[hit], np.searchsorted(known, key[hit], "right") - lo[hit]
                         inner = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        found.append(np.stack([np.repeat(text[part[hit]], n), item[inner], np.repeat(at[part[hit]], n), j[inner]], axis=1))
-                pairs = np.unique(np.concatenate(found), axis=0) if found else ()
-                if len(pairs):
-                    yield from _checked((b["doc_id"].to_numpy(), flat, sizes), items, *pairs.T, max_edits)
+                        found.append((np.repeat(text[part[hit]], n), item[inner], np.repeat(at[part[hit]], n), j[inner]))
+                if sum(len(x[0]) for x in found):
+                    pairs, _ = distinct_rows(*map(np.concatenate, zip(*found, strict=True)))
+                    yield from _checked((b["doc_id"].to_numpy(), flat, sizes), items, *pairs, max_edits)
 
     return run
 

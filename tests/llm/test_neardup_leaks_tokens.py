@@ -219,6 +219,28 @@ def test_edit_distance():
     x = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 3, 4]])
     y = np.array([[1, 2, 3, 4], [2, 3, 4, 5], [9, 9, 9, 9]])
     assert leaks.edit_distance(x, y).tolist() == [0, 2, 4]
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 4, (300, 9)), rng.integers(0, 4, (300, 7))
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, p in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, q in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(last + (p != q), row[j] + 1, row[j + 1] + 1)
+        return row[-1]
+
+    assert leaks.edit_distance(x, y).tolist() == [plain(a, b) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+
+
+@pytest.mark.parametrize("most", [5, 1 << 40])
+def test_distinct_rows(most):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    columns = [rng.integers(-3, 3, 500) * most for _ in range(3)]
+    rows, back = leaks.distinct_rows(*columns)
+    assert all((r[back] == c).all() for r, c in zip(rows, columns, strict=True)) and len(set(zip(*rows, strict=True))) == len(rows[0])
 
 
 def test_nothing_to_search(spark):
