@@ -60,7 +60,7 @@ def nest_postings(postings: DataFrame) -> DataFrame:
     JSON files have them.  A term's list is one value by the format; tables
     for large collections keep the long form."""
     pair = F.struct("doc_id", "weight")
-    return postings.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(pair)), lambda p: F.array(p["doc_id"], p["weight"])).alias("postings"))
+    return postings.groupBy("term").agg(F.transform(F.sort_array(F.collect_list(pair)), lambda p: F.array(p["doc_id"], p["weight"])).alias("postings"))
 
 
 def stored_docs(docs: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ from quarrymill.operators.shards import build_shards, shard_stats, sharding_meta
 META, DOCS, SINGLE = "index.meta.json", "docs.json", "index.inv.json"
 DOC_SCHEMA = "id bigint, url string, title string, headings array<string>, excerpt string"
 TERMS_SCHEMA = "terms map<string, array<array<bigint>>>"
+#: Where the text of a version 1 index is cut: what ends a term's list, and nothing else in the format.
+LIST_END = "]]"
 META_SCHEMA = "version int, generatedAt string, baseUrl string, docCount bigint, docs struct<path: string>, inv struct<path: string, sharding: struct<strategy: string, shardPrefixLen: int, fallbackShard: string, map: map<string, string>>>"
 
 
@@ -41,7 +43,8 @@ def now() -> str:
 
 def read_json(spark: SparkSession, path: str | list[str], schema: str, reader=None) -> DataFrame:
     """JSON files with a schema.  ``reader(paths, schema)`` may replace the
-    read.  Raises FileNotFoundError where a path can't be loaded."""
+    read; see ``read_single`` for its ``text``.  Raises FileNotFoundError where
+    a path can't be loaded."""
     paths = [path] if isinstance(path, str) else path
     try:
         return reader(paths, schema) if reader else spark.read.schema(schema).option("multiLine", True).json(paths)
@@ -65,13 +68,49 @@ def long_postings(nested: DataFrame) -> DataFrame:
     return pairs.select("term", F.col("p")[0].alias("doc_id"), F.col("p")[1].alias("weight"))
 
 
+_BLANK = r"[ \t\r\n]*"
+_OPENED = rf'\{{{_BLANK}"terms"{_BLANK}:{_BLANK}\{{'
+#: A term and the beginning of its list, after a comma or what opens the file.
+_HEAD = rf'^{_BLANK}(?:{_OPENED}|,){_BLANK}("[^"\\]*+(?:\\.[^"\\]*+)*+"){_BLANK}:{_BLANK}\[{_BLANK}(?=\[)'
+_TAIL = rf"^{_BLANK}(?:{_OPENED}{_BLANK})?\}}{_BLANK}\}}{_BLANK}\z"
+
+
+def read_single(spark: SparkSession, path: str, reader=None) -> DataFrame:
+    """(term, doc_id, weight) of the one file of version 1.
+
+    The text is read in pieces of a term each, by as many tasks as the file
+    has splits, so that no more than a term's list is held.  A file that can't
+    be cut so (white space within the ends of lists, further keys, empty
+    lists, brackets in terms) is parsed as a whole; which it is, one pass over
+    the text tells.  ``reader.text(paths, separator)`` may replace the read by
+    rows (value), the text between separators; a reader without it gives the
+    file by one row, so no more than fits there."""
+    if reader and not hasattr(reader, "text"):
+        return long_postings(read_json(spark, path, TERMS_SCHEMA, reader))
+    try:
+        pieces = reader.text([path], LIST_END) if reader else spark.read.option("lineSep", LIST_END).text(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"Failed to load {path}: {e.getCondition()}") from e
+    value = F.col("value")
+    is_list = value.rlike(_HEAD) & ~F.regexp_replace(value, _HEAD, "").rlike(r"[^0-9,\[\] \t\r\n-]")
+    is_end = value.rlike(_TAIL)
+    opens = value.rlike(rf"^{_BLANK}{_OPENED}")
+    seen = pieces.where(~value.rlike(rf"^{_BLANK}\z")).agg(F.count_if(~is_list & ~is_end).alias("odd"), F.count_if(is_end).alias("ends"), F.count_if(opens).alias("begins")).first()
+    if (seen["odd"], seen["ends"], seen["begins"]) != (0, 1, 1):
+        return long_postings(read_json(spark, path, TERMS_SCHEMA, reader))
+    key = F.from_json(F.concat(F.lit('{"t":'), F.regexp_extract(value, _HEAD, 1), F.lit("}")), "t string")["t"]
+    terms = pieces.where(value.rlike(_HEAD)).select(key.alias("term"), F.concat(F.lit("["), F.regexp_replace(value, _HEAD, ""), F.lit(LIST_END)).alias("list"))
+    pairs = terms.select("term", F.explode(F.from_json("list", "array<array<bigint>>")).alias("p"))
+    return pairs.select("term", F.col("p")[0].alias("doc_id"), F.col("p")[1].alias("weight"))
+
+
 def open_index(spark: SparkSession, meta_path: str, reader=None) -> tuple[DataFrame, DataFrame, dict | None]:
     """(docs, postings, sharding) of a JSON index of either version.  Only the
-    manifest is read now."""
+    manifest is read now, and of version 1 the text once."""
     meta = read_meta(spark, meta_path, reader)
     docs = read_json(spark, resolve_path(meta_path, meta["docs"]["path"]), DOC_SCHEMA, reader)
     if meta["version"] == 1:
-        return docs, long_postings(read_json(spark, resolve_path(meta_path, meta["inv"]["path"]), TERMS_SCHEMA, reader)), None
+        return docs, read_single(spark, resolve_path(meta_path, meta["inv"]["path"]), reader), None
     sharding = meta["inv"]["sharding"]
     sharding["map"] = sharding["map"] or {}
     parts = [resolve_path(meta_path, p) for p in sharding["map"].values()]
@@ -117,6 +156,32 @@ class _Files:
         finally:
             out.close()
 
+    def write_joined(self, name: str, head: str, parts: str, tail: str) -> None:
+        """The text files in the folder ``parts`` one after the other, without
+        their first character, between ``head`` and ``tail``.  Their bytes
+        pass the driver in Hadoop's small buffer only."""
+        conf, hadoop = self.fs.getConf(), self.jvm.org.apache.hadoop.io
+        codecs = hadoop.compress.CompressionCodecFactory(conf)
+        found = sorted((f.getPath().getName() for f in self.fs.listStatus(self.path(f"{self.folder}/{parts}"))), key=lambda n: (len(n), n))
+        out, begun = self.fs.create(self.path(f"{self.folder}/{name}"), True), False
+        try:
+            out.write(bytearray(head.encode()))
+            for n in found:
+                if not n.startswith("part-"):
+                    continue
+                path = self.path(f"{self.folder}/{parts}/{n}")
+                part, codec = self.fs.open(path), codecs.getCodec(path)
+                text = codec.createInputStream(part) if codec else part
+                try:
+                    if begun or text.read() != -1:
+                        begun = True
+                        hadoop.IOUtils.copyBytes(text, out, conf, False)
+                finally:
+                    text.close()
+            out.write(bytearray(tail.encode()))
+        finally:
+            out.close()
+
     def clear(self, name: str) -> None:
         self.fs.delete(self.path(f"{self.folder}/{name}"), True)
 
@@ -150,11 +215,26 @@ def _terms(rows: Iterable) -> Iterator[str]:
     yield "}}"
 
 
+def _write_single(files: _Files, nested: DataFrame) -> None:
+    """The one file of version 1.  The executors write its text in the order of
+    the terms, in pieces as ``read_single`` reads them: brackets in terms are
+    escaped, so that nothing else ends as a list does."""
+    parts = f".{SINGLE}-parts"
+    term = F.regexp_extract(F.to_json(F.struct("term")), r'^\{"term":(.*)\}\z', 1)
+    ordered = nested.where("term is not null").orderBy(F.collate("term", "UNICODE"))
+    pieces = ordered.select(F.concat(F.lit(","), F.replace(term, F.lit("]"), F.lit("\\u005d")), F.lit(":"), F.expr(f"substr(j, 1, length(j) - {len(LIST_END)})")).alias("value"))
+    try:
+        pieces.write.mode("overwrite").option("lineSep", LIST_END).option("compression", "gzip").text(f"{files.folder}/{parts}")
+        files.write_joined(SINGLE, '{"terms":{', parts, "}}")
+    finally:
+        files.clear(parts)
+
+
 def write_json_index(docs: DataFrame, postings: DataFrame, folder: str, base_url: str = "/", sharded: bool = True, generated_at: str | None = None) -> dict:
     """Write an index of version 2 (``sharded``) or 1 and return its manifest.
-    Documents and terms pass the driver one after the other, in the order of
-    the files, terms and shards in collated order; none but a term's list is
-    held as a whole.  Stale shard files of an earlier index are removed.  The
+    Documents and, of version 2, terms pass the driver one after the other, in
+    the order of the files, terms and shards in collated order; none but a
+    term's list is held as a whole.  Stale shard files of an earlier index are removed.  The
     format suits what a web page can load; see ``write_parquet_index`` for
     more."""
     files = _Files(docs.sparkSession, folder)
@@ -170,7 +250,7 @@ def write_json_index(docs: DataFrame, postings: DataFrame, folder: str, base_url
             keys.append(shard)
         meta |= {"docs": {"path": DOCS}, "inv": {"sharding": sharding_meta(keys)}}
     else:
-        files.write(SINGLE, _terms(nested.orderBy(F.collate("term", "UNICODE")).select("term", "j").toLocalIterator()))
+        _write_single(files, nested)
         meta |= {"inv": {"path": SINGLE}, "docs": {"path": DOCS}}
     files.write(META, [json.dumps(meta, ensure_ascii=False, indent=2)])
     return meta

@@ -184,6 +184,68 @@ def test_json_round_trip(spark, tmp_path, sharded):
     clear_search_cache()
 
 
+class TextReader:
+    """Reads rows and text, and remembers what it was asked for."""
+
+    def __init__(self, spark):
+        self.spark, self.asked = spark, []
+
+    def __call__(self, paths, schema):
+        self.asked += [(p.rpartition("/")[2], "rows") for p in paths]
+        return self.spark.read.schema(schema).option("multiLine", True).json(paths)
+
+    def text(self, paths, separator):
+        self.asked += [(p.rpartition("/")[2], "text") for p in paths]
+        return self.spark.read.option("lineSep", separator).text(paths)
+
+
+ODD_TERMS = ["a", 'b"q', "c\\x", "é]]x", "]", "日本", "q,[[1", "}}"] + [f"w{i}" for i in range(40)]
+
+
+def in_small_splits(spark, size):
+    for key, value in {"maxPartitionBytes": size, "openCostInBytes": 1, "minPartitionNum": 1}.items():
+        spark.conf.set(f"spark.sql.files.{key}", value)
+
+
+@pytest.fixture
+def splits(spark):
+    yield lambda size: in_small_splits(spark, size)
+    for key in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum"):
+        spark.conf.unset(f"spark.sql.files.{key}")
+
+
+@pytest.mark.parametrize("size", [97, 1 << 20])
+def test_one_file_is_read_term_by_term(spark, tmp_path, splits, size):
+    """No task holds more of an index of version 1 than a term's list."""
+    postings = [(t, i * 37, i % 9 + 1) for k, t in enumerate(ODD_TERMS) for i in range(k % 5 + 1)]
+    stored = indexer.stored_docs(docs(spark, *LIBRARY))
+    index_files.write_json_index(stored, spark.createDataFrame(postings, "term string, doc_id bigint, weight bigint"), str(tmp_path), sharded=False)
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["docs.json", "index.inv.json", "index.meta.json"]
+    assert list(json.loads((tmp_path / "index.inv.json").read_text())["terms"])[-2:] == ["w9", "日本"]
+    splits(size)
+    got = index_files.open_index(spark, str(tmp_path / "index.meta.json"))[1]
+    assert sorted(map(tuple, got.collect())) == sorted(postings)
+    lists = [len(r["value"]) for r in spark.read.option("lineSep", index_files.LIST_END).text(str(tmp_path / "index.inv.json")).collect()]
+    assert len(lists) == len(ODD_TERMS) + 1 and "FileScan text" in got._jdf.queryExecution().executedPlan().toString()
+    assert got.rdd.getNumPartitions() > 5 or size > 97
+
+
+@pytest.mark.parametrize(
+    "text",
+    ['{"terms":{}}', '{"terms":{"a":[],"b":[[1,2]]}}', '{"terms":{"x]]y":[[1,2]],"b":[[3,4]]}}', '{ "terms": {"a": [[1, 2], [3, 4]], "b": [[5, 6]]}}\n', '{"version":1,"terms":{"a":[[1,2]]}}', '{"terms":{"a":[[1,2]]},"more":[[1]]}', '{"terms":{"a":[\n[1,2]\n],"b":[[1,\n2]\n]}}', '{"terms":{"a":[[1,2]],"b":[[3,4'],
+)
+def test_files_of_other_writers(spark, tmp_path, text):
+    """As a JSON parser has them; of a file that is cut off, nothing."""
+    (tmp_path / "i.json").write_text(text)
+    try:
+        want = sorted((t, *p) for t, pairs in json.loads(text)["terms"].items() for p in pairs)
+    except ValueError:
+        want = []
+    reader = TextReader(spark)
+    for r in (None, reader, reader.__call__):
+        assert sorted(map(tuple, index_files.read_single(spark, str(tmp_path / "i.json"), r).collect())) == want
+
+
 def test_an_empty_index(spark, tmp_path):
     stored, postings = indexer.build_index(docs(spark, *LIBRARY).limit(0))
     for sharded in (True, False):
