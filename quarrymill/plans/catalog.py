@@ -268,10 +268,14 @@ def search_prewarmed(spark, d):
 
 def search_with_reader(spark, d):
     """The index read by a reader of one's own."""
-    def reader(paths: list[str], schema: str) -> DataFrame:
-        return spark.read.schema(schema).option("multiLine", True).json(paths)
+    class Reader:
+        def __call__(self, paths: list[str], schema: str) -> DataFrame:
+            return spark.read.schema(schema).option("multiLine", True).json(paths)
 
-    return create_search(spark, f"{_json_index(spark, d, False)}/index.meta.json", reader).query(MANY, limit=25)
+        def text(self, paths: list[str], separator: str) -> DataFrame:
+            return spark.read.option("lineSep", separator).text(paths)
+
+    return create_search(spark, f"{_json_index(spark, d, False)}/index.meta.json", Reader()).query(MANY, limit=25)
 
 
 def index_term_order(spark, d):

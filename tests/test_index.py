@@ -246,6 +246,18 @@ def test_files_of_other_writers(spark, tmp_path, text):
         assert sorted(map(tuple, index_files.read_single(spark, str(tmp_path / "i.json"), r).collect())) == want
 
 
+def test_a_reader_gives_text(spark, tmp_path):
+    """Beside the manifest and the documents, no file is asked for by rows."""
+    index_files.write_json_index(*indexer.build_index(docs(spark, *LIBRARY)), str(tmp_path), sharded=False)
+    clear_search_cache()
+    reader = TextReader(spark)
+    assert [r["score"] for r in create_search(spark, str(tmp_path / "index.meta.json"), reader).query("brew").collect()] == [1, 1]
+    assert reader.asked == [("index.meta.json", "rows"), ("docs.json", "rows"), ("index.inv.json", "text")]
+    clear_search_cache()
+    with pytest.raises(FileNotFoundError):
+        index_files.read_single(spark, str(tmp_path / "none.json"), reader)
+
+
 def test_an_empty_index(spark, tmp_path):
     stored, postings = indexer.build_index(docs(spark, *LIBRARY).limit(0))
     for sharded in (True, False):
