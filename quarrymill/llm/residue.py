@@ -1,8 +1,9 @@
 """Template residue, filler and error pages.
 
 Character n-gram models are fitted for filler, for error notices and demands
-for scripts, for unfilled template slots, and for natural text (a bounded
-sample of the collection, cleaned once by the first models).  Windows whose
+for scripts, for unfilled template slots, and for natural text (the whole
+collection but for lines that may hold slots, counted by the executors, and
+once more, with all lines but those that the first models call residue).  Windows whose
 likelihood ratio against natural text is high localise residue in a text; it
 is a case by the part of the text they cover.  In lines where they point to a
 slot, the grammar of slots cuts out stretches that are neither quoted nor
@@ -19,8 +20,11 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.boilerplate import brand, headline_forms
 
-#: Most texts of each kind that the natural model is fitted on, those with the least hashes.
-SAMPLE_TEXTS = 2_000
+#: All bodies and all titles are counted; either kind then weighs as so many texts, so that phrases and smoothing keep their
+#: weight against collections of any size.
+WEIGHT_TEXTS = 2_000
+#: Characters that are counted at once.
+COUNT_CHARS = 1_000_000
 CLASSES = ("filler", "notice", "slot")
 BITS5, BITS3 = 20, 17
 #: Characters of a window; mean log ratio per character from which a window or a line is residue.
@@ -28,7 +32,7 @@ WINDOW, SLOT_WINDOW = 32, 6
 TITLE_RATIO, LINE_RATIO, WINDOW_RATIO, SLOT_RATIO = -0.12, -0.5, -0.5, 0.0
 #: A line of filler beyond this is a case in an article, too.
 FILLER_RATIO = 0.0
-#: Lines of the sample beyond this are left out when the natural model is fitted again.
+#: Lines of the collection beyond this are left out when the natural model is fitted again.
 CLEAN_RATIO, CLEAN_SLOT = 0.0, -0.5
 #: Part of the running text that notices must cover; characters from which a line counts as running text by itself.
 COVERAGE, PARAGRAPH = 0.5, 110
@@ -64,7 +68,7 @@ This is where the copy about @ goes once it is written.|Text text text text for
 asdf asdf @ asdf qwer asdf test test|asdf qwer test|test test test|Text goes here|Copy goes here|Insert text here|Replace this text
 Welcome to your new site|Hello world|@ Lorem|@ Sample|@ Draft|@ Headline|Lorem ipsum dolor|Lorem @ ipsum|@ lorem|Neue Seite|Titel hier einfügen
 Seite ohne Titel|Nouvelle page|Sans titre|Página nueva|Sin título"""
-#: Natural titles about such things, beside the sample.
+#: Natural titles about such things, beside the collection's.
 _ABOUT_TITLES = """@ without JavaScript|Using @ without scripts|Untitled items in @ and how to name them|Untitled drafts and where @ keeps them|Access rights in @
 Access denied? Ask @ for rights|Handling errors in @|The hunt for an error in @|What an error page should say|Why a page is not found in @
 Null values in @ and how to check them|Undefined values in @|Replacing filler text in @|Lorem ipsum and real copy in @|Placeholders explained with @
@@ -91,11 +95,20 @@ _ABOUT = re.compile(r"(?i)mustache|\b(?:tags?|syntax|brackets?|braces|placeholde
 
 
 #: An error's status code by itself, in figures or with letters o; one sign of its own to the models.
-_STATUS = re.compile(r"(?<![\w.,])[45][0-9oO]{2}(?![\w,])")
+_STATUS = re.compile(r"[45](?<![\w.,].)[0-9oO]{2}(?![\w,])")
+_BLANKS, _OTHER_FIGURES = re.compile(r"[^\S\n]{2,}|[^\S\n ]"), re.compile(r"[^\D0-9]")
+_ZEROS = bytes.maketrans(b"123456789", b"000000000")
 
 
-def _normal(text: str) -> str:
-    return re.sub(r"\d", "0", _STATUS.sub("\x01", " ".join(text.split()))).casefold()
+def _normal(lines: list[str]) -> bytes:
+    """The lines, each with a line end: blanks joined, status codes as one sign, figures as 0, case folded."""
+    text = "\n".join(lines)
+    if text.count("\n") >= len(lines):
+        text = "\n".join(x.replace("\n", " ") for x in lines)
+    text = _STATUS.sub("\x01", _BLANKS.sub(" ", text).replace(" \n", "\n").replace("\n ", "\n").strip(" "))
+    if not text.isascii():
+        text = _OTHER_FIGURES.sub("0", text)
+    return text.casefold().encode("utf-8", "replace").translate(_ZEROS) + b"\n"
 
 
 #: Parts that phrases are dealt into where some are held out.
@@ -129,56 +142,132 @@ def training_phrases(names: list[str], seed: int = 7, without: int | None = None
     return {"filler": spread(_FILLER) + spread(_REMINDERS, 30) + lorem + cut, "notice": spread(_NOTICES) + codes, "slot": slots, "about": spread(_ABOUT_TITLES, 20)}
 
 
-class Ratios:
-    """Log likelihood ratios per character of each class against natural text."""
+def _bytes(lines: list[str]):
+    """The bytes of normal lines, and of each line how many, with its end."""
+    import numpy as np
 
-    def __init__(self, natural: list[str], names: list[str], without: int | None = None):
-        texts = training_phrases(names, without=without)
-        self.tables = self._fit(natural, texts)
-        # once more without the sample's own residue
-        lines = [x for t in natural for x in t.split("\n") if x.strip()]
-        means, _, _ = self.score(lines)
-        slot = slot_ratios(self, lines)
-        self.tables = self._fit([x for x, m, s in zip(lines, means[:, :2].max(axis=1), slot, strict=True) if m < CLEAN_RATIO and s < CLEAN_SLOT], texts)
+    data = _normal(lines)
+    # four line ends between two lines, so that none is the context of the next
+    u = np.frombuffer(b"\n\n\n\n" + data.replace(b"\n", b"\n\n\n\n"), "uint8").astype("uint64")
+    return u, np.diff(np.flatnonzero(np.frombuffer(data, "uint8") == 10), prepend=-1)
 
-    @staticmethod
-    def _bytes(texts: list[str]):
+
+def _hashes(u):
+    """Hashes of the 5 and 3 bytes that end at each place."""
+    import numpy as np
+
+    v = u.copy()
+    v[1:] |= u[:-1] << np.uint64(8)
+    v[2:] |= u[:-2] << np.uint64(16)
+    h3 = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS3)).astype("int64")
+    v[3:] |= u[:-3] << np.uint64(24)
+    v[4:] |= u[:-4] << np.uint64(32)
+    h5 = ((v * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - BITS5)).astype("int64")
+    return h5, h3
+
+
+def _context(u):
+    """Hash of the 4 bytes that end at each place."""
+    import numpy as np
+
+    v = u.copy()
+    for k in (1, 2, 3):
+        v[k:] |= u[:-k] << np.uint64(8 * k)
+    return ((v * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - BITS5)).astype("int64")
+
+
+class Counts:
+    """How often runs of 5 and 3 bytes occur in lines, by their hash.
+
+    Of each hash also the context and lower order of one of its runs, the
+    greatest, plus 1 (0: not seen).  Lines add up in any order and any parts."""
+
+    def __init__(self):
         import numpy as np
 
-        # four line ends between two lines, so that none is the context of the next
-        return np.frombuffer("".join(["\n\n\n\n", *(t + "\n\n\n\n" for t in texts)]).encode("utf-8", "replace"), "uint8").astype("uint64")
+        (self.n5, self.k5), (self.n3, self.k3) = np.zeros((2, 1 << BITS5), "int64"), np.zeros((2, 1 << BITS3), "int64")
 
-    @staticmethod
-    def _hashes(u):
-        """Hashes of the 5 and 3 bytes that end at each place."""
+    def add(self, lines: list[str]) -> Counts:
+        import numpy as np
+
+        held, size = [], 0
+        for x in [*(x for x in lines if x and not x.isspace()), None]:
+            if x is not None:
+                held.append(x)
+                size += len(x)
+            if held and (x is None or size >= COUNT_CHARS):
+                u, _ = _bytes(held)
+                h5, h3 = _hashes(u)
+                c4, h5, h3 = _context(u)[3:-1], h5[4:], h3[4:]  # what precedes the first line ends with it
+                c2 = ((u[3:-1] * np.uint64(257) + u[2:-2]) % np.uint64(1 << BITS3)).astype("int64")
+                for n, k, h, own in ((self.n5, self.k5, h5, c4 << BITS3 | h3), (self.n3, self.k3, h3, c2)):
+                    n += np.bincount(h, minlength=len(n))
+                    own = own + 1
+                    while (more := own > k[h]).any():
+                        h, own = h[more], own[more]
+                        k[h] = own
+                held, size = [], 0
+        return self
+
+    def rows(self):
+        """(key, n, k) arrays of what was seen; keys of 3 bytes lie behind those of 5."""
         import numpy as np
 
-        v = u.copy()
-        v[1:] |= u[:-1] << np.uint64(8)
-        v[2:] |= u[:-2] << np.uint64(16)
-        h3 = ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS3)).astype("int64")
-        v[3:] |= u[:-3] << np.uint64(24)
-        v[4:] |= u[:-4] << np.uint64(32)
-        h5 = ((v * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - BITS5)).astype("int64")
-        return h5, h3
+        n, k = np.r_[self.n5, self.n3], np.r_[self.k5, self.k3]
+        key = np.flatnonzero(n)
+        return key, n[key], k[key]
+
+    @classmethod
+    def of_rows(cls, key, n, k) -> Counts:
+        import numpy as np
+
+        out, all_n, all_k = cls(), *np.zeros((2, (1 << BITS5) + (1 << BITS3)), "int64")
+        all_n[key], all_k[key] = n, k
+        (out.n5, out.n3), (out.k5, out.k3) = np.split(all_n, [1 << BITS5]), np.split(all_k, [1 << BITS5])
+        return out
+
+
+class Ratios:
+    """Log likelihood ratios per character of each class against natural text."""
+
+    def __init__(self, natural: list[str], names: list[str], without: int | None = None):
+        """Fitted on texts that are at hand; see ``fit``."""
+        texts = training_phrases(names, without=without)
+        lines = [x for t in natural for x in t.split("\n") if x.strip()]
+        self.tables = self._tables([(Counts().add(without_slots(lines)), 1)], texts)
+        # once more without the collection's own residue
+        self.tables = self._tables([(Counts().add(self.clean(lines)), 1)], texts)
+
+    @classmethod
+    def of_counts(cls, natural: list[tuple[Counts, float]], texts: dict[str, list[str]]) -> Ratios:
+        """``natural``: counts, and by what they are divided."""
+        out = cls.__new__(cls)
+        out.tables = cls._tables(natural, texts)
+        return out
+
+    def clean(self, lines: list[str]) -> list[str]:
+        """The lines that aren't residue."""
+        each = list(dict.fromkeys(lines))
+        means, _, _ = self.score(each, False)
+        slot = slot_ratios(self, each)
+        kept = {x for x, m, s in zip(each, means[:, :2].max(axis=1, initial=-9.0), slot, strict=True) if m < CLEAN_RATIO and s < CLEAN_SLOT}
+        return [x for x in lines if x in kept]
 
-    def _fit(self, natural: list[str], texts: dict[str, list[str]]):
+    @staticmethod
+    def _tables(natural: list[tuple[Counts, float]], texts: dict[str, list[str]]):
         import numpy as np
 
-        logs5, logs3, seen = [], [], np.zeros(1 << BITS5, bool)
-        parts = [self._bytes([_normal(x) for t in group for x in t.split("\n")]) for group in ([*natural, *texts["about"]], *(texts[c] for c in CLASSES))]
-        every = [self._hashes(u) for u in parts]
-        # one context and lower order for every hash: those of any place where it was seen
-        ctx4, low3, ctx2 = (np.zeros(1 << b, "int64") for b in (BITS5, BITS5, BITS3))
-        for u, (h5, h3) in zip(parts, every, strict=True):
-            c4 = (((h5 * 0) + np.r_[np.zeros(1, "int64"), self._context(u)[:-1]]) % (1 << BITS5)).astype("int64")
-            ctx4[h5], low3[h5] = c4, h3
-            ctx2[h3] = np.r_[0, ((u[1:] * 0 + u[:-1] * np.uint64(257) + np.r_[np.uint64(0), u[:-2]]) % np.uint64(1 << BITS3)).astype("int64")]
-            seen[h5] = True
-        for u, (h5, h3) in zip(parts, every, strict=True):
-            n5, n3 = np.bincount(h5, minlength=1 << BITS5), np.bincount(h3, minlength=1 << BITS3)
-            n4 = np.bincount(ctx4[h5], minlength=1 << BITS5)
-            n2 = np.bincount(ctx2[h3], minlength=1 << BITS3)
+        counts = {c: Counts().add(group) for c, group in texts.items()}
+        groups = [[*natural, (counts["about"], 1)], *([(counts[c], 1)] for c in CLASSES)]
+        # one context and lower order for every hash
+        k5, k3 = (np.max([getattr(c, k) for group in groups for c, _ in group], axis=0) for k in ("k5", "k3"))
+        seen = k5 > 0
+        ctx4, low3, ctx2 = np.maximum(k5 - 1, 0) >> BITS3, np.maximum(k5 - 1, 0) & ((1 << BITS3) - 1), np.maximum(k3 - 1, 0)
+        logs5, logs3 = [], []
+        for group in groups:
+            n5, n3 = (sum(getattr(c, n) / by for c, by in group) for n in ("n5", "n3"))
+            n4 = np.bincount(ctx4, n5, minlength=1 << BITS5)
+            n2 = np.bincount(ctx2, n3, minlength=1 << BITS3)
             p3 = (n3 + 3 / 60) / (n2[ctx2] + 3)
             p5 = (n5 + 4 * p3[low3]) / (n4[ctx4] + 4)
             logs5.append(np.log(p5))
@@ -189,34 +278,24 @@ class Ratios:
         t5[~seen] = np.nan
         return np.clip(t5, -6, 6), low
 
-    @staticmethod
-    def _context(u):
-        """Hash of the 4 bytes that end at each place."""
-        import numpy as np
-
-        v = u.copy()
-        for k in (1, 2, 3):
-            v[k:] |= u[:-k] << np.uint64(8 * k)
-        return ((v * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - BITS5)).astype("int64")
-
-    def score(self, lines: list[str]):
-        """Of each line: mean ratio per class, the best window's mean per class, and its length in bytes."""
+    def score(self, lines: list[str], windows: bool = True):
+        """Of each line: mean ratio per class, the best window's mean per class (-9 without ``windows``), and its length in bytes."""
         import numpy as np
 
         if not lines:
             return np.zeros((0, len(CLASSES))), np.zeros((0, len(CLASSES))), np.zeros(0, "int64")
-        normal = [_normal(x) for x in lines]
-        u = self._bytes(normal)
-        h5, h3 = self._hashes(u)
+        u, n = _bytes(lines)  # a line's first end counts to it
+        h5, h3 = _hashes(u)
         t5, t3 = self.tables
         r = t5[h5]
         new = np.isnan(r[:, 0])
         r[new] = t3[h3[new]]
-        n = np.array([len(x) if x.isascii() else len(x.encode("utf-8", "replace")) for x in normal]) + 1  # a line's first end counts to it
         starts = 4 + np.cumsum(n + 3) - (n + 3)
         total = np.cumsum(np.vstack([np.zeros((1, r.shape[1]), "float32"), r]), axis=0, dtype="float64")
         means = (total[starts + n] - total[starts]) / n[:, None]
         best = np.full(means.shape, -9.0)
+        if not windows:
+            return means, best, n
         for k, width in enumerate((WINDOW, WINDOW, SLOT_WINDOW)):
             w = np.full(len(u), -9.0)
             w[width - 1 :] = (total[width:, k] - total[:-width, k]) / width
@@ -228,9 +307,15 @@ class Ratios:
         return means, best, n
 
 
+#: Every slot has one of these signs, and every printed empty value that or one of the words.
+_SIGNS, _WORDS = re.compile(r"[{\[<$#%@_(]"), ("undefined", "null", "NaN")
+
+
 def slots(text: str, title: bool = False) -> list[str]:
     """The stretches of a text that may be slots or printed empty values by
     their grammar, neither quoted nor talked about; the models judge them."""
+    if not (title or _SIGNS.search(text) or any(w in text for w in _WORDS)):
+        return []
     if not (SLOT.search(text) or EMPTY.search(text) or title and EMPTY.search(text.lower())):
         return []
     open_text = _QUOTED.sub(" ", text)
@@ -239,6 +324,12 @@ def slots(text: str, title: bool = False) -> list[str]:
     return out + [m.group() for m in EMPTY.finditer(shown) if not (title and _ABOUT.match(shown[m.end() :].lstrip()))]
 
 
+def without_slots(lines: list[str]) -> list[str]:
+    """The lines without a stretch that may be a slot: what is to be judged is
+    no evidence of what natural text looks like."""
+    return [x for x in lines if not slots(x)]
+
+
 def slot_ratios(model: Ratios, texts: list[str], title: bool = False):
     """Of each text, the greatest slot ratio of a stretch that may be a slot; -9 without any."""
     import numpy as np
@@ -274,19 +365,61 @@ def body_is_residue(lines: list[str], means, best, sizes, slot) -> bool:
     return bool(residue > 0 and residue >= COVERAGE * (residue + prose))
 
 
-def _sample(df: DataFrame, id_col: str, text_col: str, most: int) -> list[str]:
-    """The texts with the least hashes of their ids."""
-    d = df.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("text")).where("text is not null and text <> ''")
-    n = d.count()
-    part = min(1.0, 3 * most / max(n, 1))  # far fewer than all are ordered
-    return [r["text"] for r in d.where(F.pmod("h", F.lit(1_000_000)) < int(part * 1_000_000) + 1).dropDuplicates(["h"]).orderBy("h").limit(most).collect()]
+def _counting(model):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        counts, held, sizes = {kind: Counts() for kind in KINDS}, {kind: [] for kind in KINDS}, dict.fromkeys(KINDS, 0)
+
+        def add(kind: int, least: int) -> None:
+            if held[kind] and sizes[kind] >= least:
+                counts[kind].add(model.value.clean(held[kind]) if model else without_slots(held[kind]))
+                held[kind], sizes[kind] = [], 0
+
+        for b in batches:
+            for text, kind in zip(b["text"], b["kind"].to_pylist(), strict=True):
+                t = text.as_py()
+                held[kind] += [x for x in t.split("\n") if x and not x.isspace()]
+                sizes[kind] += len(t)
+                add(kind, COUNT_CHARS)
+        for kind in KINDS:
+            add(kind, 0)
+        for kind, c in counts.items():
+            table = pa.table(dict(zip(("key", "n", "k"), c.rows(), strict=True))).add_column(0, "kind", pa.array([kind] * int((c.n5 > 0).sum() + (c.n3 > 0).sum()), pa.int32()))
+            yield from table.to_batches(max_chunksize=50_000)
+
+    return run
+
+
+KINDS = BODY, TITLE = 0, 1
+
+
+def _count(texts: DataFrame, model: Ratios | None = None) -> dict[int, Counts]:
+    """Counts of each kind of ``texts`` (kind, text), by the executors; with a
+    model, of the lines that it doesn't call residue, else of those without a
+    stretch that may be a slot.  At most a row for each
+    hash and kind reaches the driver."""
+    sent = texts.sparkSession.sparkContext.broadcast(model) if model else None
+    rows = texts.mapInArrow(_counting(sent), "kind int, key bigint, n bigint, k bigint")
+    t = rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("k").alias("k")).toArrow()
+    kind, key, n, k = (t[c].to_numpy() for c in ("kind", "key", "n", "k"))
+    return {x: Counts.of_rows(key[kind == x], n[kind == x], k[kind == x]) for x in KINDS}
+
+
+def fit(bodies: DataFrame, titles: DataFrame, body_id: str = "id", body_col: str = "body_text", title_id: str = "extract_id", title_col: str = "title") -> Ratios:
+    """Models with a natural model of all bodies and titles, whatever their
+    ids; a record delivered again is counted again.  The collection is read
+    twice here, and names once."""
+    texts = [d.select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("text")).where("text is not null and text <> ''") for kind, d, c in ((BODY, bodies, body_col), (TITLE, titles, title_col))]
+    both = texts[0].unionByName(texts[1])
+    names = sorted(r["name"] for r in texts[1].select(F.explode(F.regexp_extract_all("text", F.lit(r"(?U)\b[A-Z][a-z]{5,}"), F.lit(0))).alias("name")).distinct().collect())
+    sizes = {r["kind"]: r["n"] for r in both.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    phrases = training_phrases(names)
 
+    def model(counts: dict[int, Counts]) -> Ratios:
+        return Ratios.of_counts([(c, max(1, sizes.get(kind, 0) / WEIGHT_TEXTS)) for kind, c in counts.items()], phrases)
 
-def fit(bodies: DataFrame, titles: DataFrame, body_id: str = "id", body_col: str = "body_text", title_id: str = "extract_id", title_col: str = "title", most: int = SAMPLE_TEXTS) -> Ratios:
-    """Models with a natural model of at most ``most`` bodies and titles each."""
-    natural, heads = _sample(bodies, body_id, body_col, most), _sample(titles, title_id, title_col, most)
-    names = sorted({w for t in heads for w in re.findall(r"\b[A-Z][a-z]{5,}", t)})
-    return Ratios(natural + heads, names)
+    return model(_count(both, model(_count(both))))
 
 
 def _titles(model):

@@ -130,6 +130,47 @@ def test_residue_tables(spark):
     assert residue.found(none, titles.limit(0)).count() == 0
 
 
+def test_every_text_is_counted(spark):
+    """However many there are, and however they are dealt into parts."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(4)
+    own = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(5_000)]
+    bodies = spark.createDataFrame([(i, f"{ARTICLE} {w}\n\nHello {{{{ name }}}}") for i, w in enumerate(own[:4_500])], "id bigint, body_text string")
+    titles = spark.createDataFrame([(i, "s", f"Using {w}") for i, w in enumerate(own[4_500:])], "extract_id bigint, site string, title string")
+    one, many = residue.fit(bodies.coalesce(1), titles.coalesce(1)), residue.fit(bodies.repartition(5), titles.repartition(3))
+    for a, b in zip(one.tables, many.tables, strict=True):
+        assert np.array_equal(a, b, equal_nan=True)
+    u, _ = residue._bytes(own)
+    h5, _ = residue._hashes(u)
+    assert not np.isnan(one.tables[0][h5, 0].reshape(-1)[np.arange(len(own)) * 13 + 12]).any()  # a run within each word
+
+
+def test_a_slot_that_all_titles_share(spark):
+    """However often it comes, a slot doesn't count as natural text."""
+    titles = spark.createDataFrame([(i, "s", "Welcome, [first name]" if i % 40 == 0 else f"Using the gateway {i}") for i in range(3_000)], "extract_id bigint, site string, title string")
+    bodies = spark.createDataFrame([(i, f"{ARTICLE} {i}") for i in range(300)], "id bigint, body_text string")
+    assert {r["record_id"] for r in residue.found(bodies, titles).collect()} == set(range(0, 3_000, 40))
+
+
+def test_counts_add_up():
+    """Each run counts; runs over the ends of lines don't depend on neighbours."""
+    import numpy as np
+
+    lines = ["Status 404 of  Kofi\tzubi", "", "  x ", "ÄÖÜ ٣7 ẞ", "Status 404 of Kofi zubi"] * 3
+    whole = residue.Counts().add(lines)
+    parts = [residue.Counts().add(lines[i : i + 2]) for i in range(0, len(lines), 2)]
+    for n, k in (("n5", "k5"), ("n3", "k3")):
+        assert np.array_equal(getattr(whole, n), sum(getattr(p, n) for p in parts))
+        assert np.array_equal(getattr(whole, k), np.max([getattr(p, k) for p in parts], axis=0))
+    again = residue.Counts.of_rows(*whole.rows())
+    assert all(np.array_equal(getattr(whole, x), getattr(again, x)) for x in ("n5", "k5", "n3", "k3"))
+    assert residue._normal(lines[:4]).decode() == "status \x01 of kofi zubi\n\nx\näöü 00 ss\n"
+    assert residue._normal(["a\nb", "v1.404", "404, 4042 404"]).decode() == "a b\nv0.000\n000, 0000 \x01\n"
+
+
 def test_spelling_tricks():
     w = severity.Words({"idiot", "fuck", "moron", "asshole", "vermin"})
     assert [w.sentence(s) for s in ("You i.diot!", "f u c k this", "M0r0n", "a$$h0le", "v****n", "mooooron", "іdіоt", "plain words, v3")] == [["you", "idiot"], ["fuck", "this"], ["moron"], ["asshole"], ["vermin"], ["moron"], ["idiot"], ["plain", "words", "v3"]]
